@@ -16,6 +16,10 @@ def _number(c: str) -> str:
     return f"CASE WHEN regexp_matches(trim({c}), '{NUMBER}') THEN try_cast(trim({c}) AS DOUBLE) END"
 
 
+def _from_file(c: str) -> str:
+    return f"nullif(cast({c} AS VARCHAR), '')"
+
+
 def _null_like(c: str) -> str:
     return f"({c} IS NULL OR lower(trim({c})) IN ({NULLS}))"
 
@@ -287,13 +291,15 @@ BOUNDS = """epoch_us(min(t)) AS observed_timestamp_min, epoch_us(max(t)) AS obse
 OBS_COLUMNS = ("event_id", "sensor_id", "location", "timestamp", "lat", "lon", "temperature", "humidity",
                "pressure", "altitude")
 ACTIVE = ("event_id", "sensor_id", "location", "timestamp", "lat", "lon", "temperature", "humidity", "pressure")
-ACTIVE_TEXT = ", ".join(f"cast({c} AS VARCHAR) AS {c}" for c in ACTIVE)
+ACTIVE_TEXT = ", ".join(f"{_from_file(c)} AS {c}" for c in ACTIVE)
 
 ORACLE: dict[str, str] = {
     "preview": _with("SELECT * FROM obs ORDER BY event_id LIMIT 5", "obs"),
+    # an empty value in a file is a missing one
     "observation_scan": _with(
-        f"SELECT {', '.join(f'cast({c} AS VARCHAR) AS {c}' for c in OBS_COLUMNS)} FROM obs", "obs"),
-    "trace_scan": _with("SELECT sensor_id, location, timestamp, temperature, humidity, pressure FROM obs", "obs"),
+        f"SELECT {', '.join(f'{_from_file(c)} AS {c}' for c in OBS_COLUMNS)} FROM obs", "obs"),
+    "trace_scan": _with("""SELECT sensor_id, location, timestamp, nullif(temperature, '') AS temperature, humidity,
+        pressure FROM obs""", "obs"),
     "trace_records": _with("""SELECT event_id::VARCHAR AS event_id, sensor_id, location_id, epoch_us(t) AS event_time,
         temperature_c, humidity_pct, pressure_hpa, CASE WHEN sensor_id = '' THEN 'empty sensor_id'
         WHEN t IS NULL THEN 'invalid timestamp' END AS reject_reason FROM parsed""", "parsed"),
@@ -365,7 +371,7 @@ ORACLE: dict[str, str] = {
     "edge_ids_sorted": _with("SELECT DISTINCT edge_id FROM topo ORDER BY edge_id", "topo"),
     "distinct_macroareas": _with("SELECT DISTINCT macroarea_id FROM topo", "topo"),
     "edge_lookup": _with("""SELECT edge_id, macroarea_id, count(*) AS sensor_count FROM topo
-        WHERE edge_id = 'edge-m1-2' GROUP BY 1, 2""", "topo"),
+        WHERE edge_id = 'edge-m1-1' GROUP BY 1, 2""", "topo"),
     "endpoint_coverage": _with("""SELECT edge_id, macroarea_id, count(*) AS sensor_count FROM topo
         WHERE edge_id NOT IN (SELECT concat('edge-m', cast(n_regionkey AS VARCHAR), '-', cast(n_nationkey AS VARCHAR))
           FROM nation WHERE n_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 9000))
@@ -399,7 +405,7 @@ ORACLE: dict[str, str] = {
         epoch_us(observed_at) AS observed_at, epoch_us(emitted_at) AS emitted_at, temperature_c, humidity_pct,
         pressure_hpa FROM wire""", "wire"),
     "topic_filter": _with("""SELECT topic, sensor_id AS key FROM wire
-        WHERE regexp_matches(topic, '^telemetry/edge-m1-2/[^/]*$')""", "wire"),
+        WHERE regexp_matches(topic, '^telemetry/edge-m1-1/[^/]*$')""", "wire"),
     "ingest_rejects": _with("""SELECT sequence, event_id, sensor_id, receiving_edge, reject_reason FROM judged
         WHERE reject_reason IS NOT NULL""", "judged"),
     "ingest_accepted": _with("""SELECT sequence, event_id, sensor_id, epoch_us(observed_at) AS observed_at, edge_id,
@@ -407,7 +413,10 @@ ORACLE: dict[str, str] = {
     "accepted_count": _with("""SELECT count_if(reject_reason IS NULL) AS accepted,
         count_if(reject_reason IS NOT NULL) AS rejected FROM judged""", "judged"),
     "normalized_measures": _with("SELECT event_id, " + ", ".join(
-        f"round({_measured(n, c)}, 6) AS {n}" for n, c in MEASURES.items()) + " FROM obs", "obs"),
+        f"round({_measured(n, c)}, 6) AS {n}" for n, c in MEASURES.items()) + ", " + " + ".join(
+        f"{_null_like(c)}::BIGINT" for c in MEASURES.values()) + " AS missing_values, " + " + ".join(
+        f"(NOT {_null_like(c)} AND {_measured(n, c)} IS NULL)::BIGINT" for n, c in MEASURES.items())
+        + " AS invalid_values FROM obs", "obs"),
     "quality_counters": _with("""SELECT edge_id, count(*) AS input_events,
         cast(sum(missing_values) AS BIGINT) AS missing_values, cast(sum(invalid_values) AS BIGINT) AS invalid_values
         FROM measured GROUP BY 1""", "measured"),

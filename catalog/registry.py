@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from catalog import views as v
 from skyloom.functions import clean, geo, messages, rates, stats
-from skyloom.functions.measures import measured
+from skyloom.functions.measures import with_measures
 from skyloom.operators import clustering, ingest, pairwise, quality, replay, sensors, topology, windows, workload
 from skyloom.operators.sweep import sweep_metrics
 from skyloom.params import MEASURES, KSweep, TOPIC_TEMPLATE
@@ -236,7 +236,7 @@ def distinct_macroareas(spark, sf):
 
 @query
 def edge_lookup(spark, sf):
-    return topology.edge_lookup(v.topo(spark, sf), "edge-m1-2")
+    return topology.edge_lookup(v.topo(spark, sf), "edge-m1-1")
 
 
 @query
@@ -345,7 +345,7 @@ def event_json_roundtrip(spark, sf):
 
 @query
 def topic_filter(spark, sf):
-    rows = ingest.subscribed(sinks.event_envelope(_wire(spark, sf)), "edge-m1-2")
+    rows = ingest.subscribed(sinks.event_envelope(_wire(spark, sf)), "edge-m1-1")
     return rows.select("topic", "key")
 
 
@@ -389,8 +389,8 @@ def _summary_columns(names=NAMES):
 
 @query
 def normalized_measures(spark, sf):
-    rows = v.obs(spark, sf)
-    return rows.select("event_id", *[r(measured(F.col(m.column), m)).alias(m.name) for m in MEASURES])
+    rows = with_measures(v.obs(spark, sf), {m.name: F.col(m.column) for m in MEASURES}, MEASURES)
+    return rows.select("event_id", *[r(n).alias(n) for n in NAMES], "missing_values", "invalid_values")
 
 
 @query

@@ -7,20 +7,18 @@ from pyspark.sql import functions as F
 
 from skyloom.params import NA_TOKENS, NULL_WORDS, BoundingBox, TimeWindow, TraceColumns
 
-# Fixed value: plain decimal notation; keeps out Java suffixes such as "5d".
-NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
-STRICT_TIME = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?$"
-
-
-# Fixed value: the characters that Unicode counts as white space.
-WHITE_SPACE = (
-    " \t\n\x0b\x0c\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
-    "\u2028\u2029\u202f\u205f\u3000"
-)
+# Fixed value: white space that is cut from the ends of values (Latin-1; wider
+# Unicode blanks are kept, looking for them would triple the cost of every trim).
+WHITE_SPACE = " \t\n\x0b\x0c\r\x85\xa0"
+# Fixed value: one time layout, quote marks allowed around it.
+STRICT_TIME = r"^\s*'*\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?'*\s*$"
+# Fixed value: letters that no decimal number has. Keeps out what a cast would
+# read on top of decimals: Java suffixes ("5d"), hexadecimal, NaN, Infinity.
+NOT_IN_NUMBERS = "[a-df-zA-DF-Z]"
 
 
 def strip(c: Column) -> Column:
-    """Text without white space of any kind at its ends."""
+    """Text without white space at its ends."""
     return F.btrim(c, F.lit(WHITE_SPACE))
 
 
@@ -31,13 +29,13 @@ def clean_text(c: Column) -> Column:
 
 def null_like(c: Column) -> Column:
     """True for NULL, blank text, and every spelling of "no value"."""
-    return c.isNull() | clean_text(c).isin(*NULL_WORDS) | c.isin(*NA_TOKENS)
+    text = c.cast("string")
+    return text.isNull() | clean_text(text).isin(*NULL_WORDS) | text.isin(*NA_TOKENS)
 
 
 def to_number(c: Column) -> Column:
-    """Text to double; NULL where it is not a plain decimal number."""
-    text = strip(c)
-    return F.when(text.rlike(NUMBER), text.try_cast("double"))
+    """Text to double; NULL where it is not a plain decimal number. Blanks around it are fine."""
+    return F.when(~c.rlike(NOT_IN_NUMBERS), c.try_cast("double"))
 
 
 def parse_time(c: Column) -> Column:
@@ -45,13 +43,12 @@ def parse_time(c: Column) -> Column:
 
     Text without an offset is read in the session time zone, which must be UTC.
     """
-    return F.btrim(strip(c), F.lit("'\"")).try_cast("timestamp")
+    return F.btrim(c, F.lit(WHITE_SPACE + "'\"")).try_cast("timestamp")
 
 
 def parse_time_strict(c: Column) -> Column:
     """One layout only, ``2024-01-31T23:59:59`` with an optional fraction."""
-    text = F.btrim(strip(c), F.lit("'"))
-    return F.when(text.rlike(STRICT_TIME), text.try_cast("timestamp"))
+    return F.when(c.rlike(STRICT_TIME), F.btrim(c, F.lit(WHITE_SPACE + "'")).try_cast("timestamp"))
 
 
 def in_window(t: Column, window: TimeWindow) -> Column:

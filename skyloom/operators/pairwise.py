@@ -44,10 +44,10 @@ def cluster_distance_sums(
         F.struct(F.lit(k).alias("k"), F.lit(c).alias("cluster"), F.lit(n).alias("size")) for k, c, n in sizes
     ])
     position = F.create_map(*[
-        part for (k, c), i in slot.items() for part in (F.struct(F.lit(k), F.lit(c)), F.lit(i))
+        part for (k, c), i in slot.items() for part in (F.lit(f"{k}:{c}"), F.lit(i))
     ])
     # one row per sensor: its slot (position of its (k, cluster)) for every k; the list is as long as the sweep
-    points = assigned.withColumn("_slot", position[F.struct("k", "cluster")]).groupBy("sensor_id").agg(
+    points = assigned.withColumn("_slot", position[F.concat_ws(":", "k", "cluster")]).groupBy("sensor_id").agg(
         F.first("x_km").alias("x"), F.first("y_km").alias("y"), F.sort_array(F.collect_list("_slot")).alias("own")
     )
     n = assigned.agg(F.count_distinct("sensor_id")).first()[0]

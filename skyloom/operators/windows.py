@@ -8,25 +8,17 @@ without collecting a set.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyloom.functions import stats
-from skyloom.functions.measures import invalid, measured, missing
+from skyloom.functions.measures import with_measures
 from skyloom.params import MEASURES, SCHEMA_VERSION, Measure, WindowSizes
 
 
-def raw_value(m: Measure) -> Column:
-    return F.col("measurements")[m.name]
-
-
 def measured_events(events: DataFrame, measures: tuple[Measure, ...] = MEASURES) -> DataFrame:
     """Add one double per measure (NULL unless valid) and the event's quality counters."""
-    values = {m.name: measured(raw_value(m), m) for m in measures}
-    as_int = lambda c: c.cast("bigint")
-    gone = sum((as_int(missing(raw_value(m))) for m in measures), F.lit(0).cast("bigint"))
-    wrong = sum((as_int(invalid(raw_value(m), m)) for m in measures), F.lit(0).cast("bigint"))
-    return events.withColumns({**values, "missing_values": gone, "invalid_values": wrong})
+    return with_measures(events, {m.name: F.col("measurements")[m.name] for m in measures}, measures)
 
 
 def quality_counters(measured_rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -57,9 +49,7 @@ def edge_windows(
         F.sum("invalid_values").alias("invalid_values"),
         *[a for n in names for a in stats.summarize(n, F.col(n))],
     )
-    merged = per_sensor.groupBy(
-        F.window(F.window_time("window"), sizes.edge).alias("window"), "edge_id", "macroarea_id"
-    ).agg(
+    merged = per_sensor.groupBy("window", "edge_id", "macroarea_id").agg(
         F.count("*").alias("sensor_count"),
         *[F.sum(c).alias(c) for c in counters],
         *[a for n in names for a in stats.merge(n)],
@@ -85,9 +75,7 @@ def macroarea_windows(
     per_edge = edge_rows.groupBy(
         F.window(F.window_time("window"), sizes.macro).alias("window"), "macroarea_id", "edge_id"
     ).agg(F.sum("input_events").alias("input_events"), *[a for n in names for a in stats.merge(n)])
-    merged = per_edge.groupBy(
-        F.window(F.window_time("window"), sizes.macro).alias("window"), "macroarea_id"
-    ).agg(
+    merged = per_edge.groupBy("window", "macroarea_id").agg(
         F.count("*").alias("edge_count"),
         F.sum("input_events").alias("input_events"),
         *[a for n in names for a in stats.merge(n)],

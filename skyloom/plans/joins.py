@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 200_000
 SALTS = 32
 
 
 def at_most(df: DataFrame, rows: int) -> bool:
-    """Has the frame no more than this many rows? Stops reading once it knows."""
-    return df.limit(rows + 1).count() <= rows
+    """Has the frame no more than this many rows? A distributed count; reads no value column."""
+    return df.count() <= rows
 
 
 def lookup_join(
@@ -35,6 +35,6 @@ def lookup_join(
     if at_most(lookup, broadcast_rows):
         return facts.join(F.broadcast(lookup), key, how)
     hashable = [f.name for f in facts.schema.fields if "map" not in f.dataType.simpleString()]
-    salted = facts.withColumn("_salt", F.pmod(F.xxhash64(*hashable), F.lit(salts)))
-    repeated = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("bigint"))
+    salted = facts.withColumn("_salt", F.pmod(F.xxhash64(*hashable), F.lit(salts)).cast("int"))
+    repeated = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(repeated, [key, "_salt"], how).drop("_salt")

@@ -36,10 +36,14 @@ def exact_quantile(
 
     margin = 3.0 / accuracy
     low, high = max(q - margin, 0.0), min(q + margin, 1.0)
+    # The margin is three times the sketch's error, so beyond `accuracy` values it
+    # spans three ranks or more on each side; smaller groups are kept whole.
+    big = F.count(value) > accuracy
+    sketch = lambda p: F.when(big, F.percentile_approx(value, F.lit(p), F.lit(accuracy)))
     bracket = df.groupBy(*keys).agg(
         F.count(value).alias("_n"),
-        (F.lit(None) if low == 0 else F.percentile_approx(value, F.lit(low), F.lit(accuracy))).alias("_low"),
-        (F.lit(None) if high == 1 else F.percentile_approx(value, F.lit(high), F.lit(accuracy))).alias("_high"),
+        (F.lit(None).cast("double") if low == 0 else sketch(low)).alias("_low"),
+        (F.lit(None).cast("double") if high == 1 else sketch(high)).alias("_high"),
     )
     joined = _with_bracket(df, bracket, keys, value)
     below = F.coalesce(F.col(value) < F.col("_low"), F.lit(False))

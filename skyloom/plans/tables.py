@@ -2,7 +2,7 @@
 
 A written table cuts the lineage and survives the loss of an executor. Its place
 is the cluster's ``spark.checkpoint.dir``; where that is unset (tests, a laptop)
-one temporary folder is made and recorded in the session.
+one temporary folder is made per application.
 """
 
 from __future__ import annotations
@@ -13,13 +13,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
+_own_folders: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="skyloom-")
-        spark.conf.set(SETTING, folder)
+        app = spark.sparkContext.applicationId
+        if app not in _own_folders:
+            _own_folders[app] = tempfile.mkdtemp(prefix="skyloom-")
+        folder = _own_folders[app]
     return folder.rstrip("/")
 
 
