@@ -281,10 +281,10 @@ def _with(body: str, *needs: str) -> str:
 
 SENSOR = """sensor_id, rows, coordinate_rows, round(lat, 6) AS lat, round(lon, 6) AS lon,
   round(rows_per_day, 6) AS rows_per_day"""
-COUNTS = """count(*) AS raw_rows, count_if(in_window) AS retained_rows, count_if(t IS NULL) AS invalid_timestamp_rows,
-  count_if(t IS NOT NULL AND NOT in_window) AS outside_time_window_rows,
-  count_if(in_window AND NOT sensor_ok) AS invalid_sensor_id_rows,
-  count_if(in_window AND NOT coord_ok) AS invalid_coordinate_rows"""
+COUNTS = """count(*) AS raw_rows, count(*) FILTER (WHERE in_window) AS retained_rows, count(*) FILTER (WHERE t IS NULL) AS invalid_timestamp_rows,
+  count(*) FILTER (WHERE t IS NOT NULL AND NOT in_window) AS outside_time_window_rows,
+  count(*) FILTER (WHERE in_window AND NOT sensor_ok) AS invalid_sensor_id_rows,
+  count(*) FILTER (WHERE in_window AND NOT coord_ok) AS invalid_coordinate_rows"""
 BOUNDS = """epoch_us(min(t)) AS observed_timestamp_min, epoch_us(max(t)) AS observed_timestamp_max,
   epoch_us(min(t) FILTER (WHERE in_window)) AS retained_timestamp_min,
   epoch_us(max(t) FILTER (WHERE in_window)) AS retained_timestamp_max"""
@@ -315,8 +315,8 @@ ORACLE: dict[str, str] = {
     "scan_quality": _with(f"SELECT {COUNTS} FROM flagged", "flagged"),
     "timestamp_bounds": _with(f"SELECT {BOUNDS} FROM flagged", "flagged"),
     "column_quality": _with(" UNION ALL ".join(
-        f"""SELECT '{c}' AS "column", count_if(NOT {_null_like(f'cast({c} AS VARCHAR)')}) AS valid_rows,
-            count_if(NOT {_null_like(f'cast({c} AS VARCHAR)')}) = 0 AS all_null FROM flagged WHERE in_window"""
+        f"""SELECT '{c}' AS "column", count(*) FILTER (WHERE NOT {_null_like(f'cast({c} AS VARCHAR)')}) AS valid_rows,
+            count(*) FILTER (WHERE NOT {_null_like(f'cast({c} AS VARCHAR)')}) = 0 AS all_null FROM flagged WHERE in_window"""
         for c in OBS_COLUMNS), "flagged"),
     "active_rows": _with(f"SELECT {', '.join(ACTIVE)} FROM flagged WHERE in_window", "flagged"),
     "dataset_summary": _with(f"""SELECT {COUNTS}, {BOUNDS}, 20.0::DOUBLE AS configured_days,
@@ -410,8 +410,8 @@ ORACLE: dict[str, str] = {
         WHERE reject_reason IS NOT NULL""", "judged"),
     "ingest_accepted": _with("""SELECT sequence, event_id, sensor_id, epoch_us(observed_at) AS observed_at, edge_id,
         macroarea_id FROM judged WHERE reject_reason IS NULL""", "judged"),
-    "accepted_count": _with("""SELECT count_if(reject_reason IS NULL) AS accepted,
-        count_if(reject_reason IS NOT NULL) AS rejected FROM judged""", "judged"),
+    "accepted_count": _with("""SELECT count(*) FILTER (WHERE reject_reason IS NULL) AS accepted,
+        count(*) FILTER (WHERE reject_reason IS NOT NULL) AS rejected FROM judged""", "judged"),
     "normalized_measures": _with("SELECT event_id, " + ", ".join(
         f"round({_measured(n, c)}, 6) AS {n}" for n, c in MEASURES.items()) + ", " + " + ".join(
         f"{_null_like(c)}::BIGINT" for c in MEASURES.values()) + " AS missing_values, " + " + ".join(

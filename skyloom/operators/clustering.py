@@ -1,11 +1,7 @@
-"""K-Means zones over the projected population, their metrics, and stable labels."""
+"""Zones over the projected population: labels, topology, metrics, and the choice of k."""
 
 from __future__ import annotations
 
-from multiprocessing.pool import ThreadPool
-
-from pyspark import StorageLevel, inheritable_thread_target
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
@@ -14,44 +10,14 @@ from pyspark.sql import functions as F
 
 from skyloom.functions.geo import euclidean, nearest
 from skyloom.functions.rates import edge_label, per_second, percent
+from skyloom.operators.kmeans import Center, fit_kmeans
 from skyloom.params import KSweep
 from skyloom.plans.quantiles import exact_quantile
 
 MAX_CENTERS = 4096
-Center = tuple[int, float, float]
-
-
-# -- fitting ---------------------------------------------------------------
 
-def fit_kmeans(points: DataFrame, sweep: KSweep, parallelism: int = 8) -> dict[int, list[Center]]:
-    """Best of ``restarts`` K-Means fits for every k; centers by raw cluster id.
-
-    ``points`` has ``x_km`` and ``y_km``. Fits are independent jobs over one
-    persisted frame and run ``parallelism`` at a time.
-    """
-    features = VectorAssembler(inputCols=["x_km", "y_km"], outputCol="features").transform(points)
-    features = features.select("features").persist(StorageLevel.MEMORY_AND_DISK)
-
-    def fit(job):
-        k, seed = job
-        model = KMeans(k=k, seed=seed, maxIter=300, tol=1e-4).fit(features)
-        centers = [(i, float(c[0]), float(c[1])) for i, c in enumerate(model.clusterCenters())]
-        return k, model.summary.trainingCost, seed, centers
-
-    jobs = [(k, sweep.seed + r) for k in sweep.ks for r in range(sweep.restarts)]
-    best: dict[int, tuple] = {}
-    try:
-        features.count()
-        with ThreadPool(min(parallelism, len(jobs))) as pool:
-            run = inheritable_thread_target(points.sparkSession)(fit)
-            for k, cost, seed, centers in pool.imap_unordered(run, jobs):
-                # the seed breaks ties, so the order of completion does not matter
-                if k not in best or (cost, seed) < best[k][:2]:
-                    best[k] = (cost, seed, centers)
-    finally:
-        features.unpersist()
-    return {k: best[k][2] for k in sweep.ks}
 
+# -- labels -----------------------------------------------------------------
 
 def stable_centers(centers: list[Center]) -> list[Center]:
     """Ids renumbered from west to east, then south to north."""

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from skyloom.operators.clustering import assignments_per_k, fit_kmeans, k_metrics, zone_list
+from skyloom.operators.clustering import assignments_per_k, k_metrics, zone_list
+from skyloom.operators.kmeans import fit_kmeans
 from skyloom.operators.pairwise import silhouette_exact
 from skyloom.params import KSweep
 from skyloom.plans.tables import materialize
 
 
-def sweep_metrics(population: DataFrame, sweep: KSweep, parallelism: int = 8) -> DataFrame:
+def sweep_metrics(population: DataFrame, sweep: KSweep) -> DataFrame:
     """The metrics row of every candidate k; ``population`` should be materialized."""
-    fitted = fit_kmeans(population, sweep, parallelism)
+    fitted = fit_kmeans(population, sweep)
     assigned = materialize(assignments_per_k(population, fitted), "assignments")
     return k_metrics(assigned, zone_list(population.sparkSession, fitted), silhouette_exact(assigned))
