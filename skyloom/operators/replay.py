@@ -20,6 +20,14 @@ def route(records: DataFrame, topology: DataFrame) -> DataFrame:
     return lookup_join(records, topology.select("sensor_id", "edge_id", "macroarea_id"), "sensor_id", "left")
 
 
+def require_routes(routed: DataFrame) -> DataFrame:
+    """The routed records; the job fails at a record whose sensor is unknown."""
+    ok = F.when(F.col("edge_id").isNotNull(), True).otherwise(
+        F.raise_error(F.concat(F.lit("sensor not in the topology: "), F.col("sensor_id"))).cast("boolean")
+    )
+    return routed.filter(ok)
+
+
 def unknown_sensors(records: DataFrame, topology: DataFrame) -> DataFrame:
     """Records whose sensor is not in the topology."""
     return lookup_join(records, topology.select("sensor_id"), "sensor_id", "left_anti")

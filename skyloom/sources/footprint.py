@@ -1,14 +1,12 @@
-"""Size of the files behind a scan."""
+"""Size of stored files."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def file_footprint(scan: DataFrame) -> DataFrame:
-    """One row (files, bytes) for a file scan; reads no data column."""
-    per_file = scan.select(
-        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size")
-    ).distinct()
-    return per_file.agg(F.count("*").alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
+def file_footprint(spark: SparkSession, path: str) -> DataFrame:
+    """One row (files, bytes) for a path; lists the files and opens none of them."""
+    listed = spark.read.format("binaryFile").load(path).select("length")
+    return listed.agg(F.count("*").alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))

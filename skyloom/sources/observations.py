@@ -97,8 +97,8 @@ def trace_records(
 ) -> DataFrame:
     """Typed records with ``reject_reason``: NULL for a good one.
 
-    The reference stops at the first bad row; here every bad row is kept with
-    its reason, see :func:`good_records`.
+    Every bad row is kept with its reason; :func:`good_records` drops them, or
+    stops at the first one.
     """
     sensor = strip(F.col(cols.sensor_id))
     time = parse_time_strict(F.col(cols.timestamp))

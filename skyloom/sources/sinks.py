@@ -83,16 +83,16 @@ def write_trace(trace: DataFrame, path: str, event_time: str, sensor: str, separ
         .select(*names)
     )
     write_text_table(ordered, path, separator)
-    written = spark.read.csv(path, sep=separator, header=True, quote='"', escape='"', inferSchema=False)
-    return trace_summary(written)
+    return trace_summary(spark, path, separator)
 
 
-def trace_summary(written: DataFrame) -> DataFrame:
-    """One row (rows, files, bytes) for a scan of written files."""
-    rows = written.agg(F.count("*").alias("rows"))
-    size = file_footprint(written)
-    # both sides have exactly one row
-    return rows.withColumn("_one", F.lit(1)).join(size.withColumn("_one", F.lit(1)), "_one").drop("_one")
+def trace_summary(spark: SparkSession, path: str, separator: str = ";") -> DataFrame:
+    """One row (rows, files, bytes) of a written trace."""
+    written = spark.read.csv(path, sep=separator, header=True, quote='"', escape='"', inferSchema=False)
+    size = file_footprint(spark, path)
+    return written.agg(
+        F.count("*").alias("rows"),
+    ).select("rows", size.select("files").scalar().alias("files"), size.select("bytes").scalar().alias("bytes"))
 
 
 def event_envelope(events: DataFrame, template: str = TOPIC_TEMPLATE) -> DataFrame:

@@ -18,12 +18,14 @@ def ingest(messages: DataFrame, topology: DataFrame, template: str = TOPIC_TEMPL
     return observed_progress(judge(decode_messages(messages, template), topology))
 
 
-def deduplicated(events: DataFrame, sizes: WindowSizes = WindowSizes(), delay: str = "10 minutes") -> DataFrame:
-    """Drop repeated deliveries of an event id that arrive within the watermark delay.
+def deduplicated(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
+    """Drop repeated deliveries of an event id, on a stream those within the watermark delay.
 
-    Optional: the reference counts every delivery. The delay must cover the
-    longest redelivery gap and at least the allowed lateness.
+    Optional: without it every delivery counts. The delay must cover the longest
+    redelivery gap and at least the allowed lateness.
     """
+    if not events.isStreaming:
+        return events.dropDuplicates(["event_id"])
     return events.withWatermark("observed_at", delay).dropDuplicatesWithinWatermark(["event_id"])
 
 

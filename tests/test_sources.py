@@ -60,7 +60,7 @@ def test_file_position_and_footprint(spark, tmp_path):
     scan = observations.scan_observations(spark, path)
     placed = observations.with_file_position(scan).orderBy("_file", "_split", "_line")
     assert [r["sensor_id"] for r in placed.collect()] == list("01234")
-    row = footprint.file_footprint(scan).first()
+    row = footprint.file_footprint(spark, path).first()
     assert (row["files"], row["bytes"]) == (1, (tmp_path / "o" / "a.csv").stat().st_size)
 
 
@@ -88,7 +88,8 @@ def test_topology_errors(spark, tmp_path, body, message):
 def test_profile_of_a_file(spark, tmp_path):
     body = ("1;9;10;10;2024-01-05T00:00:00;1;nan;1;\n1;9;0;0;2024-01-06T00:00:00;1;;1;\n;9;10;10;2024-01-07;1;None;1;\n"
             "1;9;10;10;2025-01-01;1;5;1;\n1;9;10;10;soon;1;5;1;\n")
-    scan = observations.scan_observations(spark, write(tmp_path / "o", HEADER + "\n" + body))
+    path = write(tmp_path / "o", HEADER + "\n" + body)
+    scan = observations.scan_observations(spark, path)
     profile = quality.scan_profile(scan, WINDOW)
     assert tuple(quality.scan_quality(profile).first()) == (5, 3, 1, 1, 1, 1)
     assert quality.active_columns(profile) == [
@@ -96,7 +97,7 @@ def test_profile_of_a_file(spark, tmp_path):
     dead = {r["column"] for r in quality.column_quality(profile).collect() if r["all_null"]}
     assert dead == {"humidity", "extra"}
     stats = sensors.sensor_stats(scan, WINDOW)
-    summary = quality.dataset_summary(profile, stats, WINDOW, footprint.file_footprint(scan)).first()
+    summary = quality.dataset_summary(profile, stats, WINDOW, footprint.file_footprint(spark, path)).first()
     assert summary["unique_sensors"] == 1 and summary["configured_days"] == 31.0 and summary["observed_days"] == 2.0
     assert summary["file_gb"] == pytest.approx((tmp_path / "o" / "a.csv").stat().st_size / 1e9)
 
