@@ -148,8 +148,9 @@ def active_rows(spark, sf):
 
 @query
 def dataset_summary(spark, sf):
-    stats_ = sensors.sensor_stats(v.obs(spark, sf), v.WINDOW)
-    out = quality.dataset_summary(_profile(spark, sf), stats_, v.WINDOW)
+    by_sensor = materialize(quality.scan_by_sensor(v.obs(spark, sf), v.WINDOW), "by-sensor")
+    stats_ = sensors.stats_from(by_sensor, v.WINDOW)
+    out = quality.dataset_summary(quality.profile_from(by_sensor), stats_, v.WINDOW)
     return out.withColumns({c: F.unix_micros(c) for c in quality.BOUNDS}).withColumn("observed_days", r("observed_days"))
 
 
@@ -670,9 +671,11 @@ def workload_trace(spark, sf):
 @query
 def reduction_summary(spark, sf):
     _, _, sample, _ = _drawn(spark, sf)
-    stats_ = materialize(sensors.sensor_stats(v.obs(spark, sf), v.WINDOW), "sensor-stats")
+    by_sensor = materialize(quality.scan_by_sensor(v.obs(spark, sf), v.WINDOW), "by-sensor")
+    stats_ = sensors.stats_from(by_sensor, v.WINDOW)
     located = sensors.located_sensors(stats_)
-    out = quality.reduction_summary(_profile(spark, sf), stats_, located, sensors.population_in(located), sample)
+    out = quality.reduction_summary(
+        quality.profile_from(by_sensor), stats_, located, sensors.population_in(located), sample)
     return rounded(out, "workload_rows_pct", "row_reduction_pct")
 
 

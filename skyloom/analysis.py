@@ -41,15 +41,16 @@ def analyse(
 ) -> Analysis:
     """Run every step, write tables below ``<out>/tables`` and the trace to ``<out>/trace``.
 
-    The raw observations are read three times: for the profile, for the sensor
-    table, and for the trace, whose columns depend on the profile. Whatever is
-    used more than once after that is one row per sensor and is written once.
+    The raw observations are read twice: for the per-sensor scan, and for the
+    trace, whose rows and columns depend on it. Whatever is used more than once
+    in between has one row per sensor and is written once.
     """
     spark = raw.sparkSession
-    profile = materialize(quality.scan_profile(raw, window, cols=cols), "profile")
+    by_sensor = materialize(quality.scan_by_sensor(raw, window, cols=cols), "by-sensor")
+    profile = materialize(quality.profile_from(by_sensor), "profile")
     if profile.first()["retained_rows"] == 0:
         raise ValueError("no observation lies in the time window")
-    stats = materialize(sensors.sensor_stats(raw, window, cols), "sensor-stats")
+    stats = sensors.stats_from(by_sensor, window)
     population = materialize(
         sensors.projected(sensors.population_in(sensors.located_sensors(stats), box)), "population"
     )

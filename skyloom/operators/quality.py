@@ -1,11 +1,11 @@
-"""Quality report of a scan: one pass over the raw rows, then views on its one-row result."""
+"""Quality report of a scan: one pass over the raw rows, then views on its small result."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyloom.functions.clean import null_like, observation_flags
+from skyloom.functions.clean import mask, null_like, observation_flags, strip
 from skyloom.functions.rates import days_between, percent
 from skyloom.params import TimeWindow, TraceColumns
 
@@ -13,11 +13,30 @@ COUNTS = (
     "raw_rows", "retained_rows", "invalid_timestamp_rows", "outside_time_window_rows",
     "invalid_sensor_id_rows", "invalid_coordinate_rows",
 )
+VALID = "valid:"
 BOUNDS = (
     "observed_timestamp_min", "observed_timestamp_max", "retained_timestamp_min", "retained_timestamp_max",
 )
 
 
+def _counts(columns: list[str]) -> list[Column]:
+    """Aggregates of the report; they mean the same per sensor and over all rows."""
+    t, inside = F.col("event_time"), F.col("in_window")
+    return [
+        F.count("*").alias("raw_rows"),
+        F.count_if(inside).alias("retained_rows"),
+        F.count_if(t.isNull()).alias("invalid_timestamp_rows"),
+        F.count_if(t.isNotNull() & ~inside).alias("outside_time_window_rows"),
+        F.count_if(inside & ~F.col("sensor_ok")).alias("invalid_sensor_id_rows"),
+        F.count_if(inside & ~F.col("coord_ok")).alias("invalid_coordinate_rows"),
+        F.min(t).alias("observed_timestamp_min"),
+        F.max(t).alias("observed_timestamp_max"),
+        F.min(F.when(inside, t)).alias("retained_timestamp_min"),
+        F.max(F.when(inside, t)).alias("retained_timestamp_max"),
+        *[F.count_if(inside & ~null_like(F.col(f"`{c}`"))).alias(f"{VALID}{c}") for c in columns],
+    ]
+
+
 def scan_profile(
     raw: DataFrame,
     window: TimeWindow,
@@ -32,19 +51,41 @@ def scan_profile(
     counts need.
     """
     columns = raw.columns if columns is None else columns
-    t, inside = F.col("event_time"), F.col("in_window")
-    return observation_flags(raw, window, cols).agg(
-        F.count("*").alias("raw_rows"),
-        F.count_if(inside).alias("retained_rows"),
-        F.count_if(t.isNull()).alias("invalid_timestamp_rows"),
-        F.count_if(t.isNotNull() & ~inside).alias("outside_time_window_rows"),
-        F.count_if(inside & ~F.col("sensor_ok")).alias("invalid_sensor_id_rows"),
-        F.count_if(inside & ~F.col("coord_ok")).alias("invalid_coordinate_rows"),
-        F.min(t).alias("observed_timestamp_min"),
-        F.max(t).alias("observed_timestamp_max"),
-        F.min(F.when(inside, t)).alias("retained_timestamp_min"),
-        F.max(F.when(inside, t)).alias("retained_timestamp_max"),
-        *[F.count_if(inside & ~null_like(F.col(f"`{c}`"))).alias(f"valid:{c}") for c in columns],
+    return observation_flags(raw, window, cols).agg(*_counts(columns))
+
+
+def scan_by_sensor(
+    raw: DataFrame,
+    window: TimeWindow,
+    columns: list[str] | None = None,
+    cols: TraceColumns = TraceColumns(),
+) -> DataFrame:
+    """The report and the position sums per sensor id, bad ids included, in one pass.
+
+    Both the profile (:func:`profile_from`) and the sensor table
+    (``sensors.stats_from``) follow from it, so the raw rows are read once.
+    Materialize it: it has one row per sensor.
+    """
+    columns = raw.columns if columns is None else columns
+    ok = F.col("in_window") & F.col("coord_ok")
+    return (
+        observation_flags(raw, window, cols)
+        .groupBy(strip(F.col(cols.sensor_id)).alias("sensor_id"))
+        .agg(
+            *_counts(columns),
+            F.count(mask(ok, F.col("lat_num"))).alias("coordinate_rows"),
+            F.sum(mask(ok, F.col("lat_num"))).alias("lat_sum"),
+            F.sum(mask(ok, F.col("lon_num"))).alias("lon_sum"),
+        )
+    )
+
+
+def profile_from(by_sensor: DataFrame) -> DataFrame:
+    """The one-row profile of a per-sensor scan."""
+    valid = [c for c in by_sensor.columns if c.startswith(VALID)]
+    return by_sensor.agg(
+        *[F.coalesce(F.sum(f"`{c}`"), F.lit(0)).alias(c) for c in [*COUNTS, *valid]],
+        *[(F.min if c.endswith("min") else F.max)(c).alias(c) for c in BOUNDS],
     )
 
 
@@ -58,8 +99,8 @@ def timestamp_bounds(profile: DataFrame) -> DataFrame:
 
 def column_quality(profile: DataFrame) -> DataFrame:
     """Rows (column, valid_rows, all_null)."""
-    names = [c for c in profile.columns if c.startswith("valid:")]
-    renamed = profile.select(*[F.col(f"`{c}`").alias(c.split(":", 1)[1]) for c in names])
+    names = [c for c in profile.columns if c.startswith(VALID)]
+    renamed = profile.select(*[F.col(f"`{c}`").alias(c.removeprefix(VALID)) for c in names])
     return renamed.unpivot([], renamed.columns, "column", "valid_rows").withColumn(
         "all_null", F.col("valid_rows") == 0
     )
@@ -68,7 +109,7 @@ def column_quality(profile: DataFrame) -> DataFrame:
 def active_columns(profile: DataFrame) -> list[str]:
     """Columns with at least one valid value, in scan order; collects the one profile row."""
     row = profile.first()
-    return [c.split(":", 1)[1] for c in profile.columns if c.startswith("valid:") and row[c] > 0]
+    return [c.removeprefix(VALID) for c in profile.columns if c.startswith(VALID) and row[c] > 0]
 
 
 def dataset_summary(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from skyloom.functions.messages import event_id
 from skyloom.params import REPLAY_SPEEDUP, SCHEMA_VERSION
 from skyloom.plans.joins import lookup_join
-from skyloom.plans.numbering import against_previous, number_rows
+from skyloom.plans.numbering import GROUP_ROWS, against_previous, number_rows
 
 TOP_ROWS = 100_000
 
@@ -34,16 +34,20 @@ def unknown_sensors(records: DataFrame, topology: DataFrame) -> DataFrame:
 
 
 def sensor_events(
-    routed: DataFrame, tie: list[str], emitted_at: Column | None = None, group_rows: int | None = None
+    routed: DataFrame,
+    tie: list[str],
+    emitted_at: Column | None = None,
+    group_rows: int = GROUP_ROWS,
+    largest: int | None = None,
 ) -> DataFrame:
     """Events with a per-sensor sequence in (event_time, tie) order.
 
     ``tie`` names the columns that order rows of one sensor with equal times:
     the place in the file, or a content hash where that is not known.
     Records without a route must have been taken out or accepted knowingly.
+    ``largest`` is the row count of the busiest sensor, where known.
     """
-    limit = {} if group_rows is None else {"group_rows": group_rows}
-    numbered = number_rows(routed, ["sensor_id"], ["event_time", *tie], "sequence", **limit)
+    numbered = number_rows(routed, ["sensor_id"], ["event_time", *tie], "sequence", group_rows, largest)
     return numbered.select(
         F.lit(SCHEMA_VERSION).alias("schema_version"),
         event_id(F.col("sensor_id"), F.col("event_time"), F.col("sequence")).alias("event_id"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyloom.functions.clean import in_box, mask, observation_flags, strip
+from skyloom.functions.clean import in_box, mask, observation_flags, strip, valid_sensor_id
 from skyloom.functions.geo import project_europe_km
 from skyloom.params import EUROPE, BoundingBox, TimeWindow, TraceColumns
 
@@ -32,14 +32,26 @@ def sensor_stats(raw: DataFrame, window: TimeWindow, cols: TraceColumns = TraceC
             F.sum(mask(ok, F.col("lat_num"))).alias("lat_sum"),
             F.sum(mask(ok, F.col("lon_num"))).alias("lon_sum"),
         )
-        .withColumns({
-            "lat": F.try_divide("lat_sum", "coordinate_rows"),
-            "lon": F.try_divide("lon_sum", "coordinate_rows"),
-            "rows_per_day": F.col("rows") / F.lit(window.days),
-        })
+        .transform(_with_position, window)
     )
 
 
+def stats_from(by_sensor: DataFrame, window: TimeWindow) -> DataFrame:
+    """The same table from a per-sensor scan (``quality.scan_by_sensor``)."""
+    rows = by_sensor.filter(valid_sensor_id(F.col("sensor_id")) & (F.col("retained_rows") > 0))
+    return rows.select(
+        "sensor_id", F.col("retained_rows").alias("rows"), "coordinate_rows", "lat_sum", "lon_sum"
+    ).transform(_with_position, window)
+
+
+def _with_position(sums: DataFrame, window: TimeWindow) -> DataFrame:
+    return sums.withColumns({
+        "lat": F.try_divide("lat_sum", "coordinate_rows"),
+        "lon": F.try_divide("lon_sum", "coordinate_rows"),
+        "rows_per_day": F.col("rows") / F.lit(window.days),
+    })
+
+
 def located_sensors(stats: DataFrame) -> DataFrame:
     return stats.filter("coordinate_rows > 0 AND lat IS NOT NULL AND lon IS NOT NULL")
 

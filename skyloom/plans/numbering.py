@@ -17,17 +17,20 @@ def number_rows(
     order: list[str],
     name: str,
     group_rows: int = GROUP_ROWS,
+    largest: int | None = None,
 ) -> DataFrame:
     """1-based row number within ``keys`` in ascending ``order``.
 
-    While every group is small enough for a task (counted first; only the key
-    columns are read for it) this is a plain window. Otherwise the rows are
+    While every group is small enough for a task this is a plain window. The
+    biggest group is counted first; pass ``largest`` where it is known, to save
+    that pass. Otherwise the rows are
     range-partitioned by (keys, order), which cuts a hot group into many
     partitions, and a row's number is its place in its partition plus the rows
     its group has in earlier partitions. ``order`` should be total; rows equal
     in it are numbered in any order.
     """
-    largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    if largest is None:
+        largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
     if largest <= group_rows:
         w = W.partitionBy(*keys).orderBy(*order)
         return df.withColumn(name, F.row_number().over(w).cast("bigint"))
@@ -69,12 +72,13 @@ def against_previous(df: DataFrame, value: str, block: list[Column], row: Column
     """
     names = [f"_b{i}" for i in range(len(block))]
     keyed = df.withColumns({**dict(zip(names, block)), "_row": row})
-    # a struct keeps the carried value apart from "there is no earlier row"
-    last = keyed.groupBy(*names).agg(F.max_by(F.struct(value), "_row").alias("_last"))
+    last = keyed.groupBy(*names).agg(F.max_by(value, "_row").alias("_last"))
+    # one row per block, so this unpartitioned window is small
     carried = last.select(*names, F.lag("_last").over(W.orderBy(*names)).alias("_carried"))
     w = W.partitionBy(*names).orderBy("_row")
-    lagged = keyed.withColumn("_lag", F.lag(F.struct(value)).over(w))
-    previous = F.coalesce(F.col("_lag"), F.col("_carried"))[value]
+    lagged = keyed.withColumns({"_lag": F.lag(value).over(w), "_lag_row": F.lag("_row").over(w)})
+    # a NULL row marks the first row of a block; a NULL value may just be missing
+    previous = F.when(F.col("_lag_row").isNull(), F.col("_carried")).otherwise(F.col("_lag"))
     return lagged.join(carried, names).withColumn(f"previous_{value}", previous).drop(
-        *names, "_row", "_lag", "_carried"
+        *names, "_row", "_lag", "_lag_row", "_carried"
     )

@@ -164,3 +164,15 @@ def test_window_envelope_nests_metrics(spark):
 
 def test_preview(spark):
     assert observations.preview(spark.range(10)).count() == 5
+
+
+def test_one_pass_scan_equals_the_separate_ones(spark, tmp_path):
+    body = ("1;9;10;10;2024-01-05T00:00:00;1;nan;1;\n1;9;0;0;2024-01-06T00:00:00;1;;1;\n;9;10;10;2024-01-07;1;None;1;\n"
+            " 2 ;9;10;10;2025-01-01;1;5;1;\n3;9;10;x;2024-01-09;1;5;1;\n3;9;10;10;soon;1;5;1;\n")
+    scan = observations.scan_observations(spark, write(tmp_path / "o", HEADER + "\n" + body))
+    by_sensor = quality.scan_by_sensor(scan, WINDOW)
+    one, two = quality.profile_from(by_sensor).first().asDict(), quality.scan_profile(scan, WINDOW).first().asDict()
+    assert one == two
+    a, b = sensors.stats_from(by_sensor, WINDOW), sensors.sensor_stats(scan, WINDOW)
+    assert sorted(map(str, a.select(*b.columns).collect())) == sorted(map(str, b.collect()))
+    assert {r["sensor_id"] for r in a.collect()} == {"1", "3"}
