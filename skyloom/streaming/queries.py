@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -69,6 +71,32 @@ def closing_messages(topology: DataFrame, at, template: str = TOPIC_TEMPLATE) ->
     )
 
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def state_settings(spark: SparkSession, partitions: int | None = None):
+    """Session settings for stateful queries started inside the block.
+
+    A query keeps the settings it was started with. State lives in RocksDB, off
+    the heap, so that it may outgrow executor memory; it is split into one
+    partition per core unless ``partitions`` says otherwise, as the adaptive
+    planner cannot merge state partitions later.
+    """
+    wanted = {
+        "spark.sql.shuffle.partitions": str(partitions or spark.sparkContext.defaultParallelism),
+        "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
+    }
+    before = {key: spark.conf.get(key, None) for key in wanted}
+    try:
+        for key, value in wanted.items():
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 def start(df: DataFrame, path: str, checkpoint: str, partition_by: list[str] | None = None) -> StreamingQuery:
     """Write an append stream as parquet, exactly once; processes what is there, then stops."""
     writer = df.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
@@ -77,10 +105,11 @@ def start(df: DataFrame, path: str, checkpoint: str, partition_by: list[str] | N
     return writer.trigger(availableNow=True).start(path)
 
 
-def run_to_table(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
+def run_to_table(spark: SparkSession, df: DataFrame, label: str, partitions: int | None = None) -> DataFrame:
     """Run a stream over all available input into the shared folder and read the result."""
     path = new_path(spark, label)
-    query = start(df, path, f"{path}-checkpoint")
+    with state_settings(spark, partitions):
+        query = start(df, path, f"{path}-checkpoint")
     query.awaitTermination()
     if query.exception() is not None:
         raise query.exception()
