@@ -721,5 +721,5 @@ def stream_macroarea_windows(spark, sf):
 def stream_dedup(spark, sf):
     """Edge windows over a stream that delivers every message twice."""
     events = streams.deduplicated(ingest.accepted(_stream(spark, sf, repeat=True)))
-    rows = streams.edge_window_stream(events)
+    rows = streams.edge_window_stream(events, watermarked=True)
     return streams.run_to_table(spark, rows, "deduplicated").select("window_id", "input_events", "sensor_count")

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skyloom.plans.joins import lookup_join
+from skyloom.plans.tables import materialize
 
 GROUP_ROWS = 1_000_000
 SKETCH_ACCURACY = 10_000
@@ -23,29 +24,48 @@ def exact_quantile(
 ) -> DataFrame:
     """One row per group with the linearly interpolated quantile of non-null values.
 
-    Groups that fit a task use the built-in exact percentile. Beyond that, a
-    mergeable sketch with a guaranteed rank error brackets the wanted ranks;
-    only the few values inside the bracket are then counted and ranked.
+    Groups that fit a task use the built-in exact percentile, which holds a
+    group's values in one buffer. For the bigger ones a mergeable sketch with a
+    guaranteed rank error brackets the wanted ranks; only the few values inside
+    the bracket are then counted and ranked.
     """
     if not 0 <= q <= 1:
         raise ValueError("a quantile lies between 0 and 1")
-    counts = df.groupBy(*keys).agg(F.count(value).alias("_n"))
-    largest = counts.agg(F.max("_n")).first()[0] or 0
-    if largest <= group_rows:
-        return df.groupBy(*keys).agg(F.percentile(value, F.lit(q)).alias(name))
+    plain = lambda rows: rows.groupBy(*keys).agg(F.percentile(value, F.lit(q)).alias(name))
+    counts = materialize(df.groupBy(*keys).agg(F.count(value).alias("_n")), "group-sizes")
+    hot = counts.filter(F.col("_n") > group_rows)
+    if hot.isEmpty():
+        return plain(df)
+    if not keys:
+        return _bracketed(df, keys, value, q, name, accuracy)
+    key = F.col(keys[0]) if len(keys) == 1 else F.struct(*keys)
+    tagged, hot_keys = df.withColumn("_key", key), hot.select(key.alias("_key"))
+    cold_rows = lookup_join(tagged, hot_keys, "_key", "left_anti").drop("_key")
+    hot_rows = lookup_join(tagged, hot_keys, "_key", "left_semi")
+    return plain(cold_rows).unionByName(_bracketed(hot_rows, keys, value, q, name, accuracy))
 
-    margin = 3.0 / accuracy
-    low, high = max(q - margin, 0.0), min(q + margin, 1.0)
+
+def _bracketed(rows: DataFrame, keys: list[str], value: str, q: float, name: str, accuracy: int) -> DataFrame:
     # The margin is three times the sketch's error, so beyond `accuracy` values it
     # spans three ranks or more on each side; smaller groups are kept whole.
-    big = F.count(value) > accuracy
-    sketch = lambda p: F.when(big, F.percentile_approx(value, F.lit(p), F.lit(accuracy)))
-    bracket = df.groupBy(*keys).agg(
-        F.count(value).alias("_n"),
-        (F.lit(None).cast("double") if low == 0 else sketch(low)).alias("_low"),
-        (F.lit(None).cast("double") if high == 1 else sketch(high)).alias("_high"),
+    margin = 3.0 / accuracy
+    ends = F.array(F.lit(max(q - margin, 0.0)), F.lit(min(q + margin, 1.0)))
+    by = ["_key"] if keys else []
+    sketched = rows.groupBy(*by).agg(
+        F.count(value).alias("_n"), F.percentile_approx(value, ends, F.lit(accuracy)).alias("_ends")
     )
-    joined = _with_bracket(df, bracket, keys, value)
+    big = F.col("_n") > accuracy
+    bracket = materialize(sketched.select(
+        *by, "_n",
+        F.when(big, F.get("_ends", F.lit(0))).alias("_low"), F.when(big, F.get("_ends", F.lit(1))).alias("_high"),
+    ), "brackets")
+    rows = rows.filter(F.col(value).isNotNull())
+    if keys:
+        joined = lookup_join(rows, bracket, "_key", "inner")
+    else:
+        one = bracket.first()
+        joined = rows.withColumns({c: F.lit(one[c]) for c in ("_n", "_low", "_high")})
+
     below = F.coalesce(F.col(value) < F.col("_low"), F.lit(False))
     above = F.coalesce(F.col(value) > F.col("_high"), F.lit(False))
     # all values below the bracket collapse into one counted row (NULL value);
@@ -56,25 +76,11 @@ def exact_quantile(
         .agg(F.count("*").alias("_c"))
     )
     w = W.partitionBy(*keys).orderBy(F.col("_v").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0)
-    position = (F.col("_n") - 1) * F.lit(q)
-    cumulated = ranked.withColumn("_upto", F.sum("_c").over(w)).withColumn("_pos", position)
+    cumulated = ranked.withColumn("_upto", F.sum("_c").over(w)).withColumn("_pos", (F.col("_n") - 1) * F.lit(q))
     picked = cumulated.groupBy(*keys).agg(
         F.min(F.when(F.col("_upto") > F.floor("_pos"), F.col("_v"))).alias("_a"),
         F.min(F.when(F.col("_upto") > F.ceil("_pos"), F.col("_v"))).alias("_b"),
         F.max("_pos").alias("_pos"),
     )
     fraction = F.col("_pos") - F.floor("_pos")
-    result = picked.select(*keys, (F.col("_a") + (F.col("_b") - F.col("_a")) * fraction).alias(name))
-    # groups without any value keep their row
-    return counts.filter("_n = 0").select(*keys, F.lit(None).cast("double").alias(name)).unionByName(result)
-
-
-def _with_bracket(df: DataFrame, bracket: DataFrame, keys: list[str], value: str) -> DataFrame:
-    rows = df.filter(F.col(value).isNotNull())
-    if not keys:
-        one = bracket.first()
-        return rows.withColumns({c: F.lit(one[c]) for c in ("_n", "_low", "_high")})
-    if len(keys) == 1:
-        return lookup_join(rows, bracket, keys[0], "inner")
-    packed = bracket.select(F.struct(*keys).alias("_key"), "_n", "_low", "_high")
-    return lookup_join(rows.withColumn("_key", F.struct(*keys)), packed, "_key", "inner").drop("_key")
+    return picked.select(*keys, (F.col("_a") + (F.col("_b") - F.col("_a")) * fraction).alias(name))

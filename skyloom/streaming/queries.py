@@ -32,13 +32,17 @@ def deduplicated(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
 
 
 def edge_window_stream(
-    events: DataFrame, sizes: WindowSizes = WindowSizes(), measures: tuple[Measure, ...] = MEASURES
+    events: DataFrame,
+    sizes: WindowSizes = WindowSizes(),
+    measures: tuple[Measure, ...] = MEASURES,
+    watermarked: bool = False,
 ) -> DataFrame:
     """Edge windows of accepted events; rows later than the allowed lateness are dropped.
 
-    Carries a watermark of its own unless the events already have one.
+    ``watermarked`` says that the events carry a watermark already, as those of
+    :func:`deduplicated` do; its delay then takes the place of the lateness.
     """
-    if not _has_watermark(events):
+    if not watermarked:
         events = events.withWatermark("observed_at", sizes.lateness)
     return edge_windows(measured_events(events, measures), sizes, measures)
 
@@ -49,11 +53,6 @@ def macroarea_window_stream(
     return macroarea_windows(edge_rows, sizes, measures)
 
 
-def _has_watermark(df: DataFrame) -> bool:
-    plan = df._jdf.queryExecution().logical().toString()
-    return "EventTimeWatermark" in plan
-
-
 def closing_messages(topology: DataFrame, at, template: str = TOPIC_TEMPLATE) -> DataFrame:
     """One message far enough in the future to close every open window of a finished trace.
 
