@@ -32,14 +32,14 @@ def exact_quantile(
     if not 0 <= q <= 1:
         raise ValueError("a quantile lies between 0 and 1")
     plain = lambda rows: rows.groupBy(*keys).agg(F.percentile(value, F.lit(q)).alias(name))
-    counts = materialize(df.groupBy(*keys).agg(F.count(value).alias("_n")), "group-sizes")
-    hot = counts.filter(F.col("_n") > group_rows)
-    if hot.isEmpty():
+    counts = df.groupBy(*keys).agg(F.count(value).alias("_n"))
+    if (counts.agg(F.max("_n")).first()[0] or 0) <= group_rows:
         return plain(df)
     if not keys:
         return _bracketed(df, keys, value, q, name, accuracy)
     key = F.col(keys[0]) if len(keys) == 1 else F.struct(*keys)
-    tagged, hot_keys = df.withColumn("_key", key), hot.select(key.alias("_key"))
+    hot = counts.filter(F.col("_n") > group_rows).select(key.alias("_key"))
+    tagged, hot_keys = df.withColumn("_key", key), materialize(hot, "hot-keys")
     cold_rows = lookup_join(tagged, hot_keys, "_key", "left_anti").drop("_key")
     hot_rows = lookup_join(tagged, hot_keys, "_key", "left_semi")
     return plain(cold_rows).unionByName(_bracketed(hot_rows, keys, value, q, name, accuracy))
