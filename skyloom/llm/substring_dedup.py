@@ -6,8 +6,8 @@
    bucket one entry per piece of input, not one per document.
 2. A bucket confirms the recurring windows and tells them to the shards of the later documents.
 3. A shard is a block of documents of bounded bytes. It merges its confirmed windows to passages, compiles
-   an automaton of their aligned word blocks, streams all of its documents through it, and extends each hit
-   to the longest run equal to the passage. Runs of 13 words or more are covered.
+   an automaton of their aligned word blocks, streams all of its documents through it, and compares the
+   windows around each hit with the confirmed ones. What they cover goes.
 """
 
 from __future__ import annotations
@@ -21,30 +21,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyloom.llm.common import block_numbers, block_of, text_bytes, text_rows
-from skyloom.llm.words import Words, mixed, pieces, runs
+from skyloom.llm.words import Words, pieces, runs
 
 BLOCK_BYTES = 4 << 20
-BUCKET_BYTES = 1 << 18
-LOW_BITS = 48
+BUCKET_BYTES = 4 << 20
+LOW_BITS = 56
 _LOW = np.uint64((1 << LOW_BITS) - 1)
 
 
 def _pack(low: np.ndarray, ids: np.ndarray) -> bytes:
-    """48-bit hashes and the document of each, in order of the documents."""
+    """The low 56 bits of hashes and the document of each, in order of the documents; a bucket holds the high bits."""
     order = np.argsort(ids, kind="stable")
     low, ids = low[order], ids[order]
     step = np.diff(ids, prepend=ids[:1]).astype(np.uint64)
     width = next(w for w in (1, 2, 4, 8) if int(step.max()) < 1 << 8 * w)
     return b"".join((struct.pack("<qIB", int(ids[0]), len(ids), width), low.astype("<u4").tobytes(),
-                     (low >> np.uint64(32)).astype("<u2").tobytes(), step.astype(f"<u{width}").tobytes()))
+                     (low >> np.uint64(32)).astype("<u2").tobytes(), (low >> np.uint64(48)).astype("u1").tobytes(),
+                     step.astype(f"<u{width}").tobytes()))
 
 
 def _unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
     base, n, width = struct.unpack_from("<qIB", packed)
     low = np.frombuffer(packed, "<u4", n, 13).astype(np.uint64)
     high = np.frombuffer(packed, "<u2", n, 13 + 4 * n).astype(np.uint64)
-    step = np.frombuffer(packed, f"<u{width}", n, 13 + 6 * n).astype(np.uint64)
-    return low | high << np.uint64(32), np.cumsum(step).view(np.int64) + base
+    top = np.frombuffer(packed, "u1", n, 13 + 6 * n).astype(np.uint64)
+    step = np.frombuffer(packed, f"<u{width}", n, 13 + 7 * n).astype(np.uint64)
+    return low | high << np.uint64(32) | top << np.uint64(48), np.cumsum(step).view(np.int64) + base
 
 
 def _grouped(key: np.ndarray, low: np.ndarray, ids: np.ndarray):
@@ -110,96 +112,91 @@ def _confirm(blocks: int):
     return rows
 
 
-class _Automaton:
-    """Passages of one shard by their aligned word blocks.
+class _Shard:
+    """The documents of one block, with the windows that are confirmed for it."""
 
-    A run of ``window`` words of a passage holds at least one block of (window + 1) // 2 words that
-    begins at a multiple of that number, so that no occurrence is missed.
-    """
+    def __init__(self, texts: pa.Array, number: np.ndarray, keys: np.ndarray, since: np.ndarray, window: int, bits: int):
+        self.words, self.number, self.window = Words(texts), number, window
+        self.keys, self.since = keys, since
+        h, self.at = self.words.windows(window)
+        self.key = (h >> np.uint64(64 - bits)) << np.uint64(LOW_BITS) | h & _LOW
+        self.size = (window + 1) // 2
+
+    def _place(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return place, self.keys[place] == key
 
-    def __init__(self, passages: list[tuple[np.ndarray, int]], window: int):
-        self.passages, self.window = passages, window
-        size = (window + 1) // 2
-        self.size, self.places = size, {}
-        for p, (words, _) in enumerate(passages):
-            codes = self.codes(words)
-            for at in range(0, len(codes) - size + 1, size):
-                self.places.setdefault(codes[at:at + size], []).append((p, at))
-        self.machine = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for key, places in self.places.items():
-            self.machine.add_word(key, places)
-        if passages:
-            self.machine.make_automaton()
+    def passages(self) -> list[np.ndarray]:
+        """Words of merged windows, each window from the document that brought it here."""
+        place, known = self._place(self.key)
+        chosen = self.at[known & (self.since[place] == self.number[self.words.doc[self.at]])]
+        out = []
+        for a, b in zip(*runs(chosen)):
+            # starts next to each other are of one text, or the first ends where the next begins
+            for d in range(self.words.doc[a], self.words.doc[b] + 1):
+                out.append(self.words.hashes[max(a, self.words.first[d]):min(b + self.window, self.words.first[d + 1])])
+        return out
 
     @staticmethod
-    def codes(words: np.ndarray) -> tuple[int, ...]:
-        return tuple((words & np.uint64(0xFFFFFFFF)).tolist())
-
-    def covered(self, words: np.ndarray, doc_id: int) -> np.ndarray | None:
-        """Which words of a document are in a run that an earlier document has; None: no word."""
-        if not self.passages or len(words) < self.window:
-            return None
-        lines = set()
-        for end, places in self.machine.iter(self.codes(words)):
-            begin = end - self.size + 1
-            lines.update((p, begin - at) for p, at in places)
-        mask = None
-        for p, shift in lines:
-            passage, since = self.passages[p]
-            if doc_id < since:
-                continue
-            a, b = max(0, shift), min(len(words), shift + len(passage))
-            first, last = runs(np.flatnonzero(words[a:b] == passage[a - shift:b - shift]))
-            for x, y in zip(first, last):
-                if y - x + 1 >= self.window:
-                    mask = np.zeros(len(words), bool) if mask is None else mask
-                    mask[a + x:a + y + 1] = True
-        return mask
-
-
-def _passages(words: Words, number: np.ndarray, known: np.ndarray, window: int, bits: int, h, confirmed, since):
-    at = known
-    key = (h >> np.uint64(64 - bits)) << np.uint64(LOW_BITS) | h & _LOW
-    place = np.minimum(np.searchsorted(confirmed, key), len(confirmed) - 1)
-    chosen = (confirmed[place] == key) & (since[place] == number[words.doc[at]])
-    first, last = runs(at[chosen])
-    out = []
-    for a, b in zip(first, last):
-        # a run of window starts may go on into the next text
-        for d in range(words.doc[a], words.doc[b] + 1):
-            x, y = max(a, words.first[d]), min(b + window, words.first[d + 1])
-            if y - x >= window:
-                out.append((words.hashes[x:y], int(number[d])))
-    return out
+    def letters(words: np.ndarray) -> str:
+        """Two letters per word, each of 64 of its own: an automaton's nodes have few children."""
+        letters = np.empty(2 * len(words), np.uint8)
+        letters[0::2] = (words & np.uint64(63)) + np.uint64(0x30)
+        letters[1::2] = (words >> np.uint64(6) & np.uint64(63)) + np.uint64(0x80)
+        return letters.tobytes().decode("latin-1")
+
+    def automaton(self) -> ahocorasick.Automaton:
+        """Of blocks of (window + 1) // 2 words at multiples of that in a passage: any window of it holds one."""
+        machine = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+        for words in self.passages():
+            text = self.letters(words)
+            for at in range(0, len(text) - 2 * self.size + 1, 2 * self.size):
+                machine.add_word(text[at:at + 2 * self.size])
+        machine.make_automaton()
+        return machine
+
+    def covered(self) -> np.ndarray:
+        """Which words are in a confirmed window of an earlier document."""
+        mask = np.zeros(len(self.words.hashes), bool)
+        if not len(self.keys) or not len(self.at):
+            return mask
+        machine, hits, first = self.automaton(), [], self.words.first
+        for a, b in zip(first[:-1], first[1:]):
+            hits += [a + (end + 1) // 2 for end, _ in machine.iter(self.letters(self.words.hashes[a:b]))]
+        # windows around a hit, compared by all of their words
+        starts = np.unique(np.array(hits, np.int64)[:, None] - self.size - np.arange(self.window - self.size + 1))
+        which = np.minimum(np.searchsorted(self.at, starts), len(self.at) - 1)
+        which = which[self.at[which] == starts]
+        place, known = self._place(self.key[which])
+        starts = self.at[which[known & (self.since[place] <= self.number[self.words.doc[self.at[which]]])]]
+        edges = np.zeros(len(mask) + 1, np.int64)
+        np.add.at(edges, starts, 1)
+        np.add.at(edges, starts + self.window, -1)
+        return np.cumsum(edges)[:-1] > 0
 
 
 def _removed(window: int, bits: int):
     def rows(key, docs, confirmed):
-        texts = docs.column("text").combine_chunks()
-        ids = docs.column("doc_id").combine_chunks()
-        words = Words(texts)
-        known = ids.is_valid().to_numpy(zero_copy_only=False)
-        number = np.where(known, np.asarray(ids.fill_null(0), dtype=np.int64), np.iinfo(np.int64).min)
+        texts, ids = docs.column("text").combine_chunks(), docs.column("doc_id").combine_chunks()
+        # a row without an id is before all others: nothing is taken from it
+        number = np.where(ids.is_valid().to_numpy(zero_copy_only=False), np.asarray(ids.fill_null(0), dtype=np.int64), np.iinfo(np.int64).min)
         parts = [(b, *_unpack(p)) for b, p in zip(confirmed.column("bucket").to_pylist(), confirmed.column("packed").to_pylist())]
-        passages = []
+        keys, since = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         if parts:
             keys = np.concatenate([np.uint64(b) << np.uint64(LOW_BITS) | low for b, low, _ in parts])
-            docs_of = np.concatenate([d for _, _, d in parts])
-            order = np.lexsort((docs_of, keys))
-            keys, docs_of = keys[order], docs_of[order]
+            since = np.concatenate([d for _, _, d in parts])
+            order = np.lexsort((since, keys))
+            keys, since = keys[order], since[order]
             fresh = np.r_[True, keys[1:] != keys[:-1]]
-            h, at = words.windows(window)
-            passages = _passages(words, number, at, window, bits, h, keys[fresh], docs_of[fresh])
-        machine = _Automaton(passages, window)
-        kept, gone = [], []
+            keys, since = keys[fresh], since[fresh]
+        shard = _Shard(texts, number, keys, since, window, bits)
+        mask, first, kept, gone = shard.covered(), shard.words.first, [], []
         for i, text in enumerate(texts.fill_null("").to_pylist()):
-            a, b = words.first[i], words.first[i + 1]
-            mask = machine.covered(words.hashes[a:b], int(number[i])) if known[i] else None
-            every = text.encode().split()
-            kept.append(b" ".join(every if mask is None else [w for w, m in zip(every, mask) if not m]).decode())
-            gone.append(0 if mask is None else int(mask.sum()))
+            every, off = text.encode().split(), mask[first[i]:first[i + 1]]
+            gone.append(int(off.sum()))
+            kept.append(b" ".join([w for w, x in zip(every, off) if not x] if gone[-1] else every).decode())
         return pa.Table.from_arrays([
-            ids, pa.array(words.counts(), pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())],
+            ids, pa.array(shard.words.counts(), pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())],
             names=["doc_id", "n_words", "n_removed", "text"])
 
     return rows
