@@ -1,5 +1,69 @@
-"""From raw documents to token files: the stages of the training corpus."""
+"""From raw documents to token files: the stages of the training corpus.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the one before has kept.
+"""
 
 from __future__ import annotations
 
-from skyloom.llm.queries import ORACLE, QUERIES  # noqa: F401
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from public_tokenizers import path
+
+from skyloom.llm import queries
+from skyloom.llm.common import keep_rows
+from skyloom.llm.decontamination import contaminated
+from skyloom.llm.mixing import mixed
+from skyloom.llm.ngram_join import Likeness, similar_groups
+from skyloom.llm.quality import quality_scores
+from skyloom.llm.token_file import read_tokens, write_tokens
+from skyloom.plans.tables import materialize
+
+ORACLE_SQL = None  # the first stage has no SQL form
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier keeps."""
+    scores = quality_scores(docs, queries.table(spark, sf_dir, "labels"))
+    return keep_rows(docs, scores.filter("keep").select("doc_id").distinct(), "left_semi")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest doc_id of each group of near copies, and those without an id."""
+    groups = similar_groups(docs, Likeness(num=4, den=5, shingle=5))
+    return keep_rows(docs, groups.filter("doc_id <> component_id").select("doc_id").distinct(), "left_anti")
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no passage of the benchmark."""
+    found = contaminated(docs, queries.table(spark, sf_dir, "benchmark"))
+    return keep_rows(docs, found.select("doc_id").distinct(), "left_anti")
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as their source's target asks: never, once, or twice."""
+    return mixed(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files of all documents, and what they hold of each."""
+    return read_tokens(write_tokens(docs, path("word_bpe_49k.json")))
+
+
+STAGES = [
+    ("quality", quality),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("mixing", mixing),
+    ("tokens", tokens),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = queries.table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
+
+
+QUERIES = queries.QUERIES | {"pipeline": run}
+ORACLE = queries.ORACLE | ({"pipeline": ORACLE_SQL} if ORACLE_SQL else {})
