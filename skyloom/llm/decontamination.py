@@ -44,7 +44,7 @@ def _seeds(rows: DataFrame) -> DataFrame:
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id, n_equal, at): items of ``benchmark`` (item_id, text) that documents hold a passage of.
+    """(doc_id, item_id, n_equal, begins): items of ``benchmark`` (item_id, text) that documents hold a passage of.
 
     Tokens are runs of letters and digits, in lower case. A passage is a stretch of ``WINDOW`` aligned tokens around a common seed,
     at least ``LEAST`` of them equal; of its best stretch a row gives the number of equal tokens and where in the
@@ -68,4 +68,4 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     totals = F.transform(F.sequence(F.lit(1), F.size("same") - WINDOW + 1), lambda s: F.aggregate(
         F.slice("same", s, WINDOW), F.lit(0), lambda a, x: a + x))
     best = aligned.select("doc_id", "item_id", "at", F.array_max(totals).alias("n_equal")).filter(F.col("n_equal") >= LEAST)
-    return best.groupBy("doc_id", "item_id").agg(F.max("n_equal").alias("n_equal"), F.min_by("at", F.struct(-F.col("n_equal"), "at")).alias("at"))
+    return best.groupBy("doc_id", "item_id").agg(F.max("n_equal").alias("n_equal"), F.min_by("at", F.struct(-F.col("n_equal"), "at")).alias("begins"))

@@ -14,6 +14,7 @@ from skyloom.llm.line_dedup import line_dedup
 from skyloom.llm.mixing import mixed_copies
 from skyloom.llm.nearest import nearest
 from skyloom.llm.ngram_join import Likeness, similar_groups
+from skyloom.llm.oracle import ORACLE  # noqa: F401
 from skyloom.llm.pii import personal_data
 from skyloom.llm.quality import quality_scores
 from skyloom.llm.substring_dedup import substring_dedup
@@ -21,7 +22,6 @@ from skyloom.llm.token_file import read_tokens, write_tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-ORACLE: dict[str, str] = {}
 
 
 def query(fn: Query) -> Query:
