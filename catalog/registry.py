@@ -470,8 +470,7 @@ def _zone_table(spark, sf):
 
 
 def _zone_topology(spark, sf):
-    centers = clustering.collect_centers(_zone_table(spark, sf))
-    return materialize(clustering.assign_edges(v.population(spark, sf), centers), "zones")
+    return materialize(clustering.assign_edges(v.population(spark, sf), _zone_table(spark, sf)), "zones")
 
 
 @query
@@ -483,8 +482,7 @@ def stable_labels(spark, sf):
 
 @query
 def nearest_edge(spark, sf):
-    centers = clustering.collect_centers(_zone_table(spark, sf))
-    rows = clustering.assign_edges(v.population(spark, sf), centers)
+    rows = clustering.assign_edges(v.population(spark, sf), _zone_table(spark, sf))
     return rows.select("sensor_id", F.col("edge_cluster").cast("bigint").alias("edge_cluster"), "edge_id",
                        "macroarea_id", r("distance_to_edge_km", 4).alias("distance_to_edge_km"))
 

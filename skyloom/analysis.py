@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from skyloom.operators import clustering, quality, sensors, workload
-from skyloom.operators.sweep import sweep_metrics
+from skyloom.operators.sweep import sweep_zones
 from skyloom.params import (
     EUROPE, TARGET_EVENTS_PER_SECOND, WORKLOAD_SENSORS, BoundingBox, KSweep, TimeWindow, TraceColumns,
 )
@@ -38,12 +38,14 @@ def analyse(
     size: int = WORKLOAD_SENSORS,
     target: float = TARGET_EVENTS_PER_SECOND,
     cols: TraceColumns = TraceColumns(),
+    silhouette: str = "exact",
 ) -> Analysis:
     """Run every step, write tables below ``<out>/tables`` and the trace to ``<out>/trace``.
 
     The raw observations are read twice: for the per-sensor scan, and for the
-    trace, whose rows and columns depend on it. Whatever is used more than once
-    in between has one row per sensor and is written once.
+    trace, whose rows and columns depend on it. The rows of the trace are written
+    before they are sorted, as a sort reads them twice. Whatever is used more than
+    once in between has one row per sensor and is written once. ``silhouette``: see ``sweep_zones``.
     """
     spark = raw.sparkSession
     by_sensor = materialize(quality.scan_by_sensor(raw, window, cols=cols), "by-sensor")
@@ -60,18 +62,30 @@ def analyse(
         "no missing value": invariants.no_nulls(filled),
     }))
 
-    metrics = materialize(sweep_metrics(population, sweep), "k-metrics")
+    metrics, fitted = sweep_zones(population, sweep, silhouette)
+    metrics = materialize(metrics, "k-metrics")
     k = clustering.best_k(metrics).first()["k"]
-    topology, centers = clustering.edge_topology(population, k, sweep.restarts, sweep.seed)
+    topology, centers = clustering.edge_topology(population, k, sweep.restarts, sweep.seed, fitted[k])
     topology = materialize(topology, "topology")
+    invariants.require(invariants.violations(topology, {
+        "topology size": invariants.rows_are(population.count()),
+        "unique sensor": invariants.unique(topology, ["sensor_id"]),
+        "zone and distance": invariants.no_nulls(["edge_id", "edge_cluster", "distance_to_edge_km", "macroarea_id"]),
+    }))
     centroids = clustering.centroid_table(spark, centers)
 
     quotas = materialize(workload.balanced_quotas(workload.population_by_edge(topology), size), "quotas")
+    invariants.require(invariants.violations(quotas, {
+        "quotas add up": invariants.sum_is("sensor_quota", size),
+        "quota within population": invariants.none_where("sensor_quota > population_sensors"),
+        "one row per edge": invariants.unique(quotas, ["edge_id"]),
+    }))
     chosen = materialize(workload.stratified_sample(topology, quotas, size, sweep.seed), "workload")
     shares = materialize(workload.workload_shares(quotas, chosen, size), "shares")
     invariants.require(invariants.violations(chosen, {
         "workload size": invariants.rows_are(size),
         "unique sensor": invariants.unique(chosen, ["sensor_id"]),
+        "edge and macroarea": invariants.no_nulls(["edge_id", "macroarea_id"]),
     }))
     invariants.require(workload.quota_mismatches(shares))
     invariants.require(workload.assignment_mismatches(chosen, topology))
@@ -88,7 +102,7 @@ def analyse(
     }
     sinks.export_tables(tables, f"{out}/tables")
 
-    rows = workload.workload_rows(raw, chosen, window, quality.active_columns(profile), cols)
+    rows = materialize(workload.workload_rows(raw, chosen, window, quality.active_columns(profile), cols), "trace-rows")
     trace = sinks.write_trace(rows, f"{out}/trace", "event_time", cols.sensor_id)
     written, expected = trace.first()["rows"], chosen.agg({"rows": "sum"}).first()[0]
     if written != expected:

@@ -57,16 +57,8 @@ def euclidean(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
     return F.sqrt(dx * dx + dy * dy)
 
 
-def nearest(x: Column, y: Column, centers: list[tuple[int, float, float]]) -> Column:
-    """struct(distance, cluster) of the closest of a few centers; the lower id wins a tie.
-
-    The centers are a driver-side list whose length is a parameter (k), so they
-    travel inside the plan and no join is needed.
-    """
-    table = F.array(*[
-        F.struct(F.lit(i).alias("cluster"), F.lit(float(cx)).alias("x"), F.lit(float(cy)).alias("y"))
-        for i, cx, cy in centers
-    ])
-    return F.array_min(F.transform(table, lambda c: F.struct(
+def nearest(x: Column, y: Column, centers: Column) -> Column:
+    """struct(distance, cluster) of the closest of an array of struct(cluster, x, y); the lower id wins a tie."""
+    return F.array_min(F.transform(centers, lambda c: F.struct(
         euclidean(x, y, c["x"], c["y"]).alias("distance"), c["cluster"].alias("cluster"),
     )))

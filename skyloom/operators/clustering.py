@@ -14,8 +14,6 @@ from skyloom.operators.kmeans import Center, fit_kmeans
 from skyloom.params import KSweep
 from skyloom.plans.quantiles import exact_quantile
 
-MAX_CENTERS = 4096
-
 
 # -- labels -----------------------------------------------------------------
 
@@ -44,17 +42,15 @@ def stable_labels(centroids: DataFrame) -> DataFrame:
 
 # -- assignment --------------------------------------------------------------
 
-def collect_centers(centroids: DataFrame) -> list[Center]:
-    """A centroid table as a driver-side list; its length is the number of zones."""
-    rows = centroids.select("edge_cluster", "centroid_x_km", "centroid_y_km").limit(MAX_CENTERS + 1).collect()
-    if len(rows) > MAX_CENTERS:
-        raise ValueError(f"more than {MAX_CENTERS} centroids are not a zone table")
-    return sorted((r[0], r[1], r[2]) for r in rows)
+def _center_array(zones: DataFrame):
+    """The zone table as one array value; its length is the number of zones."""
+    struct = F.struct(F.col("edge_cluster").alias("cluster"), F.col("centroid_x_km").alias("x"), F.col("centroid_y_km").alias("y"))
+    return zones.agg(F.sort_array(F.collect_list(struct))).scalar()
 
 
-def assign_edges(population: DataFrame, centers: list[Center], macroarea_id: str = "none") -> DataFrame:
-    """Topology of a population: nearest zone, its label, and the distance to it."""
-    near = nearest(F.col("x_km"), F.col("y_km"), centers)
+def assign_edges(population: DataFrame, zones: DataFrame, macroarea_id: str = "none") -> DataFrame:
+    """Topology of a population: nearest zone of a centroid table, its label, and the distance to it."""
+    near = nearest(F.col("x_km"), F.col("y_km"), _center_array(zones))
     return (
         population.withColumn("_near", near)
         .withColumns({
@@ -67,11 +63,15 @@ def assign_edges(population: DataFrame, centers: list[Center], macroarea_id: str
     )
 
 
-def edge_topology(population: DataFrame, k: int, restarts: int = 20, seed: int = 42) -> tuple[DataFrame, list[Center]]:
-    """Refit with the chosen k and assign; returns the topology and its stable centers."""
-    fitted = fit_kmeans(population, KSweep(k, k, restarts, seed))
-    centers = stable_centers(fitted[k])
-    return assign_edges(population, centers), centers
+def edge_topology(
+    population: DataFrame, k: int, restarts: int = 20, seed: int = 42, fitted: list[Center] | None = None,
+) -> tuple[DataFrame, list[Center]]:
+    """Assign with the chosen k; returns the topology and its stable centers.
+
+    ``fitted`` are the centers of a sweep for this k; without them they are fitted here.
+    """
+    centers = stable_centers(fitted or fit_kmeans(population, KSweep(k, k, restarts, seed))[k])
+    return assign_edges(population, centroid_table(population.sparkSession, centers)), centers
 
 
 # -- summaries ---------------------------------------------------------------
@@ -139,9 +139,11 @@ def k_metrics(assigned: DataFrame, zones: DataFrame, silhouettes: DataFrame) ->
 def assignments_per_k(population: DataFrame, fitted: dict[int, list[Center]]) -> DataFrame:
     """Rows (sensor_id, x_km, y_km, k, cluster, distance, load_eps), one per sensor and k."""
     x, y = F.col("x_km"), F.col("y_km")
-    per_k = F.array(*[
-        F.struct(F.lit(k).alias("k"), nearest(x, y, centers).alias("near")) for k, centers in fitted.items()
-    ])
+    centers = population.sparkSession.createDataFrame(
+        [(k, c, cx, cy) for k, cs in fitted.items() for c, cx, cy in cs], "k INT, cluster INT, x DOUBLE, y DOUBLE")
+    lists = centers.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("cluster", "x", "y"))).alias("centers"))
+    every = lists.agg(F.sort_array(F.collect_list(F.struct("k", "centers")))).scalar()
+    per_k = F.transform(every, lambda one: F.struct(one["k"].alias("k"), nearest(x, y, one["centers"]).alias("near")))
     return population.select(
         "sensor_id", "x_km", "y_km", per_second(F.col("rows_per_day")).alias("load_eps"),
         F.explode(per_k).alias("_a"),

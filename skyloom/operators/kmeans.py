@@ -28,7 +28,6 @@ from skyloom.params import KSweep
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 CHUNK_ROWS = 1_024
-DIRECT_ROWS = 50_000
 Center = tuple[int, float, float]
 
 
@@ -43,10 +42,10 @@ class _Model:
 def fit_kmeans(points: DataFrame, sweep: KSweep, max_iterations: int = 300, tolerance: float = 1e-4) -> dict[int, list[Center]]:
     """Centers of the best restart for every k, from ``points`` (sensor_id, x_km, y_km)."""
     # a pass costs thousands of distances per point, so even few points are spread over all cores
-    cores = points.sparkSession.sparkContext.defaultParallelism
+    cores = max(points.sparkSession.sparkContext.defaultParallelism, int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     frame = points.select(
         F.col("x_km").alias("x"), F.col("y_km").alias("y"), F.xxhash64("sensor_id").alias("h")
-    ).repartition(max(cores, points.rdd.getNumPartitions()), "h").persist(StorageLevel.MEMORY_AND_DISK)
+    ).repartition(cores, "h").persist(StorageLevel.MEMORY_AND_DISK)
     try:
         spread = frame.agg(F.count("*").alias("n"), F.var_pop("x").alias("vx"), F.var_pop("y").alias("vy")).first()
         if spread["n"] < sweep.k_max:
@@ -157,9 +156,8 @@ def _sums(frame: DataFrame, models: list[_Model]) -> np.ndarray:
         yield pd.DataFrame({"slot": hit, "n": total[hit, 0], "sx": total[hit, 1], "sy": total[hit, 2], "d2": total[hit, 3]})
 
     rows = frame.mapInPandas(add_up, "slot int, n double, sx double, sy double, d2 double")
-    if frame.rdd.getNumPartitions() * offsets[-1] > DIRECT_ROWS:
-        # many tasks: let Spark merge their rows, so that the driver gets one per cluster
-        rows = rows.groupBy("slot").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "d2")])
+    # the driver gets one row per cluster
+    rows = rows.groupBy("slot").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "d2")])
     out = np.zeros((offsets[-1], 4))
     got = rows.toPandas()
     np.add.at(out, got["slot"].to_numpy(), got[["n", "sx", "sy", "d2"]].to_numpy())

@@ -10,9 +10,7 @@ from pyspark.sql import functions as F
 from skyloom.functions.messages import event_id
 from skyloom.params import REPLAY_SPEEDUP, SCHEMA_VERSION
 from skyloom.plans.joins import lookup_join
-from skyloom.plans.numbering import GROUP_ROWS, against_previous, number_rows
-
-TOP_ROWS = 100_000
+from skyloom.plans.numbering import against_previous, number_rows
 
 
 def route(records: DataFrame, topology: DataFrame) -> DataFrame:
@@ -37,17 +35,14 @@ def sensor_events(
     routed: DataFrame,
     tie: list[str],
     emitted_at: Column | None = None,
-    group_rows: int = GROUP_ROWS,
-    largest: int | None = None,
 ) -> DataFrame:
     """Events with a per-sensor sequence in (event_time, tie) order.
 
     ``tie`` names the columns that order rows of one sensor with equal times:
     the place in the file, or a content hash where that is not known.
     Records without a route must have been taken out or accepted knowingly.
-    ``largest`` is the row count of the busiest sensor, where known.
     """
-    numbered = number_rows(routed, ["sensor_id"], ["event_time", *tie], "sequence", group_rows, largest)
+    numbered = number_rows(routed, ["sensor_id"], ["event_time", *tie], "sequence")
     return numbered.select(
         F.lit(SCHEMA_VERSION).alias("schema_version"),
         event_id(F.col("sensor_id"), F.col("event_time"), F.col("sequence")).alias("event_id"),
@@ -81,16 +76,13 @@ def edge_changes(events: DataFrame) -> DataFrame:
     )
 
 
-def first_events(events: DataFrame, n: int, order: list[str], top_rows: int = TOP_ROWS) -> DataFrame:
+def first_events(events: DataFrame, n: int, order: list[str]) -> DataFrame:
     """The first ``n`` events in ``order``; 0 means all.
 
-    A small ``n`` is a top-n. A big one is cut by row number, so that the kept
-    rows never meet in one task.
+    Rows are cut by row number, so that the kept ones never meet in one task.
     """
     if n < 0:
         raise ValueError("the number of events must not be negative")
     if n == 0:
         return events
-    if n <= top_rows:
-        return events.orderBy(*order).limit(n)
     return number_rows(events, [], order, "_seq").filter(F.col("_seq") <= n).drop("_seq")

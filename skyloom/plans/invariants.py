@@ -23,6 +23,16 @@ def rows_are(expected: int) -> Column:
     return F.abs(F.count("*") - F.lit(expected))
 
 
+def sum_is(column: str, expected: int) -> Column:
+    """Aggregate: distance of a sum from the expected one."""
+    return F.abs(F.coalesce(F.sum(column), F.lit(0)) - F.lit(expected))
+
+
+def none_where(condition: str) -> Column:
+    """Aggregate: rows for which the condition holds."""
+    return F.count_if(F.expr(condition))
+
+
 def violations(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """Evaluate aggregate rules in one pass; rows (rule, offending) where offending > 0."""
     one = df.agg(*[rule.cast("bigint").alias(name) for name, rule in rules.items()])

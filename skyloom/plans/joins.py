@@ -5,36 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 200_000
-SALTS = 32
 
+def lookup_join(facts: DataFrame, lookup: DataFrame, key: str, how: str = "left", unique: bool = False) -> DataFrame:
+    """``facts`` joined with ``lookup`` on one key.
 
-def at_most(df: DataFrame, rows: int) -> bool:
-    """Has the frame no more than this many rows? A distributed count; reads no value column."""
-    return df.count() <= rows
-
-
-def lookup_join(
-    facts: DataFrame,
-    lookup: DataFrame,
-    key: str,
-    how: str = "left",
-    broadcast_rows: int = BROADCAST_ROWS,
-    salts: int = SALTS,
-) -> DataFrame:
-    """``facts`` joined with ``lookup`` on one key, safe when a key holds most rows.
-
-    A lookup counted to be small is broadcast: the facts stay where they are.
-    A bigger one is shuffled, with the facts of every key spread over ``salts``
-    slices by a hash of the whole row and the lookup repeated once per slice, so
-    one hot key becomes many tasks. Exact copies of one row share a slice; the
-    adaptive skew join (on by default) splits what remains.
+    Spark chooses by the lookup's bytes whether it travels to the facts, and splits a hot key at run time
+    (adaptive skew join, on by default): both sides are shuffled for this join only. ``unique`` makes the job fail at a key that
+    the lookup holds more than once, where it would multiply facts.
     """
     if how not in ("left", "inner", "left_semi", "left_anti"):
         raise ValueError(f"unsupported lookup join type {how!r}")
-    if at_most(lookup, broadcast_rows):
-        return facts.join(F.broadcast(lookup), key, how)
-    hashable = [f.name for f in facts.schema.fields if "map" not in f.dataType.simpleString()]
-    salted = facts.withColumn("_salt", F.pmod(F.xxhash64(*hashable), F.lit(salts)).cast("int"))
-    repeated = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(repeated, [key, "_salt"], how).drop("_salt")
+    return facts.join(one_per_key(lookup, key) if unique else lookup, key, how)
+
+
+def one_per_key(lookup: DataFrame, key: str) -> DataFrame:
+    """The lookup; the job fails at a key with several rows."""
+    others = [c for c in lookup.columns if c != key]
+    rows = lookup.groupBy(key).agg(F.count("*").alias("_n"), *[F.any_value(F.struct(*others)).alias("_row")] if others else [])
+    ok = F.when(F.col("_n") == 1, True).otherwise(F.raise_error(
+        F.concat(F.lit(f"more than one row for {key} "), F.coalesce(F.col(key).cast("string"), F.lit("NULL")))).cast("boolean"))
+    return rows.filter(ok).select(key, *[F.col("_row")[c].alias(c) for c in others])

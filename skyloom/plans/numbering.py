@@ -2,39 +2,23 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skyloom.plans.tables import materialize
 
-GROUP_ROWS = 2_000_000
-
 
-def number_rows(
-    df: DataFrame,
-    keys: list[str],
-    order: list[str],
-    name: str,
-    group_rows: int = GROUP_ROWS,
-    largest: int | None = None,
-) -> DataFrame:
+def number_rows(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
     """1-based row number within ``keys`` in ascending ``order``.
 
-    While every group is small enough for a task this is a plain window. The
-    biggest group is counted first; pass ``largest`` where it is known, to save
-    that pass. Otherwise the rows are
-    range-partitioned by (keys, order), which cuts a hot group into many
-    partitions, and a row's number is its place in its partition plus the rows
+    The rows are range-partitioned by (keys, order), which cuts a hot group into
+    many partitions, and a row's number is its place in its partition plus the rows
     its group has in earlier partitions. ``order`` should be total; rows equal
     in it are numbered in any order.
     """
-    if largest is None:
-        largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    if largest <= group_rows:
-        w = W.partitionBy(*keys).orderBy(*order)
-        return df.withColumn(name, F.row_number().over(w).cast("bigint"))
-
     # The last sort column makes all keys differ, so copies of a row split too.
     ranged = (
         df.withColumn("_tie", F.monotonically_increasing_id())
@@ -79,6 +63,8 @@ def against_previous(df: DataFrame, value: str, block: list[Column], row: Column
     lagged = keyed.withColumns({"_lag": F.lag(value).over(w), "_lag_row": F.lag("_row").over(w)})
     # a NULL row marks the first row of a block; a NULL value may just be missing
     previous = F.when(F.col("_lag_row").isNull(), F.col("_carried")).otherwise(F.col("_lag"))
-    return lagged.join(carried, names).withColumn(f"previous_{value}", previous).drop(
-        *names, "_row", "_lag", "_lag_row", "_carried"
+    same = reduce(Column.__and__, [F.col(n).eqNullSafe(F.col(f"_c{n}")) for n in names])
+    carried = carried.select(*[F.col(n).alias(f"_c{n}") for n in names], "_carried")
+    return lagged.join(carried, same).withColumn(f"previous_{value}", previous).drop(
+        *names, *[f"_c{n}" for n in names], "_row", "_lag", "_lag_row", "_carried"
     )

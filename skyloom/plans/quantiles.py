@@ -6,43 +6,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from skyloom.plans.joins import lookup_join
 from skyloom.plans.tables import materialize
 
-GROUP_ROWS = 1_000_000
 SKETCH_ACCURACY = 10_000
 
 
 def exact_quantile(
-    df: DataFrame,
-    keys: list[str],
-    value: str,
-    q: float,
-    name: str,
-    group_rows: int = GROUP_ROWS,
-    accuracy: int = SKETCH_ACCURACY,
+    df: DataFrame, keys: list[str], value: str, q: float, name: str, accuracy: int = SKETCH_ACCURACY,
 ) -> DataFrame:
     """One row per group with the linearly interpolated quantile of non-null values.
 
-    Groups that fit a task use the built-in exact percentile, which holds a
-    group's values in one buffer. For the bigger ones a mergeable sketch with a
-    guaranteed rank error brackets the wanted ranks; only the few values inside
-    the bracket are then counted and ranked.
+    A mergeable sketch with a guaranteed rank error brackets the wanted ranks; only the
+    few values inside the bracket are then counted and ranked. A group of at most ``accuracy`` values is its own bracket.
     """
     if not 0 <= q <= 1:
         raise ValueError("a quantile lies between 0 and 1")
-    plain = lambda rows: rows.groupBy(*keys).agg(F.percentile(value, F.lit(q)).alias(name))
-    counts = df.groupBy(*keys).agg(F.count(value).alias("_n"))
-    if (counts.agg(F.max("_n")).first()[0] or 0) <= group_rows:
-        return plain(df)
     if not keys:
         return _bracketed(df, keys, value, q, name, accuracy)
     key = F.col(keys[0]) if len(keys) == 1 else F.struct(*keys)
-    hot = counts.filter(F.col("_n") > group_rows).select(key.alias("_key"))
-    tagged, hot_keys = df.withColumn("_key", key), materialize(hot, "hot-keys")
-    cold_rows = lookup_join(tagged, hot_keys, "_key", "left_anti").drop("_key")
-    hot_rows = lookup_join(tagged, hot_keys, "_key", "left_semi")
-    return plain(cold_rows).unionByName(_bracketed(hot_rows, keys, value, q, name, accuracy))
+    return _bracketed(df.withColumn("_key", key), keys, value, q, name, accuracy)
 
 
 def _bracketed(rows: DataFrame, keys: list[str], value: str, q: float, name: str, accuracy: int) -> DataFrame:
@@ -61,7 +43,7 @@ def _bracketed(rows: DataFrame, keys: list[str], value: str, q: float, name: str
     ), "brackets")
     rows = rows.filter(F.col(value).isNotNull())
     if keys:
-        joined = lookup_join(rows, bracket, "_key", "inner")
+        joined = rows.join(bracket.withColumnRenamed("_key", "_of"), F.col("_key").eqNullSafe(F.col("_of")))
     else:
         one = bracket.first()
         joined = rows.withColumns({c: F.lit(one[c]) for c in ("_n", "_low", "_high")})
@@ -83,4 +65,12 @@ def _bracketed(rows: DataFrame, keys: list[str], value: str, q: float, name: str
         F.max("_pos").alias("_pos"),
     )
     fraction = F.col("_pos") - F.floor("_pos")
-    return picked.select(*keys, (F.col("_a") + (F.col("_b") - F.col("_a")) * fraction).alias(name))
+    picked = picked.select(*keys, (F.col("_a") + (F.col("_b") - F.col("_a")) * fraction).alias(name))
+    if not keys:
+        return picked
+    # a group without a value has no rank, but a row
+    single = len(keys) == 1
+    picked = picked.select((F.col(keys[0]) if single else F.struct(*keys)).alias("_key"), name)
+    groups = bracket.select(F.col("_key").alias("_of"))
+    return groups.join(picked, F.col("_of").eqNullSafe(F.col("_key")), "left").select(
+        *[(F.col("_of") if single else F.col("_of")[k]).alias(k) for k in keys], name)

@@ -9,7 +9,9 @@ import pytest
 
 import __spark_entry__ as entry_module
 
-QUERIES, ORACLE = entry_module.queries(), entry_module.oracle_sql()
+from catalog.oracle import ORACLE
+from catalog.registry import QUERIES
+
 WITHOUT_SQL = {"kmeans_topology", "k_sweep"}
 
 
@@ -49,4 +51,5 @@ def test_query(spark, sf_dir, duck, name):
 
 
 def test_entry(spark):
+    assert set(QUERIES) <= set(entry_module.queries()) and set(ORACLE) <= set(entry_module.oracle_sql())
     assert entry_module.entry(spark).count() > 0

@@ -70,7 +70,8 @@ def test_projection_check_points(spark):
 
 def test_nearest_prefers_the_lower_id_on_a_tie(spark):
     df = spark.createDataFrame([(0.0, 0.0), (3.0, 4.0)], "x double, y double")
-    near = geo.nearest(F.col("x"), F.col("y"), [(2, 1.0, 0.0), (1, -1.0, 0.0), (5, 3.0, 0.0)])
+    near = geo.nearest(F.col("x"), F.col("y"), F.array(*[
+        F.struct(F.lit(i).alias("cluster"), F.lit(cx).alias("x"), F.lit(0.0).alias("y")) for i, cx in ((2, 1.0), (1, -1.0), (5, 3.0))]))
     got = [r[0] for r in df.select(near).collect()]
     assert (got[0]["cluster"], got[0]["distance"]) == (1, 1.0)
     assert (got[1]["cluster"], got[1]["distance"]) == (5, 4.0)

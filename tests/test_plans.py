@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skyloom.plans import invariants, joins, numbering, quantiles, tables
@@ -18,15 +19,15 @@ def skewed(spark):
     return tables.materialize(df, "skewed")
 
 
-def test_number_rows_paths_agree(skewed):
-    plain = numbering.number_rows(skewed, ["key"], ["t", "tie"], "n")
-    ranged = numbering.number_rows(skewed, ["key"], ["t", "tie"], "n", group_rows=100)
+def test_number_rows_of_a_hot_group(skewed):
+    ranged = numbering.number_rows(skewed, ["key"], ["t", "tie"], "n")
+    plain = skewed.withColumn("n", F.row_number().over(W.partitionBy("key").orderBy("t", "tie")).cast("bigint"))
     assert sorted(map(tuple, ranged.collect())) == sorted(map(tuple, plain.collect()))
     assert ranged.dtypes == plain.dtypes
 
 
 def test_number_rows_without_keys(skewed):
-    ranged = numbering.number_rows(skewed, [], ["t", "key", "tie"], "n", group_rows=100)
+    ranged = numbering.number_rows(skewed, [], ["t", "key", "tie"], "n")
     rows = ranged.orderBy("n").collect()
     assert [r["n"] for r in rows] == list(range(1, 6_001))
     assert [(r["t"], r["key"], r["tie"]) for r in rows] == sorted((r["t"], r["key"], r["tie"]) for r in rows)
@@ -34,32 +35,42 @@ def test_number_rows_without_keys(skewed):
 
 def test_number_rows_null_key(spark):
     df = spark.createDataFrame([(None, 3), (None, 1), ("x", 2)], "key string, t int")
-    ranged = numbering.number_rows(df, ["key"], ["t"], "n", group_rows=1)
+    ranged = numbering.number_rows(df, ["key"], ["t"], "n")
     assert sorted(map(tuple, ranged.collect()), key=str) == [("x", 2, 1), (None, 1, 1), (None, 3, 2)]
 
 
 def test_hot_group_is_split(skewed):
-    ranged = numbering.number_rows(skewed, ["key"], ["t", "tie"], "n", group_rows=100)
+    ranged = numbering.number_rows(skewed, ["key"], ["t", "tie"], "n")
     plan = ranged._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" in plan  # only over the run counts
     assert "row_number" not in plan
 
 
 @pytest.mark.parametrize("how", ["left", "inner", "left_semi", "left_anti"])
-def test_lookup_join_paths_agree(spark, skewed, how):
+def test_lookup_join_of_a_hot_key(spark, skewed, how):
     lookup = spark.createDataFrame([("a", 1), ("k2", 2), ("zz", 3)], "key string, v int")
-    small = joins.lookup_join(skewed, lookup, "key", how)
-    salted = joins.lookup_join(skewed, lookup, "key", how, broadcast_rows=1, salts=5)
-    assert sorted(map(tuple, salted.collect()), key=str) == sorted(map(tuple, small.collect()), key=str)
-    assert salted.columns == small.columns
-    text = small._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastHashJoin" in text
+    kept = {"left": lambda k: True, "inner": lambda k: k in ("a", "k2"), "left_semi": lambda k: k in ("a", "k2"), "left_anti": lambda k: k not in ("a", "k2")}[how]
+    value = {"a": (1,), "k2": (2,)}
+    want = [(*r, *(value.get(r["key"], (None,)) if how in ("left", "inner") else ())) for r in skewed.collect() if kept(r["key"])]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    for limit in (before, "-1"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        got = joins.lookup_join(skewed, lookup, "key", how).collect()
+        assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
-def test_lookup_join_salts_the_hot_key(spark, skewed):
-    lookup = spark.createDataFrame([("a", 1), ("k2", 2)], "key string, v int")
-    salted = joins.lookup_join(skewed, lookup, "key", broadcast_rows=1, salts=8)
-    assert "_salt" in salted._jdf.queryExecution().optimizedPlan().toString()
+def test_lookup_join_can_insist_on_one_row_per_key(spark, skewed):
+    lookup = spark.createDataFrame([("a", 1), ("k2", 2), ("k2", 2)], "key string, v int")
+    assert joins.lookup_join(skewed, lookup.limit(1), "key", "left", unique=True).columns == ["key", "t", "tie", "v"]
+    with pytest.raises(Exception, match="more than one row for key k2"):
+        joins.lookup_join(skewed, lookup, "key", "inner", unique=True).collect()
+
+
+def test_against_previous_with_a_null_block(spark):
+    df = spark.createDataFrame([(None, 0, 5), (None, 1, 3), ("b", 2, 1)], "block string, row int, t int")
+    out = numbering.against_previous(df, "t", [F.col("block")], F.col("row")).orderBy("row").collect()
+    assert [(r["t"], r["previous_t"]) for r in out] == [(5, None), (3, 5), (1, 3)]
 
 
 def test_against_previous(spark):
@@ -82,7 +93,7 @@ def test_exact_quantile_paths_agree_with_numpy(spark, q):
     plain = {r["key"]: r["p"] for r in quantiles.exact_quantile(df, ["key"], "v", q, "p").collect()}
     hard = {
         r["key"]: r["p"]
-        for r in quantiles.exact_quantile(df, ["key"], "v", q, "p", group_rows=10, accuracy=200).collect()
+        for r in quantiles.exact_quantile(df, ["key"], "v", q, "p", accuracy=200).collect()
     }
     for k, want in expected.items():
         assert plain[k] == (None if want is None else pytest.approx(want, abs=1e-9))
@@ -92,10 +103,10 @@ def test_exact_quantile_paths_agree_with_numpy(spark, q):
 def test_exact_quantile_two_keys_and_none(spark):
     df = spark.range(1_000).selectExpr("id % 2 AS a", "id % 3 AS b", "cast(id AS double) AS v")
     plain = quantiles.exact_quantile(df, ["a", "b"], "v", 0.95, "p").collect()
-    hard = quantiles.exact_quantile(df, ["a", "b"], "v", 0.95, "p", group_rows=5, accuracy=50).collect()
+    hard = quantiles.exact_quantile(df, ["a", "b"], "v", 0.95, "p", accuracy=50).collect()
     key = lambda r: (r["a"], r["b"], round(r["p"], 9))
     assert sorted(map(key, plain)) == sorted(map(key, hard))
-    one = quantiles.exact_quantile(df, [], "v", 0.95, "p", group_rows=5, accuracy=50).first()["p"]
+    one = quantiles.exact_quantile(df, [], "v", 0.95, "p", accuracy=50).first()["p"]
     assert one == pytest.approx(np.quantile(np.arange(1_000), 0.95))
 
 

@@ -29,13 +29,12 @@ def records(spark, rows):
 def test_sequence_follows_time_then_place(spark, topo):
     rows = [(0, "42", 5), (1, "43", 5), (2, "42", 5), (3, "42", 1), (4, "42", 9)]
     routed = replay.route(records(spark, rows), topo)
-    for limit in (100, 1):  # plain window and range-split numbering
-        events = replay.sensor_events(routed, ["pos"], F.lit("2024-01-01").cast("timestamp"), group_rows=limit)
-        got = {(r["sensor_id"], r["sequence"]): r["event_id"] for r in events.collect()}
-        assert got == {
-            ("42", 1): "v1:42:1000000000:1", ("42", 2): "v1:42:5000000000:2", ("42", 3): "v1:42:5000000000:3",
-            ("42", 4): "v1:42:9000000000:4", ("43", 1): "v1:43:5000000000:1",
-        }
+    events = replay.sensor_events(routed, ["pos"], F.lit("2024-01-01").cast("timestamp"))
+    got = {(r["sensor_id"], r["sequence"]): r["event_id"] for r in events.collect()}
+    assert got == {
+        ("42", 1): "v1:42:1000000000:1", ("42", 2): "v1:42:5000000000:2", ("42", 3): "v1:42:5000000000:3",
+        ("42", 4): "v1:42:9000000000:4", ("43", 1): "v1:43:5000000000:1",
+    }
 
 
 def test_unknown_sensor_keeps_null_route(spark, topo):
@@ -72,9 +71,8 @@ def test_edge_changes(spark):
 
 def test_first_events(spark):
     df = spark.range(100).withColumn("t", 100 - F.col("id"))
-    for top_rows in (50, 5):
-        got = replay.first_events(df, 10, ["t", "id"], top_rows)
-        assert sorted(r["id"] for r in got.collect()) == list(range(90, 100))
+    got = replay.first_events(df, 10, ["t", "id"])
+    assert sorted(r["id"] for r in got.collect()) == list(range(90, 100))
     assert replay.first_events(df, 0, ["t"]).count() == 100
     with pytest.raises(ValueError):
         replay.first_events(df, -1, ["t"])

@@ -55,14 +55,6 @@ def test_fit_matches_mllib_and_is_reproducible(spark, population):
         assert np.allclose(sorted(fitted[k]), sorted(again[k]))
 
 
-def test_merge_by_spark_gives_the_same_centers(population, monkeypatch):
-    direct = kmeans.fit_kmeans(population, KSweep(4, 5, 2))
-    monkeypatch.setattr(kmeans, "DIRECT_ROWS", 0)
-    merged = kmeans.fit_kmeans(population, KSweep(4, 5, 2))
-    for k in direct:
-        assert np.allclose(direct[k], merged[k])
-
-
 def test_too_few_points(spark, population):
     with pytest.raises(ValueError):
         kmeans.fit_kmeans(population.limit(3), KSweep(3, 4, 1))
