@@ -89,7 +89,7 @@ view("topo", sql="""topo AS (
     cast(300 + c_custkey * 37 % 450 AS DOUBLE) / 10 AS lat,
     cast(-300 + c_custkey * 53 % 800 AS DOUBLE) / 10 AS lon
   FROM customer JOIN nation ON c_nationkey = n_nationkey
-  WHERE c_acctbal >= 0 AND c_custkey IN (SELECT user_id FROM events))""")
+  WHERE c_acctbal >= 0)""")
 
 view("flagged", "obs", sql=f"""flagged_t AS (
   SELECT *, try_cast(trim(trim(timestamp), '''"') AS TIMESTAMP) AS t,
@@ -438,6 +438,15 @@ ORACLE: dict[str, str] = {
           macroarea_id, count(*), count(DISTINCT edge_id), 2
         FROM measured WHERE observed_at >= TIMESTAMP '2024-01-15 12:00:00' GROUP BY 1, 2)
         QUALIFY row_number() OVER (PARTITION BY window_id ORDER BY version DESC) = 1""", "measured"),
+    "stream_upsert": _with("""SELECT window_id, macroarea_id, input_events, edge_count, version FROM (
+        SELECT concat(macroarea_id, ':', cast(epoch_us(observed_at) // 900000000 * 900 AS VARCHAR)) AS window_id,
+          macroarea_id, count(*) AS input_events, count(DISTINCT edge_id) AS edge_count, 1::BIGINT AS version
+        FROM measured WHERE observed_at < TIMESTAMP '2024-01-15 12:10:00' GROUP BY 1, 2
+        UNION ALL
+        SELECT concat(macroarea_id, ':', cast(epoch_us(observed_at) // 900000000 * 900 AS VARCHAR)),
+          macroarea_id, count(*), count(DISTINCT edge_id), 2
+        FROM measured WHERE observed_at >= TIMESTAMP '2024-01-15 12:00:00' GROUP BY 1, 2)
+        QUALIFY row_number() OVER (PARTITION BY window_id ORDER BY version DESC) = 1""", "measured"),
     "stable_labels": _with("""SELECT source_edge AS edge_id, edge_cluster, centroid_x_km, centroid_y_km
         FROM labels_""", "labels_"),
     "nearest_edge": _with("""SELECT sensor_id, edge_cluster, edge_id, 'none' AS macroarea_id,
@@ -464,15 +473,15 @@ ORACLE: dict[str, str] = {
         GROUP BY z.k""", "silhouettes"),
     "silhouette_exact": _with("""SELECT k::BIGINT AS k, sensor_id, round(silhouette, 6) AS silhouette
         FROM silhouettes""", "silhouettes"),
-    "silhouette_squared": _with("""SELECT 5::BIGINT AS k, count(*) AS sensors,
+    "silhouette_squared": _with("""SELECT k::BIGINT AS k, count(*) AS sensors,
         round(avg(coalesce((b - a) / greatest(a, b), 0)), 6) AS silhouette FROM (
-          SELECT sensor_id, max(CASE WHEN own = s.cluster AND size > 1 THEN total / (size - 1) END) AS a,
+          SELECT s.k, sensor_id, max(CASE WHEN own = s.cluster AND size > 1 THEN total / (size - 1) END) AS a,
             min(CASE WHEN own <> s.cluster THEN total / size END) AS b
-          FROM (SELECT p.sensor_id, p.cluster AS own, q.cluster,
+          FROM (SELECT p.k, p.sensor_id, p.cluster AS own, q.cluster,
                   sum((p.x_km - q.x_km) ** 2 + (p.y_km - q.y_km) ** 2) AS total
-                FROM segments p JOIN segments q ON p.k = q.k WHERE p.k = 5 GROUP BY 1, 2, 3) s
-          JOIN (SELECT cluster, count(*) AS size FROM segments WHERE k = 5 GROUP BY 1) z ON s.cluster = z.cluster
-          GROUP BY 1)""", "segments"),
+                FROM segments p JOIN segments q ON p.k = q.k GROUP BY 1, 2, 3, 4) s
+          JOIN (SELECT k, cluster, count(*) AS size FROM segments GROUP BY 1, 2) z ON s.cluster = z.cluster AND s.k = z.k
+          GROUP BY 1, 2) GROUP BY 1""", "segments"),
     "elbow_k": _with("""SELECT k, round(chord, 6) AS chord_distance FROM (
         SELECT k, abs((x1 - x0) * (y - y0) - (y1 - y0) * (x - x0)) / sqrt((x1 - x0) ** 2 + (y1 - y0) ** 2) AS chord
         FROM (SELECT *, first(x) OVER w AS x0, first(y) OVER w AS y0, last(x) OVER w AS x1, last(y) OVER w AS y1 FROM (
@@ -488,8 +497,10 @@ ORACLE: dict[str, str] = {
     "workload_shares": _with("""SELECT edge_id, population_sensors, round(population_share_pct, 6)
         AS population_share_pct, sensor_quota, selected_sensors, round(workload_share_pct, 6) AS workload_share_pct,
         edge_cluster FROM shares""", "shares"),
-    "quota_mismatches": _with("""SELECT edge_id, edge_cluster, sensor_quota, selected_sensors FROM shares
-        WHERE selected_sensors IS DISTINCT FROM sensor_quota""", "shares"),
+    "quota_mismatches": _with("""SELECT q.edge_id, q.edge_cluster, q.sensor_quota, c.n AS selected_sensors
+        FROM quotas q LEFT JOIN (SELECT edge_id, count(DISTINCT sensor_id) AS n FROM sample_
+          WHERE sensor_id > (SELECT min(sensor_id) FROM sample_) GROUP BY 1) c USING (edge_id)
+        WHERE c.n IS DISTINCT FROM q.sensor_quota""", "sample_"),
     "assignment_consistency": _with("""SELECT s.sensor_id, s.edge_id AS edge_id_workload,
         topo.edge_id AS edge_id_population FROM sample_ s JOIN topo ON s.sensor_id = topo.sensor_id
         WHERE s.edge_id <> topo.edge_id""", "sample_", "topo"),

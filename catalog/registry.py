@@ -446,9 +446,8 @@ def edge_window_envelope(spark, sf):
     )
 
 
-@query
-def upserted_windows(spark, sf):
-    """Windows of the first half of the trace, updated by those of the whole trace."""
+def _macro_versions(spark, sf):
+    """Windows of the first half of the trace, and those of the rest, which overlap."""
     rows = materialize(_measured(spark, sf), "measured")
     early = rows.filter(F.col("observed_at") < F.lit("2024-01-15 12:10:00").cast("timestamp"))
     keep = ["window_id", "macroarea_id", "input_events", "edge_count", "version"]
@@ -458,7 +457,30 @@ def upserted_windows(spark, sf):
         return out.withColumn("version", F.lit(version).cast("bigint")).select(*keep)
 
     late = rows.filter(F.col("observed_at") >= F.lit("2024-01-15 12:00:00").cast("timestamp"))
-    return sinks.upsert_windows(macro(early, 1), macro(late, 2), "version")
+    return macro(early, 1), macro(late, 2)
+
+
+@query
+def upserted_windows(spark, sf):
+    """Windows of the first half of the trace, updated by those of the rest."""
+    return sinks.upsert_windows(*_macro_versions(spark, sf), "version")
+
+
+@query
+def stream_upsert(spark, sf):
+    """As upserted_windows, by two streaming queries: the second has a fresh checkpoint and counts batches from 0."""
+    table = new_path(spark, "window-table")
+    rows = _macro_versions(spark, sf)
+    for version, part in enumerate(rows):
+        source = new_path(spark, "versions")
+        part.write.parquet(source)
+        stream = spark.readStream.schema(part.schema).parquet(source)
+        running = (stream.writeStream.foreachBatch(sinks.upsert_into(spark, table, "version"))
+                   .option("checkpointLocation", new_path(spark, "checkpoint")).trigger(availableNow=True).start())
+        running.awaitTermination()
+        if running.exception() is not None:
+            raise running.exception()
+    return sinks.upserted(spark, table)
 
 
 # -- zones ---------------------------------------------------------------------------
@@ -532,10 +554,11 @@ def silhouette_exact(spark, sf):
 
 @query
 def silhouette_squared(spark, sf):
-    rows = materialize(_segments(spark, sf).filter("k = 5"), "segments")
-    value = clustering.silhouette_squared(rows)
+    rows = materialize(_segments(spark, sf), "segments")
+    values = {k: clustering.silhouette_squared(rows.filter(F.col("k") == k)) for k in (5, 6, 7)}
+    value = F.element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), F.col("k"))
     return rows.groupBy("k").agg(F.count("*").alias("sensors")).select(
-        F.col("k").cast("bigint").alias("k"), "sensors", F.round(F.lit(value), 6).alias("silhouette")
+        F.col("k").cast("bigint").alias("k"), "sensors", F.round(value, 6).alias("silhouette")
     )
 
 
@@ -591,8 +614,8 @@ def _drawn(spark, sf):
     topology_ = _zone_topology(spark, sf)
     population = workload.population_by_edge(topology_)
     size = _workload_size(population)
-    quotas = workload.balanced_quotas(population, size)
-    return topology_, quotas, workload.stratified_sample(topology_, quotas, size), size
+    quotas = materialize(workload.balanced_quotas(population, size), "quotas")
+    return topology_, quotas, materialize(workload.stratified_sample(topology_, quotas, size), "sample"), size
 
 
 def _wide_cluster(df):
@@ -620,7 +643,9 @@ def workload_shares(spark, sf):
 
 @query
 def quota_mismatches(spark, sf):
+    """The sample without its first sensor, which its edge then misses."""
     _, quotas, sample, size = _drawn(spark, sf)
+    sample = sample.filter(F.col("sensor_id") > sample.agg(F.min("sensor_id")).scalar())
     return _wide_cluster(workload.quota_mismatches(workload.workload_shares(quotas, sample, size)).select(
         "edge_id", "edge_cluster", "sensor_quota", "selected_sensors"))
 

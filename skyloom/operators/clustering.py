@@ -50,15 +50,15 @@ def _center_array(zones: DataFrame):
 
 def assign_edges(population: DataFrame, zones: DataFrame, macroarea_id: str = "none") -> DataFrame:
     """Topology of a population: nearest zone of a centroid table, its label, and the distance to it."""
-    near = nearest(F.col("x_km"), F.col("y_km"), _center_array(zones))
+    near = nearest(F.col("x_km"), F.col("y_km"), F.col("_centers"))
     return (
-        population.withColumn("_near", near)
+        population.withColumn("_centers", _center_array(zones)).withColumn("_near", near)
         .withColumns({
             "edge_cluster": F.col("_near.cluster").cast("int"),
             "distance_to_edge_km": F.col("_near.distance"),
             "macroarea_id": F.lit(macroarea_id),
         })
-        .drop("_near")
+        .drop("_near", "_centers")
         .withColumn("edge_id", edge_label(F.col("edge_cluster")))
     )
 
@@ -143,8 +143,8 @@ def assignments_per_k(population: DataFrame, fitted: dict[int, list[Center]]) ->
         [(k, c, cx, cy) for k, cs in fitted.items() for c, cx, cy in cs], "k INT, cluster INT, x DOUBLE, y DOUBLE")
     lists = centers.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("cluster", "x", "y"))).alias("centers"))
     every = lists.agg(F.sort_array(F.collect_list(F.struct("k", "centers")))).scalar()
-    per_k = F.transform(every, lambda one: F.struct(one["k"].alias("k"), nearest(x, y, one["centers"]).alias("near")))
-    return population.select(
+    per_k = F.transform("_every", lambda one: F.struct(one["k"].alias("k"), nearest(x, y, one["centers"]).alias("near")))
+    return population.withColumn("_every", every).select(
         "sensor_id", "x_km", "y_km", per_second(F.col("rows_per_day")).alias("load_eps"),
         F.explode(per_k).alias("_a"),
     ).select(

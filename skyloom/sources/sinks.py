@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -142,33 +145,54 @@ def upsert_windows(existing: DataFrame, updates: DataFrame, version: str, key: s
     return both.withColumn("_rank", F.row_number().over(w)).filter("_rank = 1").drop("_rank", "_new")
 
 
-def upsert_into(spark: SparkSession, folder: str, version: str, key: str = "window_id"):
+# Fixed value: day of a window from its id, "<place>:<start in epoch seconds>".
+WINDOW_DAY = "coalesce(cast(date(timestamp_seconds(try_cast(substring_index(window_id, ':', -1) AS BIGINT))) AS STRING), 'none')"
+_LOG = "query_id STRING, batch_id BIGINT, sequence BIGINT, day STRING, path STRING"
+
+
+def upsert_into(spark: SparkSession, folder: str, version: str, key: str = "window_id", day: str = WINDOW_DAY):
     """A ``foreachBatch`` function that keeps a parquet table of the newest row per key.
 
-    Every batch writes a new generation below ``folder`` from the previous one;
-    a repeated batch id writes the same generation again, so retries are safe.
+    A batch writes the days it touches anew, below ``folder/data``, and then one line per day to ``folder/log``: that
+    is the commit. Lines carry the query's id, which a new checkpoint renews, and the batch id: a repeated batch is skipped, and a query that
+    starts over with batch 0 goes on from what is there. One query at a time writes a table.
     """
+    own = uuid.uuid4().hex
+
     def apply(batch: DataFrame, batch_id: int) -> None:
-        latest = current_generation(spark, folder, before=batch_id)
-        base = batch.limit(0) if latest is None else latest
-        merged = upsert_windows(base, batch, version, key)
-        merged.write.mode("overwrite").parquet(f"{folder}/generation={batch_id}")
+        query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or own
+        log = _committed(spark, folder)
+        if not log.filter((F.col("query_id") == query) & (F.col("batch_id") == batch_id)).isEmpty():
+            return
+        rows = batch.withColumn("_day", F.expr(day))
+        touched = [r[0] for r in rows.select("_day").distinct().collect()]  # days of one micro-batch
+        if not touched:
+            return
+        held = _newest(log).filter(F.col("day").isin(touched)).select("path").collect()
+        existing = spark.read.schema(batch.schema).parquet(*[r[0] for r in held]) if held else batch.limit(0)
+        path = f"{folder}/data/{uuid.uuid4().hex}"
+        upsert_windows(existing, batch, version, key).withColumn("_day", F.expr(day)).write.partitionBy("_day").parquet(path)
+        sequence = (log.agg(F.max("sequence")).first()[0] or 0) + 1
+        lines = [(query, batch_id, sequence, d, f"{path}/_day={d}") for d in touched]
+        spark.createDataFrame(lines, _LOG).coalesce(1).write.mode("append").parquet(f"{folder}/log")
 
     return apply
 
 
-def current_generation(spark: SparkSession, folder: str, before: int | None = None) -> DataFrame | None:
-    """The newest complete generation, or None."""
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(folder)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return None
-    numbers = []
-    for status in fs.listStatus(root):
-        name = status.getPath().getName()
-        done = fs.exists(jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS"))
-        if name.startswith("generation=") and done:
-            numbers.append(int(name.split("=")[1]))
-    numbers = [n for n in numbers if before is None or n < before]
-    return spark.read.parquet(f"{folder}/generation={max(numbers)}") if numbers else None
+def _committed(spark: SparkSession, folder: str) -> DataFrame:
+    try:
+        return spark.read.schema(_LOG).parquet(f"{folder}/log")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], _LOG)
+
+
+def _newest(log: DataFrame) -> DataFrame:
+    return log.groupBy("day").agg(F.max_by("path", "sequence").alias("path"))
+
+
+def upserted(spark: SparkSession, folder: str) -> DataFrame | None:
+    """The table that :func:`upsert_into` keeps, as last committed; None before the first commit."""
+    paths = [r[0] for r in _newest(_committed(spark, folder)).select("path").collect()]  # one per day
+    return spark.read.parquet(*paths) if paths else None

@@ -139,16 +139,19 @@ def test_upsert_keeps_the_newest(spark):
     assert "WindowGroupLimit" in out._jdf.queryExecution().executedPlan().toString()
 
 
-def test_upsert_into_generations(spark, tmp_path):
-    folder = str(tmp_path / "windows")
-    assert sinks.current_generation(spark, folder) is None
-    apply = sinks.upsert_into(spark, folder, "version")
-    schema = "window_id string, version int, n int"
-    apply(spark.createDataFrame([("w1", 1, 10)], schema), 0)
-    batch = spark.createDataFrame([("w1", 2, 11), ("w2", 1, 20)], schema)
-    apply(batch, 1)
-    apply(batch, 1)  # a retry of the same batch changes nothing
-    assert sorted(map(tuple, sinks.current_generation(spark, folder).collect())) == [("w1", 2, 11), ("w2", 1, 20)]
+def test_upsert_survives_a_new_checkpoint(spark, tmp_path):
+    """Two days, a repeated batch, and a second query whose batch ids start again at 0."""
+    folder, rows = str(tmp_path / "table"), lambda x: spark.createDataFrame(x, "window_id string, version int, value int")
+    assert sinks.upserted(spark, folder) is None
+    first = sinks.upsert_into(spark, folder, "version")
+    for i in range(3):
+        first(rows([("a:0", i, i), (f"b{i}:90000", 1, i)]), i)
+    first(rows([("a:0", 99, 99)]), 2)  # already committed
+    second = sinks.upsert_into(spark, folder, "version")
+    second(rows([("c:0", 1, 7), ("b1:90000", 0, 8), ("odd", 1, 1)]), 0)
+    got = sorted(map(tuple, sinks.upserted(spark, folder).collect()))
+    assert got == [("a:0", 2, 2), ("b0:90000", 1, 0), ("b1:90000", 1, 1), ("b2:90000", 1, 2), ("c:0", 1, 7), ("odd", 1, 1)]
+    assert spark.read.parquet(f"{folder}/log").filter("day = '1970-01-02'").count() == 4
 
 
 def test_window_envelope_nests_metrics(spark):

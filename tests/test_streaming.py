@@ -131,4 +131,4 @@ def test_windows_upserted_by_batches(spark, topo, tmp_path):
     more, _ = batch_windows(spark, topo, events(spark, topo, range(0, 900, 100)))
     apply(edge.drop("window"), 0)
     apply(more.drop("window"), 1)
-    assert rows(sinks.current_generation(spark, folder).drop("generation")) == rows(more)
+    assert rows(sinks.upserted(spark, folder)) == rows(more)
