@@ -170,6 +170,21 @@ view("parsed", "obs", sql="""parsed AS (
     coalesce(trim(pressure), '') AS pressure_hpa
   FROM obs)""")
 
+view("ragged", "parsed", sql="""ragged_lines AS (
+  SELECT p.event_id, p.sensor_id, p.t, concat_ws(';', p.event_id::VARCHAR, o.sensor_id, o.location, o.timestamp, coalesce(o.temperature, '')) AS five,
+    concat(';', coalesce(o.humidity, ''), ';', coalesce(o.pressure, ''), ';1;2') AS more,
+    concat_ws(';', p.event_id::VARCHAR, o.sensor_id, '"x') AS opened,
+    CASE WHEN p.event_id % 7 = 0 THEN 'short' WHEN p.event_id % 11 = 0 THEN 'long' WHEN p.event_id % 13 = 0 THEN 'broken' ELSE 'whole' END AS kind
+  FROM parsed p JOIN obs o USING (event_id)),
+ragged AS (
+  SELECT event_id::VARCHAR AS event_id, sensor_id, epoch_us(t) AS event_time,
+    CASE WHEN kind <> 'whole' THEN 'wrong number of columns' WHEN sensor_id = '' THEN 'empty sensor_id'
+         WHEN t IS NULL THEN 'invalid timestamp' END AS reject_reason,
+    CASE kind WHEN 'short' THEN five WHEN 'long' THEN concat(five, more) END AS bad_row
+  FROM ragged_lines WHERE kind <> 'broken'
+  UNION ALL SELECT event_id::VARCHAR, sensor_id, NULL, 'wrong number of columns', opened FROM ragged_lines WHERE kind = 'broken'
+  UNION ALL SELECT 'y"', '1', NULL, 'wrong number of columns', 'y";1;2' FROM ragged_lines WHERE kind = 'broken')""")
+
 view("records", "parsed", sql="records AS (SELECT * FROM parsed WHERE sensor_id <> '' AND t IS NOT NULL)")
 
 view("routed", "records", "topo", sql="""routed AS (
@@ -303,6 +318,8 @@ ORACLE: dict[str, str] = {
     "trace_records": _with("""SELECT event_id::VARCHAR AS event_id, sensor_id, location_id, epoch_us(t) AS event_time,
         temperature_c, humidity_pct, pressure_hpa, CASE WHEN sensor_id = '' THEN 'empty sensor_id'
         WHEN t IS NULL THEN 'invalid timestamp' END AS reject_reason FROM parsed""", "parsed"),
+    "ragged_trace_rows": _with("""SELECT event_id, sensor_id, event_time, reject_reason, bad_row FROM ragged""", "ragged"),
+    "ragged_profile": _with("SELECT coalesce(reject_reason, 'good') AS reason, count(*) AS rows FROM ragged GROUP BY 1", "ragged"),
     "topology_scan": _with("SELECT * FROM topo", "topo"),
     "parsed_timestamps": _with("SELECT event_id, epoch_us(t) AS event_time FROM flagged", "flagged"),
     "time_filtered": _with(

@@ -60,7 +60,7 @@ def preview(spark, sf):
 def observation_scan(spark, sf):
     path = new_path(spark, "observations")
     sinks.write_text_table(v.obs(spark, sf), path, separator=";")
-    return observations.scan_observations(spark, path)
+    return observations.whole_rows(observations.scan_observations(spark, path), strict=True)
 
 
 @query
@@ -483,6 +483,38 @@ def stream_upsert(spark, sf):
     return sinks.upserted(spark, table)
 
 
+# -- rows of the wrong width -----------------------------------------------------------
+
+def _ragged(spark, sf):
+    """A trace file with rows that lack two cells, have two more, or a line break inside quotes."""
+    path = new_path(spark, "ragged")
+    cells = ["sensor_id", "location", "timestamp", *[m.column for m in MEASURES]]
+    line = F.concat_ws(";", F.col("event_id").cast("string"), *[F.coalesce(c, F.lit("")) for c in cells])
+    two = F.split(line, ";")
+    text = (F.when(F.col("event_id") % 7 == 0, F.array(F.array_join(F.slice(two, 1, 5), ";")))
+            .when(F.col("event_id") % 11 == 0, F.array(F.concat(line, F.lit(";1;2"))))
+            .when(F.col("event_id") % 13 == 0, F.array(F.concat_ws(";", F.get(two, F.lit(0)), F.get(two, F.lit(1)), F.lit('"x')), F.lit('y";1;2')))
+            .otherwise(F.array(line)))
+    header = ";".join(["event_id", *cells])
+    # one column whose name is the header, without quoting: lines as they are, a header in each file
+    v.obs(spark, sf).select(F.explode(text).alias(header)).write.csv(
+        path, header=True, sep="\x01", quote="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return observations.scan_trace(spark, path)
+
+
+@query
+def ragged_trace_rows(spark, sf):
+    rows = observations.trace_records(_ragged(spark, sf), keep=("event_id", observations.BAD_ROW))
+    return rows.select("event_id", "sensor_id", us("event_time"), "reject_reason", F.col(observations.BAD_ROW).alias("bad_row"))
+
+
+@query
+def ragged_profile(spark, sf):
+    """Rows by what became of them, whole rows first read."""
+    rows = observations.trace_records(_ragged(spark, sf))
+    return rows.groupBy(F.coalesce("reject_reason", F.lit("good")).alias("reason")).agg(F.count("*").alias("rows"))
+
+
 # -- zones ---------------------------------------------------------------------------
 
 def _zone_table(spark, sf):

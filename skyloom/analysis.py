@@ -14,6 +14,7 @@ from skyloom.params import (
 from skyloom.plans import invariants
 from skyloom.plans.tables import materialize
 from skyloom.sources import sinks
+from skyloom.sources.observations import whole_rows
 
 
 @dataclass(frozen=True)
@@ -45,9 +46,9 @@ def analyse(
     The raw observations are read twice: for the per-sensor scan, and for the
     trace, whose rows and columns depend on it. The rows of the trace are written
     before they are sorted, as a sort reads them twice. Whatever is used more than
-    once in between has one row per sensor and is written once. ``silhouette``: see ``sweep_zones``.
+    once in between has one row per sensor and is written once. A row of the wrong width stops the run. ``silhouette``: see ``sweep_zones``.
     """
-    spark = raw.sparkSession
+    spark, raw = raw.sparkSession, whole_rows(raw, strict=True)
     by_sensor = materialize(quality.scan_by_sensor(raw, window, cols=cols), "by-sensor")
     profile = materialize(quality.profile_from(by_sensor), "profile")
     if profile.first()["retained_rows"] == 0:

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from skyloom.params import NA_TOKENS, NULL_WORDS, BoundingBox, TimeWindow, TraceColumns
 
-# Fixed value: white space that is cut from the ends of values (Latin-1; wider
-# Unicode blanks are kept, looking for them would triple the cost of every trim).
+# White space that is cut from the ends of values, and that beyond Latin-1.
 WHITE_SPACE = " \t\n\x0b\x0c\r\x85\xa0"
+WIDE_SPACE = r"^[\s\x0B\x{85}\p{Z}]+|[\s\x0B\x{85}\p{Z}]+$"
 # Fixed value: one time layout, quote marks allowed around it.
 STRICT_TIME = r"^\s*'*\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?'*\s*$"
 # Fixed value: letters that no decimal number has. Keeps out what a cast would
@@ -18,8 +18,8 @@ NOT_IN_NUMBERS = "[a-df-zA-DF-Z]"
 
 
 def strip(c: Column) -> Column:
-    """Text without white space at its ends."""
-    return F.btrim(c, F.lit(WHITE_SPACE))
+    """Text without white space at its ends; Unicode blanks are looked for in non-ASCII text only."""
+    return F.when(F.octet_length(c) > F.length(c), F.regexp_replace(c, WIDE_SPACE, "")).otherwise(F.btrim(c, F.lit(WHITE_SPACE)))
 
 
 def clean_text(c: Column) -> Column:
@@ -35,15 +35,17 @@ def null_like(c: Column) -> Column:
 
 def to_number(c: Column) -> Column:
     """Text to double; NULL where it is not a plain decimal number. Blanks around it are fine."""
-    return F.when(~c.rlike(NOT_IN_NUMBERS), c.try_cast("double"))
+    return F.when(~c.rlike(NOT_IN_NUMBERS), strip(c).try_cast("double"))
 
 
 def parse_time(c: Column) -> Column:
     """Lenient ISO time: blanks and quote marks stripped, offsets honoured, NULL on failure.
 
-    Text without an offset is read in the session time zone, which must be UTC.
+    Text without an offset is read in the session time zone, which must be UTC. A time without
+    a date is NULL: a cast would give it the date of today.
     """
-    return F.btrim(c, F.lit(WHITE_SPACE + "'\"")).try_cast("timestamp")
+    text = F.btrim(strip(c), F.lit(WHITE_SPACE + "'\""))
+    return F.when(~F.instr(text, ":").between(1, 4), text.try_cast("timestamp"))
 
 
 def parse_time_strict(c: Column) -> Column:

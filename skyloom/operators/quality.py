@@ -17,6 +17,7 @@ VALID = "valid:"
 BOUNDS = (
     "observed_timestamp_min", "observed_timestamp_max", "retained_timestamp_min", "retained_timestamp_max",
 )
+from skyloom.sources.observations import BAD_ROW
 
 
 def _counts(columns: list[str]) -> list[Column]:
@@ -50,7 +51,7 @@ def scan_profile(
     ``columns`` defaults to all of the scan; pass ``[]`` to read only what the
     counts need.
     """
-    columns = raw.columns if columns is None else columns
+    columns = [c for c in raw.columns if c != BAD_ROW] if columns is None else columns
     return observation_flags(raw, window, cols).agg(*_counts(columns))
 
 
@@ -66,7 +67,7 @@ def scan_by_sensor(
     (``sensors.stats_from``) follow from it, so the raw rows are read once.
     Materialize it: it has one row per sensor.
     """
-    columns = raw.columns if columns is None else columns
+    columns = [c for c in raw.columns if c != BAD_ROW] if columns is None else columns
     ok = F.col("in_window") & F.col("coord_ok")
     return (
         observation_flags(raw, window, cols)

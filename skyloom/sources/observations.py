@@ -10,6 +10,7 @@ from skyloom.functions.measures import measurement_map
 from skyloom.params import MEASURES, Measure, TraceColumns
 
 SEPARATOR = ";"
+BAD_ROW = "_bad_row"
 
 
 def scan_text_table(
@@ -21,8 +22,10 @@ def scan_text_table(
 ) -> DataFrame:
     """All-string scan with a header; names are trimmed, and missing or doubled ones are errors.
 
-    Every file's header must agree with the first one's. ``multiline`` allows
-    line breaks inside quoted values, at the price of one task per file.
+    Every file's header must agree with the first one's. A row with more or fewer cells than the header has its text
+    in ``_bad_row``, which is NULL for others; its cells are only those that were read.
+    ``multiline`` allows line breaks inside quoted values, at the price of one task per file; without it
+    such a value makes two bad rows.
     """
     if len(separator) != 1:
         raise ValueError("the separator must be one character")
@@ -34,12 +37,24 @@ def scan_text_table(
     absent = [n for n in required if n not in names]
     if absent:
         raise ValueError(f"required columns missing from the header: {absent}")
-    schema = ", ".join(f"`{n.replace('`', '``')}` STRING" for n in header)
-    df = spark.read.csv(
+    schema = ", ".join(f"`{n.replace('`', '``')}` STRING" for n in [*header, BAD_ROW])
+    # the width of a row is known only if all of its cells are parsed
+    df = spark.read.option("columnPruning", False).csv(
         path, schema=schema, sep=separator, header=True, quote='"', escape='"',
-        enforceSchema=False, multiLine=multiline, mode="PERMISSIVE",
+        enforceSchema=False, multiLine=multiline, mode="PERMISSIVE", columnNameOfCorruptRecord=BAD_ROW,
     )
-    return df.toDF(*names)
+    return df.toDF(*names, BAD_ROW)
+
+
+def whole_rows(df: DataFrame, strict: bool = False) -> DataFrame:
+    """Rows with as many cells as the header, without ``_bad_row``; ``strict`` fails the job at another one instead."""
+    if BAD_ROW not in df.columns:
+        return df
+    bad = F.col(BAD_ROW)
+    ok = F.when(bad.isNull(), True).otherwise(F.raise_error(F.concat(F.lit("wrong number of columns: "), bad)).cast("boolean")) if strict else bad.isNull()
+    # always true; Spark refuses to read nothing but the text of bad rows
+    other = F.col("`" + df.columns[0].replace("`", "``") + "`")
+    return df.filter(ok & (other.isNull() | (F.length(other) >= 0))).drop(BAD_ROW)
 
 
 def _header(spark: SparkSession, path: str, separator: str) -> list[str]:
@@ -100,6 +115,7 @@ def trace_records(
     Every bad row is kept with its reason; :func:`good_records` drops them, or
     stops at the first one.
     """
+    bad = F.col(BAD_ROW).isNotNull() if BAD_ROW in df.columns else F.lit(False)
     sensor = strip(F.col(cols.sensor_id))
     time = parse_time_strict(F.col(cols.timestamp))
     return df.select(
@@ -108,7 +124,7 @@ def trace_records(
         F.coalesce(strip(F.col(cols.location_id)), F.lit("")).alias("location_id"),
         time.alias("event_time"),
         measurement_map(measures).alias("measurements"),
-        F.when(F.coalesce(sensor, F.lit("")) == "", "empty sensor_id")
+        F.when(bad, "wrong number of columns").when(F.coalesce(sensor, F.lit("")) == "", "empty sensor_id")
         .when(time.isNull(), "invalid timestamp").alias("reject_reason"),
     )
 

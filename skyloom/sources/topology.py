@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skyloom.functions.clean import strip, to_number
 from skyloom.plans.invariants import require
-from skyloom.sources.observations import scan_text_table
+from skyloom.sources.observations import scan_text_table, whole_rows
 
 COLUMNS = ["sensor_id", "macroarea_id", "edge_id", "lat", "lon"]
 
@@ -39,7 +39,7 @@ def topology_conflicts(topology: DataFrame) -> DataFrame:
 
 def load_topology(spark: SparkSession, path: str) -> DataFrame:
     """Checked topology; any bad row, conflict, or an empty file is an error."""
-    parsed = parse_assignments(scan_text_table(spark, path, COLUMNS, separator=","))
+    parsed = parse_assignments(whole_rows(scan_text_table(spark, path, COLUMNS, separator=","), strict=True))
     require(parsed.filter("reject_reason IS NOT NULL").select("sensor_id", "edge_id", "reject_reason"))
     topology = parsed.drop("reject_reason")
     require(topology_conflicts(topology))

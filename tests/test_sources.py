@@ -179,3 +179,26 @@ def test_one_pass_scan_equals_the_separate_ones(spark, tmp_path):
     a, b = sensors.stats_from(by_sensor, WINDOW), sensors.sensor_stats(scan, WINDOW)
     assert sorted(map(str, a.select(*b.columns).collect())) == sorted(map(str, b.collect()))
     assert {r["sensor_id"] for r in a.collect()} == {"1", "3"}
+
+
+def test_rows_of_the_wrong_width(spark, tmp_path):
+    body = '1;9;2024-01-05T00:00:00;1;2;3\n2;9;2024-01-05T00:00:00;1\n3;9;2024-01-05T00:00:00;1;2;3;4;5\n4;"a\nb";2024-01-05T00:00:00;1;2;3\n'
+    path = write(tmp_path / "r", "sensor_id;location;timestamp;temperature;humidity;pressure\n" + body)
+    scan = observations.scan_trace(spark, path)
+    rows = observations.trace_records(scan).collect()
+    assert [r["reject_reason"] for r in rows] == [None] + ["wrong number of columns"] * 4
+    assert sorted(r["_bad_row"] or "" for r in scan.collect())[0] == "" and observations.whole_rows(scan).count() == 1
+    with pytest.raises(Exception, match="wrong number of columns"):
+        observations.whole_rows(scan, strict=True).collect()
+    whole = observations.scan_trace(spark, path, multiline=True)
+    assert observations.whole_rows(whole).count() == 2
+
+
+def test_unicode_blanks_and_times_without_a_date(spark):
+    from skyloom.functions import clean
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(x,) for x in ("\u2003", "\u3000 7.5\u2009", " é\u00a0", "12:30", "T1:2:3", "'2024-01-05 12:30'", "2024-01-05", None)], "v string")
+    got = df.select(clean.strip(F.col("v")), clean.valid_sensor_id(F.col("v")), clean.to_number(F.col("v")), clean.parse_time(F.col("v")).cast("string")).collect()
+    assert [r[0] for r in got[:3]] == ["", "7.5", "é"] and [r[1] for r in got[:3]] == [False, True, True] and got[1][2] == 7.5
+    assert [r[3] for r in got[3:]] == [None, None, "2024-01-05 12:30:00", "2024-01-05 00:00:00", None]
