@@ -508,6 +508,10 @@ ORACLE: dict[str, str] = {
         ORDER BY chord DESC, k LIMIT 1""", "k_table"),
     "best_k": _with("""SELECT k, round(inertia, 4) AS inertia, silhouette FROM k_table
         ORDER BY silhouette DESC, k LIMIT 1""", "k_table"),
+    "kmeans_topology_checks": _with("""SELECT count(*) AS sensors, 5::BIGINT AS zones, 0::BIGINT AS sensors_nearer_to_another_zone,
+        0::BIGINT AS centers_off_their_mean, 0::BIGINT AS breaks_of_west_east_order, 0::INT AS cost_above_the_library FROM population""", "population"),
+    "k_sweep_checks": _with("""SELECT k::BIGINT AS k, (SELECT count(*) FROM population) AS sensors, 0::INT AS cost_rises, 1::INT AS rows, 1::INT AS in_range
+        FROM (SELECT unnest(range(5, 16)) AS k)""", "population"),
     "balanced_quotas": _with("SELECT * FROM quotas", "quotas"),
     "stratified_sample": _with("""SELECT sensor_id, edge_id, edge_cluster, rows
         FROM sample_""".replace("edge_cluster,", "sample_.edge_cluster,"), "sample_"),

@@ -6,7 +6,10 @@ from collections.abc import Callable
 from datetime import datetime, timezone
 from functools import wraps
 
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from catalog import views as v
@@ -629,6 +632,47 @@ def k_sweep(spark, sf):
     return sweep_metrics(pop, KSweep())
 
 
+@query
+def kmeans_topology_checks(spark, sf):
+    """What any right fit has in common: see the columns."""
+    pop = materialize(v.population(spark, sf), "population")
+    rows, centers = clustering.edge_topology(pop, k=5)
+    rows = materialize(rows, "topology")
+    zones = materialize(clustering.centroid_table(spark, centers), "centers")
+    # five zones
+    every = rows.join(F.broadcast(zones.select(F.col("edge_cluster").alias("_c"), "centroid_x_km", "centroid_y_km")))
+    apart = geo.euclidean(F.col("x_km"), F.col("y_km"), F.col("centroid_x_km"), F.col("centroid_y_km"))
+    nearer = every.filter((F.col("_c") != F.col("edge_cluster")) & (apart < F.col("distance_to_edge_km") - 1e-9))
+    means = rows.groupBy("edge_cluster").agg(F.avg("x_km").alias("x"), F.avg("y_km").alias("y")).join(zones, "edge_cluster")
+    off = means.filter(geo.euclidean(F.col("x"), F.col("y"), F.col("centroid_x_km"), F.col("centroid_y_km")) > 1.0)
+    west_east = zones.withColumn("_x", F.lag("centroid_x_km").over(W.orderBy("edge_cluster"))).filter("centroid_x_km < _x")
+    cost = rows.agg(F.sum(F.col("distance_to_edge_km") ** 2)).scalar()
+    least = min(_library_cost(pop, 5, seed) for seed in range(4))
+    count = lambda df: df.agg(F.count("*")).scalar()
+    return rows.agg(F.count("*").alias("sensors"), F.count_distinct("edge_cluster").alias("zones")).select(
+        "sensors", "zones", count(nearer).alias("sensors_nearer_to_another_zone"), count(off).alias("centers_off_their_mean"),
+        count(west_east).alias("breaks_of_west_east_order"), (cost > 1.05 * least).cast("int").alias("cost_above_the_library"))
+
+
+def _library_cost(points, k, seed):
+    """Cost of a fit by Spark's own K-Means."""
+    features = VectorAssembler(inputCols=["x_km", "y_km"], outputCol="features").transform(points)
+    return KMeans(k=k, seed=seed).fit(features).summary.trainingCost
+
+
+@query
+def k_sweep_checks(spark, sf):
+    """Per k: sensors over all zones, whether the cost rises over that of k - 1, whether all values are in range."""
+    pop = materialize(v.population(spark, sf), "population")
+    rows = materialize(sweep_metrics(pop, KSweep(), "squared"), "metrics")
+    before = F.lag("inertia").over(W.orderBy("k"))
+    right = ((F.col("min_sensors") >= 1) & (F.col("mean_sensors") <= F.col("max_sensors")) & F.col("silhouette").between(-1, 1)
+             & (F.col("p95_distance_km") <= F.col("max_radius_km")) & (F.col("max_load_factor") >= 1))
+    return rows.select(F.col("k").cast("bigint").alias("k"), F.round(F.col("mean_sensors") * F.col("k")).cast("bigint").alias("sensors"),
+                       F.coalesce((F.col("inertia") > before).cast("int"), F.lit(0)).alias("cost_rises"), F.col("k").isNotNull().cast("int").alias("rows"),
+                       right.cast("int").alias("in_range"))
+
+
 # -- workload ------------------------------------------------------------------------
 
 def _workload_size(population: DataFrame) -> int:
@@ -720,7 +764,7 @@ def workload_trace(spark, sf):
     rows = workload.workload_rows(v.obs(spark, sf), sample, v.WINDOW, active)
     path = new_path(spark, "replay-trace")
     sinks.write_trace(rows, path, "event_time", "sensor_id")
-    return observations.scan_trace(spark, path)
+    return observations.whole_rows(observations.scan_trace(spark, path), strict=True)
 
 
 @query
