@@ -414,7 +414,8 @@ ORACLE: dict[str, str] = {
     "event_topics": _with("""SELECT event_id, concat('telemetry/', edge_id, '/', sensor_id) AS topic
         FROM routed""", "routed"),
     "event_envelope": _with("""SELECT topic, sensor_id AS key, event_id, sequence,
-        strftime(observed_at, '%Y-%m-%dT%H:%M:%S.%fZ') AS observed_at, pressure_hpa FROM wire""", "wire"),
+        strftime(observed_at, '%Y-%m-%dT%H:%M:%S.%fZ') AS observed_at, temperature_c, humidity_pct, pressure_hpa
+        FROM wire""", "wire"),
     "unpublishable_events": _with("""SELECT sequence, 'empty sensor_id' AS reject_reason FROM inbox
         WHERE trim(sensor_id) = ''""", "inbox"),
     "event_json_roundtrip": _with("""SELECT topic, receiving_edge, cast(NULL AS VARCHAR) AS decode_error,
@@ -444,7 +445,8 @@ ORACLE: dict[str, str] = {
     "edge_windows": _with(_EDGE_WINDOWS, "measured"),
     "macroarea_windows": _with(_MACRO_WINDOWS, "measured"),
     "edge_window_envelope": _with(f"""SELECT 'edge-windows.v1' AS topic, macroarea_id AS key, window_id, input_events,
-        humidity_pct_count AS humidity_count, round(humidity_pct_sum, 6) AS humidity_sum
+        {', '.join(f"{n}_count" for n in MEASURES)},
+        {', '.join(f"round({n}_{f}, 4) AS {n}_{f}" for n in MEASURES for f in ('min', 'max', 'sum', 'sum_squares'))}
         FROM ({_EDGE_WINDOWS})""", "measured"),
     "upserted_windows": _with("""SELECT window_id, macroarea_id, input_events, edge_count, version FROM (
         SELECT concat(macroarea_id, ':', cast(epoch_us(observed_at) // 900000000 * 900 AS VARCHAR)) AS window_id,
@@ -544,7 +546,8 @@ ORACLE: dict[str, str] = {
         round(100.0 * (SELECT sum(rows) FROM sample_) / count(*), 6) AS workload_rows_pct,
         round(100 - 100.0 * (SELECT sum(rows) FROM sample_) / count(*), 6) AS row_reduction_pct
         FROM flagged WHERE in_window""", "sample_"),
-    "stream_ingest": _with("""SELECT sequence, event_id, sensor_id, receiving_edge, reject_reason FROM judged
+    "stream_ingest": _with("""SELECT sequence, event_id, sensor_id, receiving_edge, temperature_c, humidity_pct, pressure_hpa, reject_reason
+        FROM judged
         WHERE trim(sensor_id) <> ''""", "judged"),
     "stream_edge_windows": _with(_EDGE_WINDOWS, "measured"),
     "stream_macroarea_windows": _with(_MACRO_WINDOWS, "measured"),

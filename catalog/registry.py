@@ -328,7 +328,7 @@ def event_envelope(spark, sf):
     field = lambda f: F.get_json_object("value", f"$.{f}")
     return out.select(
         "topic", "key", field("event_id").alias("event_id"), field("sequence").cast("bigint").alias("sequence"),
-        field("observed_at").alias("observed_at"), field("measurements.pressure_hpa").alias("pressure_hpa"),
+        field("observed_at").alias("observed_at"), *[field(f"measurements.{n}").alias(n) for n in NAMES],
     )
 
 
@@ -444,8 +444,8 @@ def edge_window_envelope(spark, sf):
     return sinks.partitioned_by_key(out).select(
         "topic", "key", field("window_id").alias("window_id"),
         field("input_events").cast("bigint").alias("input_events"),
-        field("metrics.humidity_pct.count").cast("bigint").alias("humidity_count"),
-        r(field("metrics.humidity_pct.sum").cast("double")).alias("humidity_sum"),
+        *[field(f"metrics.{n}.count").cast("bigint").alias(f"{n}_count") for n in NAMES],
+        *[r(field(f"metrics.{n}.{f}").cast("double"), 4).alias(f"{n}_{f}") for n in NAMES for f in stats.FIELDS[1:]],
     )
 
 
@@ -799,9 +799,10 @@ def _stream(spark, sf, repeat: bool = False):
 
 @query
 def stream_ingest(spark, sf):
-    out = streams.run_to_table(spark, _stream(spark, sf).drop("measurements"), "ingested")
+    out = streams.run_to_table(spark, _stream(spark, sf), "ingested")
     rows = out.filter(~F.col("event_id").eqNullSafe("end-of-trace"))
-    return rows.select("sequence", "event_id", "sensor_id", "receiving_edge", "reject_reason")
+    values = [F.col("measurements")[n].alias(n) for n in NAMES]
+    return rows.select("sequence", "event_id", "sensor_id", "receiving_edge", *values, "reject_reason")
 
 
 @query
