@@ -34,6 +34,7 @@ UNWANTED = re.compile(
     r"(?:^|[\s_-])(ads?|advert\w*|banner|breadcrumbs?|comments?|commentlist|consent|cookies?|disqus|footer|header|login|masthead|menu|modal|nav|navbar|navigation|"
     r"newsletter|notices?|pagination|pager|popup|promo|related|replies|respond|share|sharing|sidebar|skyscraper|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])", re.I)
 WANTED = re.compile(r"(?:^|[\s_-])(article|body|content|entry|main|post|story|text)(?:$|[\s_-])", re.I)
+HIDDEN = re.compile(r"display\s*:\s*none", re.I)
 SPACE = re.compile(r"\s+")
 
 
@@ -65,7 +66,7 @@ class Tree(HTMLParser):
             self.at = self.at.parent
         names = " ".join(v or "" for k, v in attrs if k in ("class", "id", "role"))
         inside = self._within({"article", "main"})
-        bad = tag in DROPPED or tag == "header" and not inside or any(k == "hidden" for k, _ in attrs) or bool(UNWANTED.search(names)) and tag not in ("article", "main")
+        bad = tag in DROPPED or tag == "header" and not inside or any(k == "hidden" or k == "style" and HIDDEN.search(v or "") for k, v in attrs) or bool(UNWANTED.search(names)) and tag not in ("article", "main")
         node = Node(tag, self.at, self.at.dropped or bad, 25.0 if tag in ("article", "main") or WANTED.search(names) else 0.0)
         self.at.children.append(node)
         if tag not in VOID:

@@ -26,7 +26,7 @@ def test_without_an_article_element():
     body = "".join(f"<p>{LONG}Part {i} &amp; more&nbsp;text.</p>" for i in range(4))
     page = f"""<html><head><title>T</title></head><body><div id=header><a href=/>Home</a></div><ul class="nav-menu"><li><a href=a>A</a><li><a href=b>B</a></ul>
       <div class="content"><h2>Heading</h2>{body}<div class="share-buttons">Tweet, this</div><form><input><p>{LONG}</p></form></div>
-      <div class="sidebar"><p>{LONG}{LONG}</p></div><div id="comments"><p>{LONG}{LONG}</p></div><p class=cookie-notice>{LONG}</p>
+      <div class="sidebar"><p>{LONG}{LONG}</p></div><div id="comments"><p>{LONG}{LONG}</p></div><p class=cookie-notice>{LONG}</p><p style="Display: none">{LONG}</p>
       <div class=links>{"".join(f"<p><a href=x>{LONG}</a></p>" for _ in range(9))}</div><footer>c</footer><script>var p="<p>{LONG}</p>"</script></body></html>"""
     want = "\n".join(["Heading", *[f"{LONG}Part {i} & more text." for i in range(4)]])
     assert main_text(page) == want
