@@ -1,5 +1,7 @@
 """The skew-safe paths must agree with the simple ones, also when one key holds most rows."""
 
+from types import SimpleNamespace
+
 import numpy as np
 import pytest
 from pyspark.sql import Window as W
@@ -145,3 +147,16 @@ def test_materialized_table_keeps_rows_and_schema(spark, skewed):
     out = tables.materialize(skewed.limit(5), "five")
     assert out.count() == 5
     assert out.dtypes == skewed.dtypes
+
+
+def test_a_cluster_needs_a_shared_folder(tmp_path):
+    def session(master, folder=None):
+        conf = SimpleNamespace(get=lambda key, default=None: folder)
+        return SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master, applicationId=f"app-{master}", getConf=lambda: conf))
+
+    assert tables.shared_folder(session("yarn", "hdfs:///shared/")) == "hdfs:///shared"
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            tables.shared_folder(session(master))
+    own = tables.shared_folder(session("local[2]"))
+    assert own == tables.shared_folder(session("local[2]")) and own != tables.shared_folder(session("local"))
