@@ -29,7 +29,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 
 def forest(near: np.ndarray) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of a small graph, given as a symmetric boolean matrix."""
+    """The components of a small graph, given as a symmetric boolean matrix: an edge from the first node of each to every other one."""
     left, edges = np.ones(len(near), bool), []
     for root in range(len(near)):
         if not left[root]:
@@ -39,6 +39,6 @@ def forest(near: np.ndarray) -> list[tuple[int, int]]:
             u = front.pop()
             new = np.flatnonzero(near[u] & left)
             left[new] = False
-            edges += [(u, int(v)) for v in new]
+            edges += [(root, int(v)) for v in new]
             front += new.tolist()
     return edges

@@ -7,8 +7,8 @@ of what remains, for each partition and each choice of parts.
 
 Equal sets are one node from the start. Nodes that share a signature are compared by parity sketches, which
 never reject a similar pair; the survivors' connected candidates meet, in blocks of bounded size, for the
-exact test. No pair leaves a task: each sends the edges of a spanning forest, so a group of copies costs
-a line per member and no link between different sets is lost for the components.
+exact test. No pair leaves a task: each sends an edge from the first node of a component to every other one, so a group
+of copies costs a line per member and no link between different sets is lost for the components.
 """
 
 from __future__ import annotations
@@ -233,9 +233,9 @@ def _met(rows: DataFrame, total: int, block: int) -> DataFrame:
 
 
 def _pairs_of(group: pa.Table, one: str):
-    """Per group of a task: indices of its rows, sorted."""
+    """Per group of a task: indices of its rows, by node, so that equal groups of different signatures give equal edges."""
     key = np.asarray(group.column(one))
-    order = np.argsort(key, kind="stable")
+    order = np.lexsort((np.asarray(group.column("node")), key))
     cut = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]]) if len(order) else []
     for a, b in zip(cut, [*cut[1:], len(order)]):
         yield order[a:b]
