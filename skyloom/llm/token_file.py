@@ -10,6 +10,7 @@ from __future__ import annotations
 import posixpath
 import uuid
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,21 +39,37 @@ def _tokenizer(path: str):
 class Encoder:
     """Ids of texts whose words, between ASCII white space, are encoded alone: each different word once.
 
-    Right for a tokenizer that drops white space and never joins what it divides.
+    Right for a tokenizer that drops white space and never joins what it divides. Many words go through it as one
+    text, with a special token between them, at which it cuts before anything else.
     """
 
-    def __init__(self, tokenizer: str, remembered: int = 400_000):
-        self.tokenizer, self.remembered, self.known = _tokenizer(tokenizer), remembered, {}
+    def __init__(self, tokenizer: str, remembered: int = 400_000, together: int = 256):
+        self.tokenizer, self.remembered, self.together, self.known = _tokenizer(tokenizer), remembered, together, {}
+        special = [(t.content.encode(), i) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.single_word)]
+        self.between, self.cut = special[0] if special else (None, None)
+
+    def _learn(self, new: list[bytes]) -> None:
+        alone = [w for w in new if self.between is None or self.between in w]
+        for w, e in zip(alone, self.tokenizer.encode_batch_fast([w.decode() for w in alone], add_special_tokens=False)):
+            self.known[w] = np.array(e.ids, "<u4").tobytes()
+        if self.between is None:
+            return
+        new = [w for w in new if self.between not in w]
+        groups = [new[a:a + self.together] for a in range(0, len(new), self.together)]
+        texts = [self.between.join(g).decode() for g in groups]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            data, at = ids.tobytes(), (4 * np.flatnonzero(ids == self.cut)).tolist()
+            self.known.update(zip(group, [data[x:y] for x, y in zip([0, *[c + 4 for c in at]], [*at, len(data)])]))
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.known) > self.remembered:
-            self.known.clear()
         words = [t.encode().split() for t in texts]
-        new = list({w for ws in words for w in ws if w not in self.known})
-        for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)):
-            self.known[w] = np.array(e.ids, "<u4").tobytes()
-        known = self.known
-        return [np.frombuffer(b"".join([known[w] for w in ws]), "<u4") for ws in words]
+        every = set(chain.from_iterable(words))
+        if len(self.known) > self.remembered:  # words met again are the common ones
+            self.known = {w: self.known[w] for w in every & self.known.keys()}
+        self._learn(list(every - self.known.keys()))
+        find = self.known.__getitem__
+        return [np.frombuffer(b"".join(map(find, ws)), "<u4") for ws in words]
 
 
 class PartWriter:
