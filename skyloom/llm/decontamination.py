@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from skyloom.llm.common import text_rows
 from skyloom.plans.tables import materialize
 
-# Spaced masks; 0 ignores a token.
-MASKS = ("11111111", "110101101011", "1011010010111")
+# Spaced masks; 0 ignores a token. Whichever WINDOW - LEAST tokens of a window are replaced, one of the masks
+# fits somewhere between them, so no passage is missed.
+MASKS = ("11010111", "111001011", "1101000111", "1101111", "111100000011")
 WINDOW = 13
 LEAST = 10
 BROADCAST_SEEDS = 200_000

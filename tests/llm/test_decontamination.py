@@ -1,5 +1,6 @@
 import random
 import re
+from itertools import combinations
 
 from skyloom.llm import decontamination as d
 
@@ -59,3 +60,39 @@ def test_substitutions_and_odd_rows(spark, monkeypatch):
     assert sorted(tuple(r) for r in d.contaminated(make(docs, "doc_id"), make(items, "item_id")).collect()) == got
     assert d.contaminated(make(docs, "doc_id").limit(0), make(items, "item_id")).collect() == []
     assert d.contaminated(make(docs, "doc_id"), make(items, "item_id").limit(0)).collect() == []
+
+
+def every_alignment(docs, items):
+    """As brute(), but without seeds."""
+    out = {}
+    for i, t in items:
+        h = words(t)
+        for doc, text in docs:
+            w = words(text)
+            for at in range(d.WINDOW - len(h), len(w) - d.WINDOW + 1):
+                same = [h[j] == w[j + at] for j in range(max(0, -at), min(len(h), len(w) - at))]
+                best = max((sum(same[s:s + d.WINDOW]) for s in range(len(same) - d.WINDOW + 1)), default=0)
+                if best >= d.LEAST and ((doc, i) not in out or (best, -at) > (out[doc, i][0], -out[doc, i][1])):
+                    out[doc, i] = (best, at)
+    return sorted((*k, *v) for k, v in out.items())
+
+
+def test_masks_fit_all_replacements():
+    placed = [{s + k for k, x in enumerate(m) if x == "1"} for m in d.MASKS for s in range(d.WINDOW - len(m) + 1)]
+    for n in range(d.WINDOW - d.LEAST + 1):
+        assert all(any(not p & set(gone) for p in placed) for gone in combinations(range(d.WINDOW), n))
+
+
+def test_all_passages_are_found(spark):
+    rng = random.Random(5)
+    items = [(i, " ".join(f"t{i}x{k}" for k in range(n))) for i, n in enumerate((13, 15, 20, 25, 60))]
+    docs = [(n, " ".join("sub" if k in gone else f"t0x{k}" for k in range(13))) for n, gone in enumerate(combinations(range(13), 3))]
+    for n in range(1000, 1200):
+        w = items[rng.randrange(5)][1].split()
+        share = rng.choice((0.1, 0.15, 0.2, 0.25))
+        docs.append((n, " ".join(["pre"] * rng.randrange(3) + ["sub" if rng.random() < share else x for x in w] + ["post"])))
+    docs += [(2000 + i, " ".join("sub" if k % 4 == 3 else x for k, x in enumerate(t.split()))) for i, t in items]
+    want = every_alignment(docs, items)
+    assert {x[0] for x in want} >= set(range(286))
+    got = d.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted(tuple(r) for r in got.collect()) == want
