@@ -34,17 +34,19 @@ UNWANTED = re.compile(
     r"(?:^|[\s_-])(ads?|advert\w*|banner|breadcrumbs?|comments?|commentlist|consent|cookies?|disqus|footer|header|login|masthead|menu|modal|nav|navbar|navigation|"
     r"newsletter|notices?|pagination|pager|popup|promo|related|replies|respond|share|sharing|sidebar|skyscraper|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])", re.I)
 WANTED = re.compile(r"(?:^|[\s_-])(article|body|content|entry|main|post|story|text)(?:$|[\s_-])", re.I)
+MODIFIERS = re.compile(r"(?:^|(?<=\s))(?:has|no|with|without)[_-]\S+", re.I)
 HIDDEN = re.compile(r"display\s*:\s*none", re.I)
 SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "score", "dropped", "text_length", "link_length", "weight", "scored")
+    __slots__ = ("tag", "parent", "children", "score", "dropped", "text_length", "link_length", "weight", "scored", "named")
 
     def __init__(self, tag: str, parent: "Node | None", dropped: bool = False, weight: float = 0.0):
         self.tag, self.parent, self.dropped, self.weight = tag, parent, dropped, weight
         self.children: list[Node | str] = []
         self.score, self.text_length, self.link_length, self.scored = 0.0, 0, 0, False
+        self.named: str | None = None  # class, id and role, where they hold an unwanted word
 
 
 class Tree(HTMLParser):
@@ -66,8 +68,10 @@ class Tree(HTMLParser):
             self.at = self.at.parent
         names = " ".join(v or "" for k, v in attrs if k in ("class", "id", "role"))
         inside = self._within({"article", "main"})
-        bad = tag in DROPPED or tag == "header" and not inside or any(k == "hidden" or k == "style" and HIDDEN.search(v or "") for k, v in attrs) or bool(UNWANTED.search(names)) and tag not in ("article", "main")
+        bad = tag in DROPPED or tag == "header" and not inside or any(k == "hidden" or k == "style" and HIDDEN.search(v or "") for k, v in attrs)
         node = Node(tag, self.at, self.at.dropped or bad, 25.0 if tag in ("article", "main") or WANTED.search(names) else 0.0)
+        if tag not in ("article", "main") and UNWANTED.search(told := MODIFIERS.sub("", names)):
+            node.named = told
         self.at.children.append(node)
         if tag not in VOID:
             self.at = node
@@ -126,6 +130,41 @@ def _walk(root: Node):
         front.extend(c for c in reversed(node.children) if isinstance(c, Node))
 
 
+def _drop_named(root: Node) -> None:
+    """Drops elements with an unwanted name, but for those that hold the article.
+
+    These hold a main element or the longest article, or have a name that is wanted as well, most of the page's text, and few links.
+    """
+    nodes = _measure(root)
+    named = [n for n in nodes if n.named]
+    holders = set()
+    articles = [n for n in nodes if n.tag in ("article", "main")]
+    longest = max(articles, key=lambda n: n.text_length - n.link_length, default=None)
+    for node in articles:
+        if node.tag == "main" or node is longest:
+            while node is not None and node not in holders:
+                holders.add(node)
+                node = node.parent
+    # the last word says what an element is: post-comments are comments
+    mixed = {n for n in named if WANTED.search(" ".join(x for x in n.named.split() if not UNWANTED.search(re.split("[_-]", x)[-1])))}
+    for node in named:
+        if node not in holders and node not in mixed:
+            node.dropped = True
+    _inherit(root)
+    if mixed - holders:
+        _measure(root)
+        for node in mixed - holders:
+            node.dropped = node.dropped or 2 * node.text_length <= root.text_length or link_density(node) >= 0.25
+        _inherit(root)
+
+
+def _inherit(root: Node) -> None:
+    """What stands below a dropped element is dropped; lengths are to be measured anew."""
+    for node in _walk(root):
+        node.dropped = node.dropped or node.parent is not None and node.parent.dropped
+        node.text_length = node.link_length = 0
+
+
 def _measure(root: Node) -> list[Node]:
     nodes = [n for n in _walk(root) if not n.dropped]
     for node in reversed(nodes):
@@ -172,6 +211,8 @@ def _lines(nodes, lone_text: bool = True) -> list[str]:
 def main_text(html: str) -> str:
     """Text of the best container and of those siblings that belong to it, one line per block."""
     root = _tree(html)
+    if any(n.named for n in _walk(root)):
+        _drop_named(root)
     nodes = _measure(root)
     candidates = []
     for node in nodes:
@@ -225,7 +266,8 @@ def html_text(pages: DataFrame, key: str = "page_id", html: str = "html", keep:
     Paragraphs give points for their presence, length and commas: all to their parent, half to the next ancestor, a sixth to
     the one above. Points shrink by the share of text in links. The container with most points, its siblings with enough of
     them and sibling paragraphs of running text make the article. Menus, headers, footers, sidebars, notices, adverts, forms,
-    scripts, styles and comments are left out by element and by class name, in the article too. Character references
+    scripts, styles and comments are left out by element and by class name, in the article too, unless an element so named holds the
+    article: a main element, the longest article, or under a name that is wanted too most of the text. Character references
     are decoded; white space in a block becomes one space; blocks are joined by one \\\\n. A null or empty page, or one
     without text, gives the empty text; equal points: the container that ends the list of none before it, that is the first. Repeated
     rows and null keys are kept row by row. An empty table gives an empty result.

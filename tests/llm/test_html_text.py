@@ -47,3 +47,15 @@ def test_odd_rows(spark):
     got = sorted((tuple(r) for r in html_text(df).collect()), key=repr)
     assert got == sorted([(1, "u", "", 0), (2, None, "", 0), (None, None, "x", 1), (3, "u", "x y", 3), (3, "u", "x y", 3)], key=repr)
     assert html_text(df.limit(0)).collect() == []
+
+
+def test_wrappers_with_unwanted_words():
+    body = "".join(f"<p>{LONG}Part {i}.</p>" for i in range(4))
+    want = "\n".join(f"{LONG}Part {i}." for i in range(4))
+    side = f'<div class="sidebar"><p>{LONG}</p></div><div class="post-comments"><p>{LONG * 9}</p></div><div class="comment-content"><p>{LONG}</p></div>'
+    comments = f'<div id="comments"><article class="comment-body"><p>{LONG}</p></article><article><p>{LONG}</p></article></div>'
+    for page in (
+        f'<div class="content-sidebar-wrap"><main class="content">{body}</main>{side}</div>', f'<div class="content has-sidebar">{body}</div>{side}',
+        f'<div class="post no-comments">{body}{side}</div>', f'<div class="content-sidebar-wrap">{body}</div>{side}',
+        f'<div id="nav-layout"><article>{body}</article>{comments}</div>{comments}{side}', f'<div class="has-sidebar">{body}</div>{side}'):
+        assert main_text(f"<html><body>{page}<footer>f</footer></body></html>") == want
