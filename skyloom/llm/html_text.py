@@ -28,6 +28,7 @@ ENDED_BY = {
 }
 HOLDERS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}}
 PARAGRAPHS = frozenset("p pre blockquote td li dd".split())
+BESIDE = PARAGRAPHS | frozenset("article center dd details div dl dt figure main ol section table ul".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 # Words of class and id names.
 UNWANTED = re.compile(
@@ -240,14 +241,32 @@ def main_text(html: str) -> str:
         best = best.parent
     if best.parent is None:
         return "\n".join(_lines([best]))
-    least = max(10.0, best.score * 0.2)
-    chosen = [n for n in best.parent.children if isinstance(n, Node) and not n.dropped and (
-        n is best or n.scored and n.score >= least
-        or n.tag in PARAGRAPHS and n.text_length > 80 and link_density(n) < 0.25
-        or n.tag in HEADINGS and link_density(n) < 0.25 and best.tag not in ("article", "main"))]
+    while best.parent.parent is not None and best.parent.text_length == best.text_length:  # wrappers of nothing else
+        best = best.parent
+    least, chosen, run = max(10.0, best.score * 0.2), [], []
+    for n in [*best.parent.children, None]:
+        if isinstance(n, str) or n is not None and n is not best and n.tag not in BLOCK - {"br"}:
+            run.append(n)
+            continue
+        # loose text with its inline elements is judged together
+        length, links = (sum(x) for x in zip((0, 0), *[(len(r.strip()), 0) if isinstance(r, str) else (r.text_length, r.link_length) for r in run if isinstance(r, str) or not r.dropped]))
+        if links < 0.25 * length:
+            chosen += run
+        run = []
+        if n is not None and not n.dropped and (n is best or n.scored and n.score >= least or _belongs(n, best)):
+            chosen.append(n)
     return "\n".join(_lines(chosen))
 
 
+def _belongs(node: Node, best: Node) -> bool:
+    """Whether a sibling of the best container is article text by its kind and links; headings of an article element stand inside it."""
+    if node.tag in HEADINGS:
+        return link_density(node) < 0.25 and best.tag not in ("article", "main")
+    if node.tag in PARAGRAPHS and node.text_length <= 80:
+        return not node.link_length
+    return node.tag in BESIDE and link_density(node) < 0.25
+
+
 def _own_text(node: Node) -> str:
     """Text of a block without that of paragraphs inside it."""
     out, front = [], list(reversed(node.children))
@@ -265,7 +284,7 @@ def html_text(pages: DataFrame, key: str = "page_id", html: str = "html", keep:
 
     Paragraphs give points for their presence, length and commas: all to their parent, half to the next ancestor, a sixth to
     the one above. Points shrink by the share of text in links. The container with most points, its siblings with enough of
-    them and sibling paragraphs of running text make the article. Menus, headers, footers, sidebars, notices, adverts, forms,
+    them and other siblings that are not links (text, paragraphs, lists, tables, sections) make the article. Menus, headers, footers, sidebars, notices, adverts, forms,
     scripts, styles and comments are left out by element and by class name, in the article too, unless an element so named holds the
     article: a main element, the longest article, or under a name that is wanted too most of the text. Character references
     are decoded; white space in a block becomes one space; blocks are joined by one \\\\n. A null or empty page, or one

@@ -59,3 +59,15 @@ def test_wrappers_with_unwanted_words():
         f'<div class="post no-comments">{body}{side}</div>', f'<div class="content-sidebar-wrap">{body}</div>{side}',
         f'<div id="nav-layout"><article>{body}</article>{comments}</div>{comments}{side}', f'<div class="has-sidebar">{body}</div>{side}'):
         assert main_text(f"<html><body>{page}<footer>f</footer></body></html>") == want
+
+
+def test_article_in_several_containers():
+    body = "".join(f"<p>{LONG}Part {i}.</p>" for i in range(4))
+    want = [f"{LONG}Part {i}." for i in range(4)]
+    links = "<p><a href=x>Next story</a></p><ul><li><a href=x>a</a><li><a href=y>b</a></ul><div><a href=x>More</a></div>"
+    for after, lines in (
+        ("<p>Short end.</p>", ["Short end."]), ("<section><p>One.</p><p>Two.</p></section>", ["One.", "Two."]), ("<ul><li>a<li>b</ul>", ["a", "b"]),
+        ("<table><tr><td>a<td>b</table>", ["a", "b"]), ("Loose <b>end</b> of it, <a href=q>see</a>.", ["Loose end of it, see."]),
+        ('<div class="sidebar"><p>Side.</p></div><p>End.</p>', ["End."])):
+        assert main_text(f"<body><div><div>{body}</div>{after}{links}</div></body>") == "\n".join(want + lines)
+        assert main_text(f"<body><main><div><div><div>{body}</div></div>{after}</div></main></body>") == "\n".join(want + lines)
