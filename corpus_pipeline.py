@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from public_tokenizers import path
 
 from skyloom.llm import queries
-from skyloom.llm.common import keep_rows
+from skyloom.llm.common import col
 from skyloom.llm.decontamination import contaminated
 from skyloom.llm.mixing import mixed
 from skyloom.llm.ngram_join import Likeness, similar_groups
@@ -21,22 +21,32 @@ from skyloom.plans.tables import materialize
 ORACLE_SQL = None  # the first stage has no SQL form
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """(_row, _doc): every row under a number of its own, written once, so that all readers see the same numbers."""
+    return materialize(docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*[col(c) for c in docs.columns]).alias("_doc")), "numbered")
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier keeps."""
-    scores = quality_scores(docs, queries.table(spark, sf_dir, "labels"))
-    return keep_rows(docs, scores.filter("keep").select("doc_id").distinct(), "left_semi")
+    """Rows that the classifier keeps, with or without an id."""
+    rows = numbered(docs)
+    scores = quality_scores(rows.select("_row", "_doc.doc_id", "_doc.text", "_doc.lang"), queries.table(spark, sf_dir, "labels"), row="_row")
+    return rows.join(scores.filter("keep").select("_row"), "_row").select("_doc.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near copies, and those without an id."""
-    groups = similar_groups(docs, Likeness(num=4, den=5, shingle=5))
-    return keep_rows(docs, groups.filter("doc_id <> component_id").select("doc_id").distinct(), "left_anti")
+    """One row of each group of near copies: that with the smallest doc_id, one without an id only if none has any."""
+    rows = numbered(docs)
+    groups = similar_groups(rows.select(F.col("_row").alias("doc_id"), "_doc.text"), Likeness(num=4, den=5, shingle=5))
+    members = groups.select(F.col("doc_id").alias("_row"), "component_id").join(rows.select("_row", F.col("_doc.doc_id").cast("long").alias("id")), "_row")
+    first = members.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "_row")).alias("first"))
+    return rows.join(first.select("first._row"), "_row").select("_doc.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no passage of the benchmark."""
-    found = contaminated(docs, queries.table(spark, sf_dir, "benchmark"))
-    return keep_rows(docs, found.select("doc_id").distinct(), "left_anti")
+    """Rows that hold no passage of the benchmark, with or without an id."""
+    rows = numbered(docs)
+    found = contaminated(rows.select(F.col("_row").alias("doc_id"), "_doc.text"), queries.table(spark, sf_dir, "benchmark"))
+    return rows.join(found.select(F.col("doc_id").alias("_row")).distinct(), "_row", "left_anti").select("_doc.*")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

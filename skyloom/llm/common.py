@@ -21,15 +21,6 @@ def text_bytes(docs: DataFrame) -> int:
     return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
 
-def keep_rows(docs: DataFrame, ids: DataFrame, how: str, key: str = "doc_id") -> DataFrame:
-    """``docs`` with all of its columns, semi- or anti-joined with one column of ids.
-
-    Rows without an id stay in an anti join and go in a semi join.
-    """
-    packed = docs.select(col(key).cast("long").alias("_id"), F.struct(*[col(c) for c in docs.columns]).alias("_row"))
-    return packed.join(ids.toDF("_id"), "_id", how).select("_row.*")
-
-
 def block_of(key: Column, blocks: int) -> Column:
     """The block of a long key; ``block_numbers`` gives the same for an array."""
     return F.coalesce(F.pmod(key.bitwiseXOR(F.shiftright(key, 7)).bitwiseXOR(F.shiftright(key, 19)), F.lit(blocks)), F.lit(0)).cast("int")

@@ -40,3 +40,29 @@ def test_keeps_clashing_columns(spark, sf_dir):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, sf_dir)
         assert docs.columns[-6:] == ["_id", "_row", "keep", "a.b", "copies", "row"] and docs.count()
+
+
+def test_repeated_and_idless_rows(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    steps, labels = dict(corpus_pipeline.STAGES), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    schema, all_rows = docs.schema, docs.collect()
+    make = lambda rows, ids: spark.createDataFrame([(i, *tuple(r)[1:]) for r, i in zip(rows, ids)], schema)
+    texts = lambda df: sorted(r["text"] for r in df.collect())
+
+    kept = {r["doc_id"] for r in quality_scores(docs, labels).collect() if r["keep"]}
+    good, bad = [r for r in all_rows if r["doc_id"] in kept][0], [r for r in all_rows if r["doc_id"] not in kept and r["text"]][0]
+    more = make([good, good, bad, bad], [None, 10**9, 10**9, None])
+    got = steps["quality"](spark, docs.union(more), sf_dir)
+    assert sorted(repr(r["doc_id"]) for r in got.collect() if r["doc_id"] in (None, 10**9)) == ["1000000000", "None"]
+
+    long = " ".join(f"w{k}" for k in range(60))
+    other = " ".join(f"v{k}" for k in range(60))
+    one = make([all_rows[0]] * 9, [7, 7, 7, 5, None, None, 8, 8, None])
+    one = spark.createDataFrame([(*tuple(r)[:1], t, *tuple(r)[2:]) for r, t in zip(one.collect(), [long] * 5 + [other] + [other + " x"] + ["alone " + long[::-1]] * 2)], schema)
+    got = steps["near_duplicates"](spark, one, sf_dir).collect()
+    assert sorted(r["doc_id"] for r in got) == [5, 8, 8] and len({r["text"] for r in got}) == 3
+
+    item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").filter("length(text) > 100").first()["text"]
+    rows = [(*tuple(all_rows[0])[:1], t, *tuple(all_rows[0])[2:]) for t in (item, item, long)]
+    rows = spark.createDataFrame([(i, *r[1:]) for r, i in zip(rows, (None, 3, 3))], schema)
+    assert texts(steps["decontamination"](spark, rows, sf_dir)) == [long]
