@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,3 +30,9 @@ def block_of(key: Column, blocks: int) -> Column:
 
 def block_numbers(keys, blocks: int):
     return (keys ^ (keys >> 7) ^ (keys >> 19)) % blocks
+
+
+def open_file(path: str):
+    """A file of the shared folder for pyarrow: mapped where it is mounted, else a stream that can seek."""
+    files, at = fs.FileSystem.from_uri(path)
+    return pa.memory_map(at) if isinstance(files, fs.LocalFileSystem) else files.open_input_file(at)

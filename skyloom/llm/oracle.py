@@ -71,9 +71,85 @@ best AS (SELECT doc_id, item_id, off, list_max(list_transform(range(len(same) -
 SELECT doc_id, item_id, max(n)::INT AS n_equal, arg_min(off, (-n, off))::INT AS begins FROM best WHERE n >= {LEAST} GROUP BY doc_id, item_id
 """
 
+def _field(c: str) -> str:
+    return f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR END"
+
+
+def _leaf(text: str) -> str:
+    return f"sha256({' || '.join(map(_field, ('doc_id', 'source', 'lang', 'n_chars', text)))})"
+
+
+# bit by bit: the first element of each list is the state, the others only count
+_CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::UBIGINT)),
+  lambda crc, b: list_reduce(list_prepend(xor(crc, b), [0::UBIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda c, _: xor(c // 2, 3988292384::UBIGINT * (c % 2)))))"""
+
+
+def _climb(nodes: str, walk: str, start: str, kids: str) -> str:
+    """Per doc_id: from its node (tree, pos, proof, fold) up to the one node that is left."""
+    return f"""{kids} AS (SELECT tree, lvl, pos // 3 AS run, list(d ORDER BY pos) AS ds, any_value(n) AS n FROM {nodes} WHERE n > 1 GROUP BY tree, lvl, pos // 3),
+{walk} AS ({start} UNION ALL
+  SELECT w.doc_id, w.tree, w.lvl + 1, w.pos // 3, proof || array_to_string(list_filter(ds, lambda d, i: i <> w.pos % 3 + 1), ''),
+         sha256(array_to_string(list_transform(ds, lambda d, i: CASE WHEN i = w.pos % 3 + 1 THEN w.fold ELSE d END), '')), (w.n + 2) // 3
+  FROM {walk} w JOIN {kids} k ON k.tree = w.tree AND k.lvl = w.lvl AND k.run = w.pos // 3 WHERE w.n > 1)"""
+
+
+def _tree(name: str, start: str) -> str:
+    return f"""{name} AS ({start} UNION ALL
+  SELECT tree, lvl + 1, pos // 3, sha256(string_agg(d, '' ORDER BY pos)), (n + 2) // 3 FROM {name} WHERE n > 1 GROUP BY tree, lvl, pos // 3, n)"""
+
+
+MANIFEST = f"""
+WITH RECURSIVE leaves AS (
+  SELECT doc_id, coalesce('=' || source, '-') AS tree, {_leaf('text')} AS leaf, CASE WHEN {_CRC32} % 2 = 0 THEN {_leaf("replace(text, chr(10), '')")} ELSE {_leaf('text')} END AS changed,
+         row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n FROM documents),
+{_tree('nodes', 'SELECT tree, 0 AS lvl, pos, leaf AS d, n FROM leaves')},
+subroots AS (SELECT tree, d, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n FROM nodes WHERE n = 1),
+{_tree('upper', "SELECT '' AS tree, 0 AS lvl, pos, d, n FROM subroots")},
+{_climb('nodes', 'low', "SELECT doc_id, tree, 0 AS lvl, pos, '' AS proof, changed AS fold, n FROM leaves", 'kids')},
+{_climb('upper', 'high', "SELECT doc_id, '' AS tree, 0 AS lvl, s.pos, proof, fold, s.n FROM low JOIN subroots s USING (tree) WHERE low.n = 1", 'upper_kids')}
+SELECT doc_id, leaf, s.d AS subroot, u.d AS root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = u.d AS verified
+FROM leaves JOIN subroots s USING (tree) JOIN upper u ON u.n = 1 JOIN high USING (doc_id) WHERE high.n = 1
+"""
+
+_TERMS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+
+def _terms(table: str, key: str) -> str:
+    return (f"SELECT {key}, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_TERMS}')) AS term "
+            f"FROM {table} WHERE text IS NOT NULL")
+
+
+RANKED = f"""
+WITH tf AS (SELECT doc_id, term, count(*) AS tf FROM ({_terms('documents', 'doc_id')}) GROUP BY ALL),
+sizes AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM tf GROUP BY doc_id),
+totals AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM sizes),
+w AS (SELECT term, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf, totals GROUP BY term),
+m AS (SELECT doc_id, 25 + (75 * n * docs) // terms AS m FROM sizes, totals),
+asked AS (SELECT item_id, term, count(*) AS q FROM ({_terms('benchmark', 'item_id')}) GROUP BY ALL),
+scores AS (SELECT item_id, doc_id, sum(q * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+           FROM asked JOIN tf USING (term) JOIN w USING (term) JOIN m USING (doc_id) GROUP BY ALL)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INTEGER AS rank, doc_id, score FROM scores WHERE score > 0
+QUALIFY rank <= 10
+"""
+
+_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+URLS = rf"""
+WITH rules (h, p, v) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+parts AS (SELECT row_number() OVER () AS r, page_id, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), {_LOWER}), '') AS host,
+            coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path
+          FROM (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages)),
+fits AS (SELECT r, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS v
+         FROM parts JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY r)
+SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM parts LEFT JOIN fits USING (r)
+"""
+
 ORACLE = {
     "op1_line_dedup": LINES,
     "op2_substring_dedup": PHRASES,
     "op7_ngram_jaccard_join": SIMILAR,
     "op10_decontamination": LEAKS,
+    "op11_merkle_manifest": MANIFEST,
+    "op12_ranked_search": RANKED,
+    "op13_url_filters": URLS,
 }

@@ -10,7 +10,9 @@ from public_tokenizers import path
 
 from skyloom.llm.decontamination import contaminated
 from skyloom.llm.html_text import html_text
+from skyloom.llm.lexical import ranked
 from skyloom.llm.line_dedup import line_dedup
+from skyloom.llm.merkle import tamper_proofs
 from skyloom.llm.mixing import mixed_copies
 from skyloom.llm.nearest import nearest
 from skyloom.llm.ngram_join import Likeness, similar_groups
@@ -19,6 +21,7 @@ from skyloom.llm.pii import personal_data
 from skyloom.llm.quality import quality_scores
 from skyloom.llm.substring_dedup import substring_dedup
 from skyloom.llm.token_file import read_tokens, write_tokens
+from skyloom.llm.url_filter import url_verdicts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -86,3 +89,20 @@ def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    return tamper_proofs(table(spark, sf_dir, "documents"), tampered, {"text": F.translate("text", "\n", "")})
+
+
+@query
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+    return url_verdicts(table(spark, sf_dir, "pages"), spark.createDataFrame(rules, "host string, path string, verdict string"))

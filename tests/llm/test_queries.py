@@ -12,7 +12,7 @@ NO_SQL = {"op3_html_text", "op4_token_file", "op5_personal_data", "op6_quality_c
 
 
 def test_registered():
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 14)}
     assert set(QUERIES) - set(ORACLE) == NO_SQL
     assert {*QUERIES, "pipeline"} <= set(entry.queries()) and set(ORACLE) <= set(entry.oracle_sql())
     assert len(corpus_pipeline.STAGES) == 5 and "pipeline" not in entry.oracle_sql()
