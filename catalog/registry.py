@@ -110,8 +110,7 @@ def valid_sensor_rows(spark, sf):
 
 @query
 def valid_coordinate_rows(spark, sf):
-    rows = clean.observation_flags(v.obs(spark, sf), v.WINDOW).filter("coord_ok")
-    return rows.select("event_id", "lat_num", "lon_num")
+    return clean.located_rows(v.obs(spark, sf)).select("event_id", "lat_num", "lon_num")
 
 
 @query
@@ -687,7 +686,7 @@ def _workload_size(population: DataFrame) -> int:
 
 
 def _drawn(spark, sf):
-    topology_ = _zone_topology(spark, sf)
+    topology_ = materialize(_zone_topology(spark, sf), "zone-topology")
     population = workload.population_by_edge(topology_)
     size = _workload_size(population)
     quotas = materialize(workload.balanced_quotas(population, size), "quotas")

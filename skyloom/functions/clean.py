@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyloom.params import NA_TOKENS, NULL_WORDS, BoundingBox, TimeWindow, TraceColumns
+from skyloom.plans.shared import computed_once
 
-# White space that is cut from the ends of values, and that beyond Latin-1.
-WHITE_SPACE = " \t\n\x0b\x0c\r\x85\xa0"
-WIDE_SPACE = r"^[\s\x0B\x{85}\p{Z}]+|[\s\x0B\x{85}\p{Z}]+$"
+# Fixed value: white space that is cut from the ends of values, all Unicode blanks included.
+WHITE_SPACE = (
+    " \t\n\x0b\x0c\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 # Fixed value: one time layout, quote marks allowed around it.
 STRICT_TIME = r"^\s*'*\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?'*\s*$"
 # Fixed value: letters that no decimal number has. Keeps out what a cast would
@@ -18,8 +20,8 @@ NOT_IN_NUMBERS = "[a-df-zA-DF-Z]"
 
 
 def strip(c: Column) -> Column:
-    """Text without white space at its ends; Unicode blanks are looked for in non-ASCII text only."""
-    return F.when(F.octet_length(c) > F.length(c), F.regexp_replace(c, WIDE_SPACE, "")).otherwise(F.btrim(c, F.lit(WHITE_SPACE)))
+    """Text without white space at its ends; no condition around it, so that Spark can share the result."""
+    return F.btrim(c, F.lit(WHITE_SPACE))
 
 
 def clean_text(c: Column) -> Column:
@@ -44,7 +46,14 @@ def parse_time(c: Column) -> Column:
     Text without an offset is read in the session time zone, which must be UTC. A time without
     a date is NULL: a cast would give it the date of today.
     """
-    text = F.btrim(strip(c), F.lit(WHITE_SPACE + "'\""))
+    return _bare_time(_time_text(c))
+
+
+def _time_text(c: Column) -> Column:
+    return F.btrim(c, F.lit(WHITE_SPACE + "'\""))
+
+
+def _bare_time(text: Column) -> Column:
     return F.when(~F.instr(text, ":").between(1, 4), text.try_cast("timestamp"))
 
 
@@ -78,14 +87,26 @@ def mask(ok: Column, value: Column) -> Column:
     return F.when(ok, value)
 
 
-def observation_flags(df, window: TimeWindow, cols: TraceColumns = TraceColumns()):
+def with_time(df: DataFrame, column: str, name: str = "event_time") -> DataFrame:
+    """``parse_time`` of a text column, trimmed once and parsed once per row, whatever filters follow."""
+    timed = computed_once(df.withColumn("_time_text", _time_text(F.col(column))), {name: _bare_time(F.col("_time_text"))})
+    return timed.drop("_time_text")
+
+
+def observation_flags(df: DataFrame, window: TimeWindow, cols: TraceColumns = TraceColumns()) -> DataFrame:
     """Add typed columns and validity flags; drops no row, so every count stays possible."""
     lat, lon = to_number(F.col(cols.lat)), to_number(F.col(cols.lon))
     return (
-        df.withColumns({"event_time": parse_time(F.col(cols.timestamp)), "lat_num": lat, "lon_num": lon})
+        with_time(df, cols.timestamp).withColumns({"lat_num": lat, "lon_num": lon})
         .withColumns({
             "in_window": in_window(F.col("event_time"), window),
             "sensor_ok": valid_sensor_id(F.col(cols.sensor_id)),
             "coord_ok": valid_coordinates(F.col("lat_num"), F.col("lon_num")),
         })
     )
+
+
+def located_rows(df: DataFrame, cols: TraceColumns = TraceColumns()) -> DataFrame:
+    """Rows with usable coordinates, which are added as numbers; each text is parsed once."""
+    numbers = {"lat_num": to_number(F.col(cols.lat)), "lon_num": to_number(F.col(cols.lon))}
+    return computed_once(df, numbers).filter(valid_coordinates(F.col("lat_num"), F.col("lon_num")))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from skyloom.functions.clean import in_window, parse_time, strip
+from skyloom.functions.clean import in_window, with_time, strip
 from skyloom.functions.rates import per_second, percent
 from skyloom.params import (
     REPLAY_FACTORS, SEED, TARGET_EVENTS_PER_SECOND, WORKLOAD_SENSORS, TimeWindow, TraceColumns,
@@ -138,7 +138,7 @@ def workload_rows(
     Values pass through as the text they were read as. ``event_time`` is added
     for ordering the output.
     """
-    timed = raw.withColumns({"event_time": parse_time(F.col(cols.timestamp)), "_id": strip(F.col(cols.sensor_id))})
+    timed = with_time(raw, cols.timestamp).withColumn("_id", strip(F.col(cols.sensor_id)))
     rows = timed.filter(in_window(F.col("event_time"), window))
     chosen = selected.select(F.col("sensor_id").alias("_id")).distinct()
     return lookup_join(rows, chosen, "_id", "left_semi").select(*columns, "event_time")
