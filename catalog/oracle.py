@@ -308,6 +308,26 @@ OBS_COLUMNS = ("event_id", "sensor_id", "location", "timestamp", "lat", "lon", "
 ACTIVE = ("event_id", "sensor_id", "location", "timestamp", "lat", "lon", "temperature", "humidity", "pressure")
 ACTIVE_TEXT = ", ".join(f"{_from_file(c)} AS {c}" for c in ACTIVE)
 
+_DELIVERY = """least(3, CASE WHEN observed_at < TIMESTAMP '2024-01-12' THEN 1 WHEN observed_at < TIMESTAMP '2024-01-19' THEN 2
+  WHEN observed_at IS NULL THEN 1 ELSE 3 END + CASE WHEN sequence % 19 = 0 THEN 2 WHEN sequence % 17 = 0 THEN 1 ELSE 0 END)"""
+
+view("delivered", "judged", sql=f"""delivered AS (
+  SELECT *, {_DELIVERY} AS delivery FROM judged WHERE trim(sensor_id) <> ''),
+marks AS (
+  SELECT delivery, max(epoch_us(observed_at)) AS high FROM delivered WHERE reject_reason IS NULL GROUP BY delivery),
+timed AS (
+  SELECT *, coalesce(window_end <= mark, false) AS late FROM (
+    SELECT d.*, (epoch_us(observed_at) // 300000000 + 1) * 300000000 AS window_end,
+      (SELECT max(high) FROM marks m WHERE m.delivery < d.delivery) - 600000000 AS mark
+    FROM delivered d WHERE reject_reason IS NULL))""")
+
+# The first event of a sensor per edge, but for the edge of its very first event.
+CHANGES = _with("""SELECT sensor_id, home_edge, receiving_edge AS edge_id, event_id, sequence, epoch_us(observed_at) AS observed_at
+  FROM (SELECT *, first_value(receiving_edge) OVER (PARTITION BY sensor_id ORDER BY observed_at, sequence) AS home_edge,
+          row_number() OVER (PARTITION BY sensor_id, receiving_edge ORDER BY observed_at, sequence) AS n
+        FROM inbox WHERE observed_at IS NOT NULL AND sensor_id <> '')
+  WHERE n = 1 AND receiving_edge <> home_edge""", "inbox")
+
 ORACLE: dict[str, str] = {
     "preview": _with("SELECT * FROM obs ORDER BY event_id LIMIT 5", "obs"),
     # an empty value in a file is a missing one
@@ -552,4 +572,20 @@ ORACLE: dict[str, str] = {
     "stream_edge_windows": _with(_EDGE_WINDOWS, "measured"),
     "stream_macroarea_windows": _with(_MACRO_WINDOWS, "measured"),
     "stream_dedup": _with(f"SELECT window_id, input_events, sensor_count FROM ({_EDGE_WINDOWS})", "measured"),
+    "edge_change_events": CHANGES,
+    "stream_edge_changes": CHANGES,
+    "stream_late_rows": _with("""SELECT sequence, event_id, sensor_id, epoch_us(observed_at) AS observed_at, window_end, mark AS watermark,
+        (mark - epoch_us(observed_at)) / 1e6 AS lag_seconds, 'window closed' AS reason FROM timed WHERE late""", "delivered"),
+    "stream_ontime_windows": _with(_EDGE_WINDOWS.replace("FROM measured", "FROM measured JOIN (SELECT sequence FROM timed WHERE NOT late) USING (sequence)"), "measured", "delivered"),
+    "stream_reconciled": _with("""SELECT count(*) FILTER (WHERE reject_reason IS NULL) AS accepted, count(*) FILTER (WHERE reject_reason IS NOT NULL) AS rejected,
+        (SELECT count(*) FROM timed WHERE NOT late) AS windowed, (SELECT count(*) FROM timed WHERE late) AS late FROM delivered""", "delivered"),
+    "stream_progress": _with("""SELECT delivery - 1 AS batch_id, count(*) AS input_rows, count(*) FILTER (WHERE reject_reason IS NULL) AS accepted,
+        count(*) FILTER (WHERE reject_reason IS NOT NULL) AS rejected FROM delivered GROUP BY delivery""", "delivered"),
+    "stream_sequence": _with("""SELECT id AS event_id, sensor_id, sequence, epoch_us(t) AS observed_at, edge_id, macroarea_id FROM numbered""", "numbered"),
+    "stream_envelope": _with("SELECT topic, sensor_id AS key, sequence FROM wire", "wire"),
+    "stream_publish_counts": _with(f"""SELECT delivery - 1 AS batch_id, unnest(['envelopes', 'rejects', 'counts']) AS target,
+        unnest([count(*) FILTER (WHERE trim(sensor_id) <> ''), count(*) FILTER (WHERE trim(sensor_id) = ''), count(DISTINCT receiving_edge)]) AS rows
+        FROM (SELECT *, {_DELIVERY} AS delivery FROM inbox) GROUP BY delivery""", "inbox"),
+    "stream_closed_windows": _with(_EDGE_WINDOWS, "measured"),
 }
+ORACLE["stream_upsert_compacted"] = ORACLE["stream_upsert"]

@@ -17,12 +17,14 @@ from skyloom.functions import clean, geo, messages, rates, stats
 from skyloom.functions.measures import with_measures
 from skyloom.operators import clustering, ingest, pairwise, quality, replay, sensors, topology, windows, workload
 from skyloom.operators.sweep import sweep_metrics
-from skyloom.params import MEASURES, KSweep, TOPIC_TEMPLATE
+from skyloom.params import MEASURES, KSweep, TOPIC_TEMPLATE, WindowSizes
 from skyloom.plans.tables import materialize, new_path
 from skyloom.sources import observations, sinks
 from skyloom.sources.stream import message_files
 from skyloom.sources.topology import load_topology, parse_assignments, topology_conflicts
+from skyloom.streaming import keyed, targets
 from skyloom.streaming import queries as streams
+from skyloom.streaming.progress import ProgressTable
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -302,6 +304,21 @@ def sensor_edge_changes(spark, sf):
     return replay.edge_changes(v.inbox(spark, sf).withColumnRenamed("receiving_edge", "edge_id"))
 
 
+@query
+def edge_change_events(spark, sf):
+    """The first event of a sensor on each edge that is not its own."""
+    return _change_columns(replay.edge_change_events(_guarded(spark, sf), ["sequence"]))
+
+
+def _guarded(spark, sf):
+    """Arriving events of named sensors, by the edge that received them."""
+    return v.inbox(spark, sf).withColumnRenamed("receiving_edge", "edge_id").filter("sensor_id <> ''")
+
+
+def _change_columns(rows):
+    return rows.select("sensor_id", "home_edge", "edge_id", "event_id", "sequence", us("observed_at"))
+
+
 @query
 def first_n_events(spark, sf):
     rows = replay.first_events(v.records(spark, sf), 1_000, ["event_time", "event_id"])
@@ -822,3 +839,162 @@ def stream_dedup(spark, sf):
     events = streams.deduplicated(ingest.accepted(_stream(spark, sf, repeat=True)))
     rows = streams.edge_window_stream(events, watermarked=True)
     return streams.run_to_table(spark, rows, "deduplicated").select("window_id", "input_events", "sensor_count")
+
+
+# -- streams in several micro-batches ----------------------------------------------------
+
+LATE = WindowSizes(lateness_seconds=600)
+DELIVERY = """least(3, CASE WHEN observed_at < TIMESTAMP '2024-01-12' THEN 1 WHEN observed_at < TIMESTAMP '2024-01-19' THEN 2
+  WHEN observed_at IS NULL THEN 1 ELSE 3 END + CASE WHEN sequence % 19 = 0 THEN 2 WHEN sequence % 17 = 0 THEN 1 ELSE 0 END)"""
+
+
+def _deliveries(spark, sf):
+    """Messages of three deliveries in the order of time, with every 17th event one and every 19th two deliveries late.
+
+    Gives a folder and one function per delivery, which writes its messages there.
+    """
+    path = new_path(spark, "deliveries")
+    wire = materialize(_wire(spark, sf).withColumn("_delivery", F.expr(DELIVERY)), "wire")
+
+    def deliver(number):
+        sinks.event_envelope(wire.filter(F.col("_delivery") == number)).write.mode("append").json(path)
+
+    return path, [lambda n=n: deliver(n) for n in (1, 2, 3)]
+
+
+def _late_tables(spark, sf):
+    """Each delivery is a micro-batch of a query that goes on from its checkpoint."""
+    path, deliveries = _deliveries(spark, sf)
+    folder, checkpoint = new_path(spark, "late"), new_path(spark, "checkpoint")
+    for deliver in deliveries:
+        deliver()
+        judged = streams.ingest(message_files(spark, path), v.topo(spark, sf))
+        targets.run_batches(judged, targets.write_together(spark, folder, targets.split_late(LATE)), checkpoint)
+    return folder
+
+
+@query
+def stream_late_rows(spark, sf):
+    rows = targets.committed(spark, _late_tables(spark, sf), "late")
+    return rows.select("sequence", "event_id", "sensor_id", us("observed_at"), us("window_end"), us("watermark"), "lag_seconds", "reason")
+
+
+@query
+def stream_ontime_windows(spark, sf):
+    """Edge windows of the rows that were in time."""
+    return targets.windows_from(targets.committed(spark, _late_tables(spark, sf), "parts")).select(*_window_columns(*EDGE_OUT))
+
+
+@query
+def stream_reconciled(spark, sf):
+    """Accepted events are in a window or late."""
+    row = targets.reconciled(spark, _late_tables(spark, sf))
+    return row.select((F.col("windowed") + F.col("late")).alias("accepted"), "windowed", "late", "rejected")
+
+
+def _published(spark, sf):
+    """The wire as a stream of three deliveries, published to three tables."""
+    wire = materialize(_wire(spark, sf).withColumn("_delivery", F.expr(DELIVERY)), "wire")
+    source, folder, checkpoint = (new_path(spark, n) for n in ("to-publish", "published", "checkpoint"))
+    for number in (1, 2, 3):
+        wire.filter(F.col("_delivery") == number).drop("_delivery").write.mode("append").parquet(source)
+        stream = spark.readStream.schema(wire.drop("_delivery").schema).parquet(source)
+        targets.run_batches(stream, targets.write_together(spark, folder, targets.split_routes(), every=2), checkpoint)
+    return folder
+
+
+@query
+def stream_envelope(spark, sf):
+    rows = targets.committed(spark, _published(spark, sf), "envelopes")
+    return rows.select("topic", "key", F.get_json_object("value", "$.sequence").cast("bigint").alias("sequence"))
+
+
+@query
+def stream_publish_counts(spark, sf):
+    """Rows per micro-batch and table, as committed with them."""
+    return targets.progress(spark, _published(spark, sf)).select("batch_id", F.col("name").alias("target"), "rows")
+
+
+@query
+def stream_progress(spark, sf):
+    """Accepted and rejected messages per micro-batch, as told while the stream ran."""
+    path, deliveries = _deliveries(spark, sf)
+    out, checkpoint = new_path(spark, "ingested"), new_path(spark, "checkpoint")
+    told = ProgressTable(spark, new_path(spark, "progress"))
+    spark.streams.addListener(told)
+    try:
+        for deliver in deliveries:
+            deliver()
+            running = streams.start(streams.ingest(message_files(spark, path), v.topo(spark, sf)).drop("measurements"), out, checkpoint)
+            running.awaitTermination()
+            if running.exception() is not None:
+                raise running.exception()
+            told.wait_for(running)
+    finally:
+        spark.streams.removeListener(told)
+    return told.table().select("batch_id", "input_rows", "accepted", "rejected")
+
+
+def _in_time_order(rows, time, parts):
+    """Parquet files that a stream reads: one function per part of the rows, in the order of time."""
+    rows, path = materialize(rows, "ordered"), new_path(rows.sparkSession, "ordered-source")
+    cuts = ["2000-01-01", *parts, "3000-01-01"]
+
+    def write(low, high):
+        rows.filter(F.col(time).between(F.lit(low).cast("timestamp"), F.lit(high).cast("timestamp") - F.expr("INTERVAL 1 MICROSECOND"))).write.mode("append").parquet(path)
+
+    return rows.schema, path, [lambda a=a, b=b: write(a, b) for a, b in zip(cuts, cuts[1:])]
+
+
+@query
+def stream_sequence(spark, sf):
+    """As sensor_events, numbered by state that three runs of one query share."""
+    schema, path, steps = _in_time_order(v.routed(spark, sf), "event_time", ["2024-01-12", "2024-01-19"])
+    out, checkpoint = new_path(spark, "sequenced"), new_path(spark, "checkpoint")
+    for step in steps:
+        step()
+        events = keyed.sensor_event_stream(spark.readStream.schema(schema).parquet(path), ["event_id"], F.lit(v.EMITTED_AT).cast("timestamp"))
+        with streams.state_settings(spark):
+            running = streams.start(events, out, checkpoint)
+        running.awaitTermination()
+        if running.exception() is not None:
+            raise running.exception()
+    rows = spark.read.schema(events.schema).parquet(out)
+    return rows.select("event_id", "sensor_id", "sequence", us("observed_at"), "edge_id", "macroarea_id")
+
+
+@query
+def stream_edge_changes(spark, sf):
+    """As edge_change_events, by state that two runs of one query share."""
+    schema, path, steps = _in_time_order(_guarded(spark, sf), "observed_at", ["2024-01-15"])
+    out, checkpoint = new_path(spark, "changes"), new_path(spark, "checkpoint")
+    for step in steps:
+        step()
+        changes = keyed.edge_change_stream(spark.readStream.schema(schema).parquet(path), ["sequence"])
+        rows = keyed.run_until_quiet(spark, changes, "changes", checkpoint=checkpoint, path=out)
+    return _change_columns(rows)
+
+
+@query
+def stream_closed_windows(spark, sf):
+    """As edge_windows, by timers: nothing ends the trace, and no window is kept back."""
+    path = new_path(spark, "messages")
+    sinks.event_envelope(_wire(spark, sf)).write.json(path)
+    events = ingest.accepted(streams.ingest(message_files(spark, path), v.topo(spark, sf)))
+    rows = keyed.run_until_quiet(spark, keyed.closing_window_stream(events, idle_seconds=2, parts=2), "closed", quiet_seconds=3)
+    return keyed.newest_windows(rows).select(*_window_columns(*EDGE_OUT))
+
+
+@query
+def stream_upsert_compacted(spark, sf):
+    """As upserted_windows, in many micro-batches; the log is folded every two commits and old versions go at once."""
+    table = new_path(spark, "window-table")
+    for part in _macro_versions(spark, sf):
+        source, pieces = new_path(spark, "versions"), 3
+        for i in range(pieces):
+            part.filter(F.pmod(F.xxhash64("window_id"), F.lit(pieces)) == i).write.mode("append").parquet(source)
+            stream = spark.readStream.schema(part.schema).parquet(source)
+            if not i:
+                checkpoint = new_path(spark, "checkpoint")
+            targets.run_batches(stream, sinks.upsert_into(spark, table, "version", every=2, keep_seconds=0), checkpoint)
+    return sinks.upserted(spark, table)

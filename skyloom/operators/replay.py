@@ -42,7 +42,11 @@ def sensor_events(
     the place in the file, or a content hash where that is not known.
     Records without a route must have been taken out or accepted knowingly.
     """
-    numbered = number_rows(routed, ["sensor_id"], ["event_time", *tie], "sequence")
+    return numbered_events(number_rows(routed, ["sensor_id"], ["event_time", *tie], "sequence"), emitted_at)
+
+
+def numbered_events(numbered: DataFrame, emitted_at: Column | None = None) -> DataFrame:
+    """Events of routed records that have their ``sequence``."""
     return numbered.select(
         F.lit(SCHEMA_VERSION).alias("schema_version"),
         event_id(F.col("sensor_id"), F.col("event_time"), F.col("sequence")).alias("event_id"),
@@ -76,6 +80,19 @@ def edge_changes(events: DataFrame) -> DataFrame:
     )
 
 
+def edge_change_events(events: DataFrame, tie: list[str]) -> DataFrame:
+    """The first event of each sensor on every edge other than that of its first event.
+
+    Events are in (observed_at, tie) order; those without a sensor, an edge or a time take no part.
+    """
+    whole = events.filter("sensor_id IS NOT NULL AND edge_id IS NOT NULL AND observed_at IS NOT NULL")
+    first = F.min(F.struct(*dict.fromkeys(["observed_at", *tie, "event_id", "sequence", "edge_id"]))).alias("first")
+    per_edge = whole.groupBy("sensor_id", F.col("edge_id").alias("_edge")).agg(first)
+    home = per_edge.groupBy("sensor_id").agg(F.min("first").alias("home"), F.count("*").alias("edges")).filter("edges > 1")
+    return per_edge.join(home, "sensor_id").filter("first.edge_id <> home.edge_id").select(
+        "sensor_id", F.col("home.edge_id").alias("home_edge"), F.col("first.edge_id").alias("edge_id"), "first.event_id", "first.sequence", "first.observed_at")
+
+
 def first_events(events: DataFrame, n: int, order: list[str]) -> DataFrame:
     """The first ``n`` events in ``order``; 0 means all.
 

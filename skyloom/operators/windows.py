@@ -39,16 +39,29 @@ def edge_windows(
     On a stream, set the watermark on ``observed_at`` first. The ``window``
     column is kept for :func:`macroarea_windows`.
     """
-    names = [m.name for m in measures]
-    counters = ["input_events", "missing_values", "invalid_values"]
-    per_sensor = measured_rows.groupBy(
+    return merged_edge_windows(sensor_windows(measured_rows, sizes, measures), measures)
+
+
+def sensor_windows(
+    measured_rows: DataFrame,
+    sizes: WindowSizes = WindowSizes(),
+    measures: tuple[Measure, ...] = MEASURES,
+) -> DataFrame:
+    """The first grouping: summaries per sensor and edge window."""
+    return measured_rows.groupBy(
         F.window("observed_at", sizes.edge), "edge_id", "macroarea_id", "sensor_id"
     ).agg(
         F.count("*").alias("input_events"),
         F.sum("missing_values").alias("missing_values"),
         F.sum("invalid_values").alias("invalid_values"),
-        *[a for n in names for a in stats.summarize(n, F.col(n))],
+        *[a for m in measures for a in stats.summarize(m.name, F.col(m.name))],
     )
+
+
+def merged_edge_windows(per_sensor: DataFrame, measures: tuple[Measure, ...] = MEASURES) -> DataFrame:
+    """The second grouping: windows from rows of which each sensor has one per window."""
+    names = [m.name for m in measures]
+    counters = ["input_events", "missing_values", "invalid_values"]
     merged = per_sensor.groupBy("window", "edge_id", "macroarea_id").agg(
         F.count("*").alias("sensor_count"),
         *[F.sum(c).alias(c) for c in counters],

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,6 +12,7 @@ from skyloom.functions import stats
 from skyloom.functions.clean import strip
 from skyloom.functions.messages import TIME_FORMAT, encode_event, topic
 from skyloom.params import EDGE_WINDOW_PARTITIONS, MEASURES, TOPIC_TEMPLATE, Measure
+from skyloom.sources.commits import CommitLog
 from skyloom.sources.footprint import file_footprint
 
 # Fixed value: columns of the exported result tables, in output order.
@@ -147,52 +147,43 @@ def upsert_windows(existing: DataFrame, updates: DataFrame, version: str, key: s
 
 # Fixed value: day of a window from its id, "<place>:<start in epoch seconds>".
 WINDOW_DAY = "coalesce(cast(date(timestamp_seconds(try_cast(substring_index(window_id, ':', -1) AS BIGINT))) AS STRING), 'none')"
-_LOG = "query_id STRING, batch_id BIGINT, sequence BIGINT, day STRING, path STRING"
 
 
-def upsert_into(spark: SparkSession, folder: str, version: str, key: str = "window_id", day: str = WINDOW_DAY):
+def upsert_into(
+    spark: SparkSession, folder: str, version: str, key: str = "window_id", day: str = WINDOW_DAY, every: int = 20, keep_seconds: float = 86_400,
+):
     """A ``foreachBatch`` function that keeps a parquet table of the newest row per key.
 
-    A batch writes the days it touches anew, below ``folder/data``, and then one line per day to ``folder/log``: that
-    is the commit. Lines carry the query's id, which a new checkpoint renews, and the batch id: a repeated batch is skipped, and a query that
-    starts over with batch 0 goes on from what is there. One query at a time writes a table.
+    A batch writes the days it touches anew and commits them to the log at once: a repeated batch is skipped, and a query that
+    starts over with batch 0 goes on from what is there. The log is folded every ``every`` commits, and replaced versions of a day
+    go ``keep_seconds`` later, which must be longer than any reader takes.
     """
-    own = uuid.uuid4().hex
+    own, log = uuid.uuid4().hex, CommitLog(spark, folder, every=every, keep_seconds=keep_seconds)
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or own
-        log = _committed(spark, folder)
-        if not log.filter((F.col("query_id") == query) & (F.col("batch_id") == batch_id)).isEmpty():
+        query, lines = query_of(batch) or own, log.lines()
+        last = log.last_batch(lines, query)
+        if last is not None and batch_id <= last:
             return
         rows = batch.withColumn("_day", F.expr(day))
         touched = [r[0] for r in rows.select("_day").distinct().collect()]  # days of one micro-batch
         if not touched:
             return
-        held = _newest(log).filter(F.col("day").isin(touched)).select("path").collect()
+        held = lines.filter(F.col("name").isin(touched)).select("path").collect()
         existing = spark.read.schema(batch.schema).parquet(*[r[0] for r in held]) if held else batch.limit(0)
-        path = f"{folder}/data/{uuid.uuid4().hex}"
+        path = log.new_data()
         upsert_windows(existing, batch, version, key).withColumn("_day", F.expr(day)).write.partitionBy("_day").parquet(path)
-        sequence = (log.agg(F.max("sequence")).first()[0] or 0) + 1
-        lines = [(query, batch_id, sequence, d, f"{path}/_day={d}") for d in touched]
-        spark.createDataFrame(lines, _LOG).coalesce(1).write.mode("append").parquet(f"{folder}/log")
+        log.commit(query, batch_id, [(d, f"{path}/_day={d}", None) for d in touched])
 
     return apply
 
 
-def _committed(spark: SparkSession, folder: str) -> DataFrame:
-    try:
-        return spark.read.schema(_LOG).parquet(f"{folder}/log")
-    except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], _LOG)
-
-
-def _newest(log: DataFrame) -> DataFrame:
-    return log.groupBy("day").agg(F.max_by("path", "sequence").alias("path"))
+def query_of(batch: DataFrame) -> str | None:
+    """Id of the streaming query that a micro-batch belongs to."""
+    return batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
 
 
 def upserted(spark: SparkSession, folder: str) -> DataFrame | None:
     """The table that :func:`upsert_into` keeps, as last committed; None before the first commit."""
-    paths = [r[0] for r in _newest(_committed(spark, folder)).select("path").collect()]  # one per day
+    paths = CommitLog(spark, folder).paths()  # one per day
     return spark.read.parquet(*paths) if paths else None
