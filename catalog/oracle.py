@@ -589,3 +589,12 @@ ORACLE: dict[str, str] = {
     "stream_closed_windows": _with(_EDGE_WINDOWS, "measured"),
 }
 ORACLE["stream_upsert_compacted"] = ORACLE["stream_upsert"]
+ORACLE["export_manifest"] = f"""SELECT 'europe_topology' AS name, count(*) AS rows, count(DISTINCT edge_id) AS edges, sum(rows)::BIGINT AS observations
+  FROM ({_with("SELECT * FROM assigned", "assigned")})
+  UNION ALL SELECT 'edge_population_summary', count(*), count(DISTINCT edge_id), sum(rows)::BIGINT FROM ({ORACLE["edge_population_summary"]})"""
+ORACLE["broken_rules"] = _with("""SELECT * FROM (SELECT unnest(['unique sensor', 'edge known', 'no area m1', 'no area m9']) AS rule,
+    unnest([count(*) - count(DISTINCT sensor_id), count(*) FILTER (WHERE area = 'm3'), count(*) FILTER (WHERE area = 'm1'), 0]) AS offending FROM (
+      SELECT sensor_id, macroarea_id AS area FROM topo
+      UNION ALL SELECT cast(s_suppkey AS VARCHAR), concat('m', cast(s_suppkey % 5 AS VARCHAR)) FROM supplier)) WHERE offending > 0""", "topo")
+ORACLE["written_bytes"] = "SELECT sum(strlen(event_id::VARCHAR) + strlen((user_id % 40)::VARCHAR) + 2)::BIGINT AS bytes FROM events"
+ORACLE["trace_summary"] = _with("SELECT count(*) AS rows FROM flagged WHERE in_window AND trim(sensor_id) IN (SELECT sensor_id FROM topo)", "flagged", "topo")

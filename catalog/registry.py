@@ -18,8 +18,10 @@ from skyloom.functions.measures import with_measures
 from skyloom.operators import clustering, ingest, pairwise, quality, replay, sensors, topology, windows, workload
 from skyloom.operators.sweep import sweep_metrics
 from skyloom.params import MEASURES, KSweep, TOPIC_TEMPLATE, WindowSizes
+from skyloom.plans import invariants
 from skyloom.plans.tables import materialize, new_path
 from skyloom.sources import observations, sinks
+from skyloom.sources.footprint import file_footprint
 from skyloom.sources.stream import message_files
 from skyloom.sources.topology import load_topology, parse_assignments, topology_conflicts
 from skyloom.streaming import keyed, targets
@@ -841,6 +843,44 @@ def stream_dedup(spark, sf):
     return streams.run_to_table(spark, rows, "deduplicated").select("window_id", "input_events", "sensor_count")
 
 
+# -- results as a whole --------------------------------------------------------------------
+
+@query
+def export_manifest(spark, sf):
+    """Tables of one committed export, each as read back from its files."""
+    zones = materialize(_zone_topology(spark, sf), "zone-topology")
+    folder = new_path(spark, "exports")
+    sinks.export_set({"europe_topology": zones.withColumn("macroarea_id", F.lit("m0")), "edge_population_summary": edge_population_summary(spark, sf)}, folder)
+    read = sinks.exported(spark, folder)
+    counts = [df.agg(F.count("*").alias("rows"), F.count_distinct("edge_id").alias("edges"), r(F.sum(F.col("rows").cast("bigint"))).cast("bigint").alias("observations"))
+              .select(F.lit(name).alias("name"), "*") for name, df in read.items()]
+    return counts[0].unionByName(counts[1])
+
+
+@query
+def broken_rules(spark, sf):
+    """Rules that the topology with planted conflicts breaks, and by how many rows."""
+    rows = v.topo_conflicting(spark, sf).withColumn("edge_id", F.when(F.col("macroarea_id") != "m3", F.col("edge_id")))
+    return invariants.violations(rows, {
+        "unique sensor": invariants.unique(rows, ["sensor_id"]), "edge known": invariants.no_nulls(["edge_id"]),
+        "no area m1": invariants.none_where("macroarea_id = 'm1'"), "no area m9": invariants.none_where("macroarea_id = 'm9'")})
+
+
+@query
+def written_bytes(spark, sf):
+    """Size of a written text file, from the file listing."""
+    path = new_path(spark, "lines")
+    v.obs(spark, sf).select(F.concat_ws(";", F.col("event_id").cast("string"), "location")).write.text(path)
+    return file_footprint(spark, path).select("bytes")
+
+
+@query
+def trace_summary(spark, sf):
+    """Rows of a written trace, counted from its files."""
+    rows = workload.workload_rows(v.obs(spark, sf), v.topo(spark, sf), v.WINDOW, ["sensor_id", "timestamp", "temperature"])
+    return sinks.write_trace(rows, new_path(spark, "trace"), "event_time", "sensor_id").select("rows")
+
+
 # -- streams in several micro-batches ----------------------------------------------------
 
 LATE = WindowSizes(lateness_seconds=600)

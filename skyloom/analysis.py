@@ -41,7 +41,7 @@ def analyse(
     cols: TraceColumns = TraceColumns(),
     silhouette: str = "exact",
 ) -> Analysis:
-    """Run every step, write tables below ``<out>/tables`` and the trace to ``<out>/trace``.
+    """Run every step, export all tables at once below ``<out>/tables`` (``sinks.exported`` reads them) and write the trace to ``<out>/trace``.
 
     The raw observations are read twice: for the per-sensor scan, and for the
     trace, whose rows and columns depend on it. The rows of the trace are written
@@ -101,7 +101,7 @@ def analyse(
         "kmeans_topology": chosen,
         "replay_load_scenarios": workload.replay_scenarios(chosen),
     }
-    sinks.export_tables(tables, f"{out}/tables")
+    sinks.export_set(tables, f"{out}/tables")
 
     rows = materialize(workload.workload_rows(raw, chosen, window, quality.active_columns(profile), cols), "trace-rows")
     trace = sinks.write_trace(rows, f"{out}/trace", "event_time", cols.sensor_id)

@@ -96,10 +96,14 @@ def edge_change_events(events: DataFrame, tie: list[str]) -> DataFrame:
 def first_events(events: DataFrame, n: int, order: list[str]) -> DataFrame:
     """The first ``n`` events in ``order``; 0 means all.
 
-    Rows are cut by row number, so that the kept ones never meet in one task.
+    Each partition gives its own first ``n``, so only those are shuffled; they are then cut by row number, so that the kept
+    ones never meet in one task. Rows equal in ``order`` are cut anywhere among them.
     """
     if n < 0:
         raise ValueError("the number of events must not be negative")
     if n == 0:
         return events
-    return number_rows(events, [], order, "_seq").filter(F.col("_seq") <= n).drop("_seq")
+    # the lower 33 bits are the place in the sorted partition
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    own = events.sortWithinPartitions(*order).withColumn("_place", place).filter(F.col("_place") < n).drop("_place")
+    return number_rows(own, [], order, "_seq").filter(F.col("_seq") <= n).drop("_seq")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -73,6 +74,67 @@ def export_tables(tables: dict[str, DataFrame], folder: str) -> list[str]:
     return written
 
 
+_EXPORTED = "name STRING, path STRING, rows BIGINT, columns STRING, checksum STRING"
+
+
+def export_set(tables: dict[str, DataFrame], folder: str) -> DataFrame:
+    """Write result tables so that readers see all of them or none; gives the manifest: name, path, rows, columns, checksum.
+
+    Every table goes to a place of its own. Rows and checksum are taken from the files as they lie there. One commit then names the
+    manifest, and with it all tables of the set; an export that stops before it changes nothing for readers.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    log = CommitLog(spark, folder)
+    place = log.new_data()
+    lines = []
+    for name, path in zip(tables, export_tables(tables, place)):
+        lines.append((name, path, *_content(spark, path)))
+    manifest = spark.createDataFrame(lines, _EXPORTED)
+    manifest.coalesce(1).write.parquet(f"{place}/_manifest")
+    last = log.last_batch(log.lines(), "export")
+    log.commit("export", 0 if last is None else last + 1, [("manifest", f"{place}/_manifest", len(lines))])
+    return manifest
+
+
+def _content(spark: SparkSession, path: str) -> tuple[int, str, str]:
+    """Rows, columns, and a checksum of a written table, whatever the order of its rows."""
+    rows = _read_text_table(spark, path)
+    # null and text are hashed apart; a sum counts repeated rows, as exclusive or would not
+    each = F.xxhash64(*[F.struct(F.col(f"`{c}`").isNull(), F.col(f"`{c}`")) for c in rows.columns]).cast("decimal(38,0)")
+    n, total = rows.agg(F.count("*"), F.sum(each)).first()
+    return n, ",".join(rows.columns), str(total or 0)
+
+
+def _read_text_table(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.csv(path, header=True, quote='"', escape='"', inferSchema=False)
+
+
+def _manifest(spark: SparkSession, folder: str) -> list:
+    paths = CommitLog(spark, folder).paths("manifest")
+    if not paths:
+        raise ValueError(f"no committed export in {folder}")
+    return spark.read.schema(_EXPORTED).parquet(*paths).collect()  # a row per table
+
+
+def exported_paths(spark: SparkSession, folder: str) -> dict[str, str]:
+    """Where the tables of the newest committed export lie."""
+    return {r["name"]: r["path"] for r in _manifest(spark, folder)}
+
+
+def exported(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The tables of the newest committed export, as text; fails if one is missing or not what the manifest says."""
+    out = {}
+    for name, path, *said in _manifest(spark, folder):
+        try:
+            found = _content(spark, path)
+        except AnalysisException as missing:
+            raise ValueError(f"table {name} of the export is missing") from missing
+        if list(found) != said:
+            raise ValueError(f"table {name} of the export is not whole: {found} instead of {tuple(said)}")
+        out[name] = _read_text_table(spark, path)
+    return out
+
+
 def write_trace(trace: DataFrame, path: str, event_time: str, sensor: str, separator: str = ";") -> DataFrame:
     """Write a trace ordered by (time, sensor); returns one row (rows, files, bytes) counted from the files.
 

@@ -25,9 +25,9 @@ def test_analysis_end_to_end(spark, files):
     done = analyse(raw, views.WINDOW, files, sweep=KSweep(5, 6, 2), size=20)
     assert done.k in (5, 6)
     assert done.workload.count() == 20
-    assert set(done.tables) == set(sinks.EXPORTS)
+    assert set(done.tables) == set(sinks.EXPORTS) == set(sinks.exported(spark, f"{files}/tables"))
 
-    topology = load_topology(spark, f"{files}/tables/kmeans_topology")
+    topology = load_topology(spark, sinks.exported_paths(spark, f"{files}/tables")["kmeans_topology"])
     assert topology.count() == 20
     trace = observations.scan_trace(spark, f"{files}/trace")
     assert "altitude" not in trace.columns

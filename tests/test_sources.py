@@ -202,3 +202,30 @@ def test_unicode_blanks_and_times_without_a_date(spark):
     got = df.select(clean.strip(F.col("v")), clean.valid_sensor_id(F.col("v")), clean.to_number(F.col("v")), clean.parse_time(F.col("v")).cast("string")).collect()
     assert [r[0] for r in got[:3]] == ["", "7.5", "é"] and [r[1] for r in got[:3]] == [False, True, True] and got[1][2] == 7.5
     assert [r[3] for r in got[3:]] == [None, None, "2024-01-05 12:30:00", "2024-01-05 00:00:00", None]
+
+
+def test_an_export_is_whole_or_not_there(spark, tmp_path, monkeypatch):
+    from skyloom.sources.commits import CommitLog
+
+    folder = str(tmp_path / "exports")
+    loads = spark.createDataFrame([(1, 2.5), (2, 5.0), (2, 5.0)], "replay_factor int, total_events_per_second double")
+    centers = spark.createDataFrame([(0, "edge-0", 1.5, None)], "edge_cluster int, edge_id string, centroid_x_km double, centroid_y_km double")
+    with pytest.raises(ValueError, match="no committed export"):
+        sinks.exported(spark, folder)
+    manifest = sinks.export_set({"replay_load_scenarios": loads, "edge_centroids": centers}, folder)
+    assert {r["name"]: r["rows"] for r in manifest.collect()} == {"replay_load_scenarios": 3, "edge_centroids": 1}
+    with monkeypatch.context() as m:
+        m.setattr(CommitLog, "commit", lambda *a, **k: (_ for _ in ()).throw(RuntimeError("killed")))
+        with pytest.raises(RuntimeError):
+            sinks.export_set({"replay_load_scenarios": loads.limit(1), "edge_centroids": centers}, folder)
+    got = sinks.exported(spark, folder)
+    assert got["replay_load_scenarios"].count() == 3 and got["edge_centroids"].first()["edge_id"] == "edge-0"
+    sinks.export_set({"replay_load_scenarios": loads.limit(1), "edge_centroids": centers}, folder)
+    assert sinks.exported(spark, folder)["replay_load_scenarios"].count() == 1
+    path = sinks.exported_paths(spark, folder)["edge_centroids"]
+    spark.createDataFrame([(0, "edge-1", 1.5, None)], centers.schema).coalesce(1).write.csv(path, mode="overwrite", header=True)
+    with pytest.raises(ValueError, match="edge_centroids of the export is not whole"):
+        sinks.exported(spark, folder)
+    spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()).delete(spark._jvm.org.apache.hadoop.fs.Path(path), True)
+    with pytest.raises(ValueError, match="edge_centroids of the export is missing"):
+        sinks.exported(spark, folder)
