@@ -72,6 +72,14 @@ class Encoder:
         return [np.frombuffer(b"".join(map(find, ws)), "<u4") for ws in words]
 
 
+def require_words(tokenizer: str) -> None:
+    """Stops at a tokenizer whose ids for a text are not those of its words alone, as ``Encoder`` takes them."""
+    encode = Encoder(tokenizer)
+    for text in ("one two", " one\ttwo ", "One, two.\n\nThree's 4 5", "über  ça\r\n日本 語"):
+        if encode([text])[0].tolist() != _tokenizer(tokenizer).encode(text, add_special_tokens=False).ids:
+            raise ValueError(f"{tokenizer} does not encode the words of a text each by itself")
+
+
 class PartWriter:
     """Writes one part's two files; nothing is seen of it before its manifest row."""
 
@@ -102,8 +110,8 @@ class PartWriter:
 
     def _flush(self, last: bool) -> None:
         ids, ends = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((self.waiting, "<u4"), (self.ends, bool)))
-        full = len(ids) if last else len(ids) // self.length * self.length
-        step = SEQUENCES * self.length
+        step = SEQUENCES * self.length  # only a part's last batch is shorter, so a sequence's number gives its batch
+        full = len(ids) if last else len(ids) // step * step
         for a in range(0, full, step):
             self._batch(ids[a:min(a + step, full)], ends[a:min(a + step, full)])
         self.waiting, self.ends, self.held = [ids[full:]], [ends[full:]], len(ids) - full
@@ -181,11 +189,12 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 2, length: int =
     Every text is encoded whole, special tokens are not added, and ``end_id`` ends each document. Ids have 16 bits if the vocabulary
     allows it. ``start`` counts the ids of all parts before. Equal doc_ids are in order of their texts; null comes first and is
     kept; a null or empty text has only its end. ``tokenizer`` is a file that every executor has at that path. The folder (by
-    default below the shared one) is a place that pyarrow can write to. A repeated task writes new files, and only those
+    default below the shared one) is a place that pyarrow can write to. A tokenizer that doesn't encode each word by itself stops the job. A repeated task writes new files, and only those
     of the manifest count. An empty table has no part.
     """
     from tokenizers import Tokenizer
 
+    require_words(tokenizer)
     rows = text_rows(docs)
     folder = folder or new_path(docs.sparkSession, "tokens")
     dtype = np.dtype(np.uint16 if Tokenizer.from_file(tokenizer).get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else np.uint32)

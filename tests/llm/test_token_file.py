@@ -5,7 +5,7 @@ import pytest
 from public_tokenizers import path
 from tokenizers import Tokenizer
 
-from skyloom.llm.token_file import documents, read_tokens, sequence, write_tokens
+from skyloom.llm.token_file import PartWriter, documents, read_tokens, sequence, write_tokens
 
 FILE = path("word_bpe_49k.json")
 
@@ -44,3 +44,26 @@ def test_odd_rows_and_sequences(spark, tmp_path, length):
 
 def test_empty(spark):
     assert read_tokens(write_tokens(spark.createDataFrame([], "doc_id long, text string"), FILE)).collect() == []
+
+
+def test_any_sequence_after_uneven_adds(tmp_path):
+    rng = np.random.default_rng(8)
+    for length in (3, 32):
+        writer = PartWriter(str(tmp_path), f"part-{length}", length, np.dtype(np.uint16))
+        every = []
+        for n in rng.integers(1, 400, 60).tolist():
+            tokens = [rng.integers(3, 60_000, int(k)).astype("<u4") for k in rng.integers(1, 90, max(1, n // 40))]
+            writer.add(list(range(len(every), len(every) + len(tokens))), tokens)
+            every += tokens
+        writer.close()
+        ids, at = np.concatenate(every), f"{tmp_path}/part-{length}"
+        for i in rng.permutation(-(-len(ids) // length)).tolist():
+            one = sequence(at, i)
+            mask = one["mask"].to_numpy(zero_copy_only=False)
+            assert (one["ids"].to_numpy()[mask] == ids[i * length:(i + 1) * length]).all()
+        assert all((a == b).all() for (_, a), b in zip(documents(at), every, strict=True))
+
+
+def test_a_tokenizer_that_joins_words_is_refused(spark):
+    with pytest.raises(ValueError, match="each by itself"):
+        write_tokens(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), path("byte_bpe_50k.json"))
