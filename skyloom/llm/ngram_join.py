@@ -303,13 +303,15 @@ def _exact(like: Likeness):
 
 
 def _packed_sets(like: Likeness):
+    """(node, shingles) of texts: those of the node given along with them, or of any with a word."""
+
     def rows(batches):
         for batch in batches:
             texts = batch.column("text")
-            wanted = np.asarray(batch.column("node"))
+            wanted = np.asarray(batch.column("node")) if "node" in batch.schema.names else None
             for a, b in pieces(texts):
                 sets = Sets(texts.slice(a, b - a), like)
-                same = np.flatnonzero(sets.node == wanted[a:b])
+                same = np.flatnonzero(sets.size > 0 if wanted is None else sets.node == wanted[a:b])
                 yield pa.RecordBatch.from_arrays([
                     pa.array(sets.node[same]), pa.array([sets.h[sets.first[i]:sets.first[i + 1]].tobytes() for i in same], pa.binary())],
                     names=["node", "shingles"])
@@ -348,9 +350,12 @@ def similar_groups(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
     members = candidates.groupBy("root").agg(F.count("*").alias("members"))
     candidates = materialize(
         candidates.join(members, "root").join(nodes, "node").withColumnRenamed("root", "group"), "candidates")
-    sets = materialize(
-        rows.join(candidates.select("doc_id", "node"), "doc_id").select("text", "node")
-        .mapInArrow(_packed_sets(like), "node long, shingles binary").dropDuplicates(["node"]), "sets")
+    packed = "node long, shingles binary"
+    named_sets = rows.join(candidates.select("doc_id", "node"), "doc_id").select("text", "node").mapInArrow(_packed_sets(like), packed)
+    # sets that only rows without a doc_id hold can't be fetched by one
+    others = rows.filter("doc_id IS NULL").select("text").mapInArrow(_packed_sets(like), packed).join(
+        candidates.filter("doc_id IS NULL").select("node"), "node", "left_semi")
+    sets = materialize(named_sets.unionByName(others).dropDuplicates(["node"]), "sets")
     links = _met(candidates.drop("doc_id").join(sets, "node"), candidates.count(), SET_BLOCK).groupBy("slot", "i", "j").applyInArrow(
         _exact(like), "u long, v long")
     linked = components(links).join(nodes, "node")

@@ -74,6 +74,13 @@ def test_odd_rows(spark):
     check(spark.createDataFrame([(a, b, 1, 2) for a, b in rows], "doc_id long, text string, node int, `group` int"))
 
 
+def test_rows_without_an_id_link_others(spark):
+    words = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join(words)), (None, " ".join(words[3:])), (2, " ".join(words[6:])), (None, " ".join(words[9:])), (None, " ".join(words[9:])), (3, " ".join(words[12:]))]
+    got = check(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {c for *_, c in got} == {1}
+
+
 def test_empty(spark):
     assert similar_groups(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
