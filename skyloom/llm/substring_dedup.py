@@ -2,7 +2,7 @@
 
 1. Every task hashes the 13-word windows of its documents and sends each hash once, with the
    smallest document that has it, to a bucket of hashes. A later document of the same task is known
-   to repeat the window and says so at once. So a passage that a third of all documents share costs a
+   to repeat the window, which goes straight to the shard of that document. So a passage that a third of all documents share costs a
    bucket one entry per piece of input, not one per document.
 2. A bucket confirms the recurring windows and tells them to the shards of the later documents.
 3. A shard is a block of documents of bounded bytes. It merges its confirmed windows to passages, compiles
@@ -30,22 +30,23 @@ _LOW = np.uint64((1 << LOW_BITS) - 1)
 
 
 def _pack(low: np.ndarray, ids: np.ndarray) -> bytes:
-    """The low 56 bits of hashes and the document of each, in order of the documents; a bucket holds the high bits."""
+    """Hashes and the document of each, in order of the documents; of hashes below 2**56 (a bucket holds their high bits) seven bytes."""
     order = np.argsort(ids, kind="stable")
     low, ids = low[order], ids[order]
     step = np.diff(ids, prepend=ids[:1]).astype(np.uint64)
     width = next(w for w in (1, 2, 4, 8) if int(step.max()) < 1 << 8 * w)
-    return b"".join((struct.pack("<qIB", int(ids[0]), len(ids), width), low.astype("<u4").tobytes(),
-                     (low >> np.uint64(32)).astype("<u2").tobytes(), (low >> np.uint64(48)).astype("u1").tobytes(),
+    top, size = low >> np.uint64(48), 7 if int(low.max()) >> LOW_BITS == 0 else 8
+    return b"".join((struct.pack("<qIBB", int(ids[0]), len(ids), width, size), low.astype("<u4").tobytes(),
+                     (low >> np.uint64(32)).astype("<u2").tobytes(), top.astype("u1" if size == 7 else "<u2").tobytes(),
                      step.astype(f"<u{width}").tobytes()))
 
 
 def _unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
-    base, n, width = struct.unpack_from("<qIB", packed)
-    low = np.frombuffer(packed, "<u4", n, 13).astype(np.uint64)
-    high = np.frombuffer(packed, "<u2", n, 13 + 4 * n).astype(np.uint64)
-    top = np.frombuffer(packed, "u1", n, 13 + 6 * n).astype(np.uint64)
-    step = np.frombuffer(packed, f"<u{width}", n, 13 + 7 * n).astype(np.uint64)
+    base, n, width, size = struct.unpack_from("<qIBB", packed)
+    low = np.frombuffer(packed, "<u4", n, 14).astype(np.uint64)
+    high = np.frombuffer(packed, "<u2", n, 14 + 4 * n).astype(np.uint64)
+    top = np.frombuffer(packed, "u1" if size == 7 else "<u2", n, 14 + 6 * n).astype(np.uint64)
+    step = np.frombuffer(packed, f"<u{width}", n, 14 + size * n).astype(np.uint64)
     return low | high << np.uint64(32) | top << np.uint64(48), np.cumsum(step).view(np.int64) + base
 
 
@@ -58,8 +59,13 @@ def _grouped(key: np.ndarray, low: np.ndarray, ids: np.ndarray):
         yield int(key[a]), _pack(low[a:b], ids[a:b])
 
 
-def _windows(window: int, bits: int):
-    """(bucket, repeated, packed): windows of a piece, and those of them known to be repeated."""
+def _keys(h: np.ndarray, bits: int) -> np.ndarray:
+    """What shards know of hashes: the bucket above the low bits."""
+    return (h >> np.uint64(64 - bits)) << np.uint64(LOW_BITS) | h & _LOW
+
+
+def _windows(window: int, bits: int, blocks: int):
+    """(bucket, packed): windows of a piece by bucket; those known to be repeated by shard, as the bucket -1 - shard."""
     shift = np.uint64(64 - bits)
 
     def rows(batches):
@@ -77,13 +83,10 @@ def _windows(window: int, bits: int):
                 fresh = np.r_[True, h[1:] != h[:-1]]
                 smallest = doc[fresh][np.cumsum(fresh) - 1]
                 later = (doc > smallest) & np.r_[True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])]
-                out = []
-                for repeated, chosen in ((False, fresh), (True, later)):
-                    bucket = (h[chosen] >> shift).astype(np.int64)
-                    out += [(k, repeated, p) for k, p in _grouped(bucket, h[chosen] & _LOW, doc[chosen])]
+                out = list(_grouped((h[fresh] >> shift).astype(np.int64), h[fresh] & _LOW, doc[fresh]))
+                out += _grouped(-1 - block_numbers(doc[later], blocks), _keys(h[later], bits), doc[later])
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.bool_()),
-                    pa.array([x[2] for x in out], pa.binary())], names=["bucket", "repeated", "packed"])
+                    pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], names=["bucket", "packed"])
 
     return rows
 
@@ -92,21 +95,21 @@ def _confirm(blocks: int):
     """(block, bucket, packed): windows of a bucket that a later document repeats, for the shard of that document."""
 
     def rows(key, table):
-        bucket = key[0].as_py()
-        sent, known = [], []
-        for repeated, packed in zip(table.column("repeated").to_pylist(), table.column("packed").to_pylist()):
-            (known if repeated else sent).append(_unpack(packed))
+        bucket, packed = key[0].as_py(), table.column("packed")
+        if bucket < 0:  # confirmed already
+            n = len(packed)
+            return pa.table({"block": pa.array([-1 - bucket] * n, pa.int32()), "bucket": pa.array([-1] * n, pa.int64()), "packed": packed})
+        sent = [_unpack(p) for p in packed.to_pylist()]
         h = np.concatenate([x[0] for x in sent])
         doc = np.concatenate([x[1] for x in sent])
         order = np.lexsort((doc, h))
         h, doc = h[order], doc[order]
         fresh = np.r_[True, h[1:] != h[:-1]]
         later = doc > doc[fresh][np.cumsum(fresh) - 1]
-        h = np.concatenate([h[later], *(x[0] for x in known)])
-        doc = np.concatenate([doc[later], *(x[1] for x in known)])
+        h, doc = h[later], doc[later]
         out = list(_grouped(block_numbers(doc, blocks), h, doc)) if len(h) else []
         return pa.Table.from_arrays([
-            pa.array([x[0] for x in out], pa.int32()), pa.array([bucket] * len(out), pa.int32()),
+            pa.array([x[0] for x in out], pa.int32()), pa.array([bucket] * len(out), pa.int64()),
             pa.array([x[1] for x in out], pa.binary())], names=["block", "bucket", "packed"])
 
     return rows
@@ -119,7 +122,7 @@ class _Shard:
         self.words, self.number, self.window = Words(texts), number, window
         self.keys, self.since = keys, since
         h, self.at = self.words.windows(window)
-        self.key = (h >> np.uint64(64 - bits)) << np.uint64(LOW_BITS) | h & _LOW
+        self.key = _keys(h, bits)
         self.size = (window + 1) // 2
 
     def _place(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -183,7 +186,7 @@ def _removed(window: int, bits: int):
         parts = [(b, *_unpack(p)) for b, p in zip(confirmed.column("bucket").to_pylist(), confirmed.column("packed").to_pylist())]
         keys, since = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         if parts:
-            keys = np.concatenate([np.uint64(b) << np.uint64(LOW_BITS) | low for b, low, _ in parts])
+            keys = np.concatenate([low if b < 0 else np.uint64(b) << np.uint64(LOW_BITS) | low for b, low, _ in parts])
             since = np.concatenate([d for _, _, d in parts])
             order = np.lexsort((since, keys))
             keys, since = keys[order], since[order]
@@ -217,8 +220,10 @@ def substring_dedup(docs: DataFrame, window: int = 13) -> DataFrame:
     bits = max(8, (size // BUCKET_BYTES).bit_length())
     blocks = size // BLOCK_BYTES + 1
     sent = rows.filter("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(
-        _windows(window, bits), "bucket int, repeated boolean, packed binary")
-    confirmed = sent.groupBy("bucket").applyInArrow(_confirm(blocks), "block int, bucket int, packed binary")
-    sharded = rows.withColumn("block", block_of(F.col("doc_id"), blocks))
+        _windows(window, bits, blocks), "bucket long, packed binary")
+    confirmed = sent.groupBy("bucket").applyInArrow(_confirm(blocks), "block int, bucket long, packed binary")
+    # nothing is confirmed for a row without an id, so any block will do
+    anywhere = F.pmod(F.xxhash64("text"), F.lit(blocks)).cast("int")
+    sharded = rows.withColumn("block", F.when(F.col("doc_id").isNull(), anywhere).otherwise(block_of(F.col("doc_id"), blocks)))
     return sharded.groupBy("block").cogroup(confirmed.groupBy("block")).applyInArrow(
         _removed(window, bits), "doc_id long, n_words long, n_removed long, text string")

@@ -1,5 +1,7 @@
+import pyarrow as pa
 import pytest
 
+from skyloom.llm import substring_dedup as module
 from skyloom.llm.substring_dedup import substring_dedup
 
 
@@ -46,3 +48,21 @@ def test_odd_rows(spark, window):
 
 def test_empty(spark):
     assert substring_dedup(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_common_passage_is_one_entry_of_its_bucket_per_piece(spark):
+    passage = " ".join(f"p{i}" for i in range(50))
+    docs = pa.record_batch({"doc_id": pa.array(range(8000)), "text": pa.array([f"a{i} {passage} b{i}" for i in range(8000)])})
+    parts = [(k, module._unpack(p)) for x in module._windows(13, 8, 40)([docs]) for k, p in zip(x.column("bucket").to_pylist(), x.column("packed").to_pylist())]
+    pieces = sum(1 for _ in module.pieces(docs.column("text")))
+    assert sum(len(h) for k, (h, _) in parts if k >= 0) <= pieces * 38 + 2 * 8000 + 38
+    shards = {k: len(h) for k, (h, _) in parts if k < 0}
+    assert len(shards) == 40 and max(shards.values()) < 3 * 38 * 8000 / 40
+
+
+def test_a_common_passage_and_many_rows_without_an_id(spark, monkeypatch):
+    monkeypatch.setattr(module, "BLOCK_BYTES", 4096)
+    monkeypatch.setattr(module, "BUCKET_BYTES", 64)
+    passage = " ".join(f"p{i}" for i in range(20))
+    rows = [(None if i % 3 == 0 else i - 50, f"a{i % 7} {passage} {'b ' * (i % 40)}") for i in range(600)]
+    check(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
