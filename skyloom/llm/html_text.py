@@ -19,7 +19,7 @@ BLOCK = frozenset(
     "header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
 CLOSES_P = BLOCK - {"br", "body", "html", "caption", "legend", "optgroup", "option", "tbody", "td", "tfoot", "th", "thead", "tr"}
 DROPPED = frozenset(
-    "aside audio button canvas datalist dialog embed fieldset footer form frame frameset head iframe input label map math menu meter nav noembed "
+    "aside audio button canvas datalist embed fieldset footer frame frameset head iframe input label map math menu meter nav noembed "
     "noframes noscript object option progress script select style svg template textarea title video".split())
 # An open element of the first kind ends where one of the second begins.
 ENDED_BY = {
@@ -32,10 +32,15 @@ BESIDE = PARAGRAPHS | frozenset("article center dd details div dl dt figure main
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 # Words of class and id names.
 UNWANTED = re.compile(
-    r"(?:^|[\s_-])(ads?|advert\w*|banner|breadcrumbs?|comments?|commentlist|consent|cookies?|disqus|footer|header|login|masthead|menu|modal|nav|navbar|navigation|"
+    r"(?:^|[\s_-])(ads?|advert\w*|alertdialog|banner|breadcrumbs?|comments?|commentlist|consent|cookies?|dialog|disqus|footer|header|login|masthead|menu|modal|nav|navbar|navigation|"
     r"newsletter|notices?|pagination|pager|popup|promo|related|replies|respond|share|sharing|sidebar|skyscraper|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])", re.I)
 WANTED = re.compile(r"(?:^|[\s_-])(article|body|content|entry|main|post|story|text)(?:$|[\s_-])", re.I)
 MODIFIERS = re.compile(r"(?:^|(?<=\s))(?:has|no|with|without)[_-]\S+", re.I)
+# Words that name buttons, and also what texts are about.
+SHARED = re.compile(r"(?:^|[\s_-])(share|sharing|social)(?=$|[\s_-])", re.I)
+WHOLE = frozenset("p blockquote dl figure li ol pre table td ul".split())  # elements of running text, which such a word does not rule out
+PASSAGE = 80  # characters of a passage, rather than of a caption or a call
+COMMENTS = re.compile(r"\W*(\d+\W+)?((all|reader|user|your)\W+)?(comments?|discussion|replies|responses|leave a (comment|reply)|join the (conversation|discussion))(\W+\d+)?\W*", re.I)
 HIDDEN = re.compile(r"display\s*:\s*none", re.I)
 SPACE = re.compile(r"\s+")
 
@@ -47,7 +52,7 @@ class Node:
         self.tag, self.parent, self.dropped, self.weight = tag, parent, dropped, weight
         self.children: list[Node | str] = []
         self.score, self.text_length, self.link_length, self.scored = 0.0, 0, 0, False
-        self.named: str | None = None  # class, id and role, where they hold an unwanted word
+        self.named: str | None = None  # class, id and role, where they hold an unwanted word; the tag of a form or dialog
 
 
 class Tree(HTMLParser):
@@ -56,6 +61,8 @@ class Tree(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("html", None)
+        self.open = [self.root]
+        self.depths: dict[str, list[int]] = {}  # of the open elements of each tag
 
     def handle_starttag(self, tag, attrs):
         if tag in ("html", "body"):
@@ -66,15 +73,19 @@ class Tree(HTMLParser):
             if tag in starters:
                 self._end(open_tag, HOLDERS[open_tag])
         if tag in HEADINGS and self.at.tag in HEADINGS:
-            self.at = self.at.parent
+            self._close(len(self.open) - 1)
         names = " ".join(v or "" for k, v in attrs if k in ("class", "id", "role"))
-        inside = self._within({"article", "main"})
+        inside = self.depths.get("article") or self.depths.get("main")
         bad = tag in DROPPED or tag == "header" and not inside or any(k == "hidden" or k == "style" and HIDDEN.search(v or "") for k, v in attrs)
         node = Node(tag, self.at, self.at.dropped or bad, 25.0 if tag in ("article", "main") or WANTED.search(names) else 0.0)
         if tag not in ("article", "main") and UNWANTED.search(told := MODIFIERS.sub("", names)):
             node.named = told
+        elif tag in ("form", "dialog") or any(k == "aria-modal" and v == "true" for k, v in attrs):
+            node.named = tag
         self.at.children.append(node)
         if tag not in VOID:
+            self.depths.setdefault(tag, []).append(len(self.open))
+            self.open.append(node)
             self.at = node
 
     def handle_startendtag(self, tag, attrs):
@@ -96,23 +107,16 @@ class Tree(HTMLParser):
     def unknown_decl(self, data):
         pass
 
-    def _within(self, tags: set[str]) -> bool:
-        node = self.at
-        while node is not None:
-            if node.tag in tags:
-                return True
-            node = node.parent
-        return False
-
     def _end(self, tag: str, walls: set[str]) -> None:
-        """Closes the innermost open element of the tag, if no wall stands before it."""
-        node = self.at
-        while node is not self.root and node.tag != tag:
-            if node.tag in walls:
-                return
-            node = node.parent
-        if node is not self.root:
-            self.at = node.parent
+        """Closes the innermost open element of the tag, if no wall stands before it; the work is that of the elements closed."""
+        if at := self.depths.get(tag):
+            if all(not (d := self.depths.get(w)) or d[-1] <= at[-1] for w in walls):
+                self._close(at[-1])
+
+    def _close(self, depth: int) -> None:
+        while len(self.open) > depth:
+            self.depths[self.open.pop().tag].pop()
+        self.at = self.open[-1]
 
 
 def _tree(html: str) -> Node:
@@ -134,7 +138,8 @@ def _walk(root: Node):
 def _drop_named(root: Node) -> None:
     """Drops elements with an unwanted name, but for those that hold the article.
 
-    These hold a main element or the longest article, or have a name that is wanted as well, most of the page's text, and few links.
+    These hold a main element or the longest article, or are forms, dialogs or of a name that is wanted as well, with most of the page's text
+    and few links. A paragraph, list or table of some length and few links is not dropped for a word of ``SHARED`` that isn't the last of its name.
     """
     nodes = _measure(root)
     named = [n for n in nodes if n.named]
@@ -148,8 +153,12 @@ def _drop_named(root: Node) -> None:
                 node = node.parent
     # the last word says what an element is: post-comments are comments
     mixed = {n for n in named if WANTED.search(" ".join(x for x in n.named.split() if not UNWANTED.search(re.split("[_-]", x)[-1])))}
+    mixed |= {n for n in named if n.named == n.tag}
     for node in named:
-        if node not in holders and node not in mixed:
+        last = re.split(r"[\s_-]", node.named.strip())[-1]
+        passage = (node.tag in WHOLE and not UNWANTED.search(last) and not UNWANTED.search(SHARED.sub(" ", node.named))
+                   and node.text_length >= PASSAGE and link_density(node) < 0.25)
+        if node not in holders and node not in mixed and not passage:
             node.dropped = True
     _inherit(root)
     if mixed - holders:
@@ -159,6 +168,23 @@ def _drop_named(root: Node) -> None:
         _inherit(root)
 
 
+def _drop_comments(root: Node) -> None:
+    """Drops sections that begin with a heading of reader comments and hold no article or main element."""
+    heads = [n for n in _walk(root) if not n.dropped and n.tag in HEADINGS and COMMENTS.fullmatch(_own_text(n))]
+    holders = set()
+    for node in [n for n in _walk(root) if heads and n.tag in ("article", "main")]:
+        while node is not None and node not in holders:
+            holders.add(node)
+            node = node.parent
+    for head in heads:
+        above = head.parent
+        first = next((c for c in above.children if isinstance(c, Node) or c.strip()), None)
+        if first is head and above.tag in ("section", "div") and above not in holders:
+            above.dropped = True
+    if heads:
+        _inherit(root)
+
+
 def _inherit(root: Node) -> None:
     """What stands below a dropped element is dropped; lengths are to be measured anew."""
     for node in _walk(root):
@@ -214,6 +240,7 @@ def main_text(html: str) -> str:
     root = _tree(html)
     if any(n.named for n in _walk(root)):
         _drop_named(root)
+    _drop_comments(root)
     nodes = _measure(root)
     candidates = []
     for node in nodes:
@@ -286,7 +313,8 @@ def html_text(pages: DataFrame, key: str = "page_id", html: str = "html", keep:
     the one above. Points shrink by the share of text in links. The container with most points, its siblings with enough of
     them and other siblings that are not links (text, paragraphs, lists, tables, sections) make the article. Menus, headers, footers, sidebars, notices, adverts, forms,
     scripts, styles and comments are left out by element and by class name, in the article too, unless an element so named holds the
-    article: a main element, the longest article, or under a name that is wanted too most of the text. Character references
+    article: a main element, the longest article, or in a form, a dialog or under a name that is wanted too most of the text. Sections headed
+    as comments are left out. Building the tree takes time in proportion to the page. Character references
     are decoded; white space in a block becomes one space; blocks are joined by one \\\\n. A null or empty page, or one
     without text, gives the empty text; equal points: the container that ends the list of none before it, that is the first. Repeated
     rows and null keys are kept row by row. An empty table gives an empty result.

@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 from skyloom.llm.html_text import html_text, main_text
 
@@ -71,3 +72,25 @@ def test_article_in_several_containers():
         ('<div class="sidebar"><p>Side.</p></div><p>End.</p>', ["End."])):
         assert main_text(f"<body><div><div>{body}</div>{after}{links}</div></body>") == "\n".join(want + lines)
         assert main_text(f"<body><main><div><div><div>{body}</div></div>{after}</div></main></body>") == "\n".join(want + lines)
+
+
+def test_forms_dialogs_and_names_that_hold_text():
+    body = "".join(f"<p>{LONG}Part {i}.</p>" for i in range(4))
+    want = "\n".join(f"{LONG}Part {i}." for i in range(4))
+    for page in (f"<body><form id=aspnet><input type=hidden>{body}<label>Search</label></form></body>",
+                 f"<body><form><div class=content>{body}</div><div class=sidebar><p>{LONG}</p></div></form></body>",
+                 f"<body><form><main>{body}</main></form></body>",
+                 f"<body><main>{body}</main><form><p>{LONG}</p></form><div role=dialog><p>{LONG}</p></div><div aria-modal=true><p>{LONG}</p></div><dialog open><p>{LONG}</p></dialog></body>",
+                 f"<body><main>{body}</main><section><h2>Comments (2)</h2><p>{LONG}</p><p>{LONG}</p></section><div><h3>3 comments</h3><p>{LONG}</p></div></body>"):
+        assert main_text(page) == want, page
+    kept = f"<article><p>{LONG}</p><p class=share-price>{LONG}price</p><table class=social-data><tr><td>{LONG}data</td></tr></table><p class=share>Share this</p><div class=share-buttons>Tweet</div></article>"
+    assert main_text(f"<body>{kept}</body>") == "\n".join([LONG.strip(), f"{LONG}price", f"{LONG}data"])
+    headed = f"<article><h1>Comments</h1><p>{LONG}</p><p>{LONG}</p></article>"  # an article on comments
+    assert main_text(f"<body><div>{headed}</div></body>") == "\n".join(["Comments", LONG.strip(), LONG.strip()])
+
+
+def test_time_in_proportion_to_the_page():
+    start = time.process_time()
+    for page in ("<div>" * 100_000 + "deep", "<b>" * 50_000 + "<p>x" * 20_000, "<p><table>" + "<b>" * 50_000 + "<div>y</div>" * 20_000, "<h1>" * 50_000 + "</i>" * 50_000):
+        main_text(page)
+    assert time.process_time() - start < 20
