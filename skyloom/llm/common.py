@@ -4,9 +4,15 @@ from __future__ import annotations
 
 import pyarrow as pa
 from pyarrow import fs
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from skyloom.plans.tables import materialize
+
+ROW_BITS = 36  # of a row's place in its file
+
 
 def col(name: str) -> Column:
     """A column by its exact name, dots included."""
@@ -18,6 +24,32 @@ def text_rows(docs: DataFrame, *more: str, key: str = "doc_id", text: str = "tex
     return docs.select(col(key).cast("long").alias("doc_id"), col(text).cast("string").alias("text"), *[col(c).alias(c) for c in more])
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """(_row, _doc): every row under a number of its own, the same for all readers, and its columns.
+
+    A row of a Parquet table is numbered by its file and its place there; nothing is written but a row per file.
+    The rows of any other frame are written once under their numbers.
+    """
+    packed = F.struct(*[col(c) for c in docs.columns]).alias("_doc")
+    placed = _placed(docs, packed)
+    if placed is None:
+        return materialize(docs.select(F.monotonically_increasing_id().alias("_row"), packed), "numbered")
+    # one row per file, so this unpartitioned window is small
+    files = placed.select("_file").distinct().withColumn("_n", F.row_number().over(W.orderBy("_file")).cast("long"))
+    number = F.shiftleft("_n", ROW_BITS).bitwiseOR(F.col("_at"))
+    return placed.join(materialize(files, "files"), "_file").select(number.alias("_row"), "_doc")
+
+
+def _placed(docs: DataFrame, packed: Column) -> DataFrame | None:
+    """(_file, _at, _doc) of a plain Parquet scan. Above a scan, the place may name several rows (joins) or others at each run (limits)."""
+    if not docs._jdf.queryExecution().analyzed().children().isEmpty() or "_metadata" in (c.lower() for c in docs.columns):
+        return None
+    try:
+        return docs.select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"), packed)
+    except AnalysisException:  # no files, or files without places
+        return None
+
+
 def text_bytes(docs: DataFrame) -> int:
     """Bytes of text of all rows; one sum, for the number of blocks."""
     return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0

@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import col
+from skyloom.llm.common import col, numbered
+from skyloom.plans.numbering import number_rows
 from skyloom.plans.tables import materialize
 
 FAN_IN = 32
@@ -76,7 +77,7 @@ def _rounded(rows: DataFrame, sources: DataFrame, seed: int) -> DataFrame:
     many = sources.agg(F.max("n")).first()[0] or 0
     level = 0
     while many > 1:
-        joined = rows.join(F.broadcast(count), F.col("source").eqNullSafe(F.col("_source")))
+        joined = rows.join(count, F.col("source").eqNullSafe(F.col("_source")))
         group = F.pmod(F.xxhash64(F.lit(seed), F.lit(level), "key"), F.ceil(F.col("n") / FAN_IN))
         met = joined.groupBy("source", group.alias("group")).agg(F.sort_array(F.collect_list(F.struct("key", "row", "w", "p"))).alias("items"))
         met = materialize(met.select("source", F.expr(_MEET.format(step=_step(seed + level))).alias("s")), "met")
@@ -100,8 +101,8 @@ def mixed_copies(
 
     Words are ``[^\\x20\\x09-\\x0D]+``; a null or empty text has none and is copied as the others, which adds nothing. Null is a
     source of its own. Chance comes from hashes of id and text, so reruns agree; rows equal in both may change places. ``row`` names
-    a column of unique numbers, if the caller has one. The table of sources has a row per source and is broadcast as
-    such. No row has more than the ceiling, rounded up, of copies. An empty table gives an empty result.
+    a column of unique numbers, if the caller has one. The table of sources has a row per source; targets
+    are found in one task over it. No row has more than the ceiling, rounded up, of copies. An empty table gives an empty result.
     """
     number = col(row).cast("long") if row else F.monotonically_increasing_id()
     words = F.coalesce(F.regexp_count(col(text).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
@@ -111,9 +112,12 @@ def mixed_copies(
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     sources = materialize(targets(sizes, weights, share, ceiling), "sources")
     factor = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    each = rows.join(F.broadcast(sources.withColumn("factor", factor).withColumnRenamed("source", "_source")), F.col("source").eqNullSafe(F.col("_source"))).drop("_source", "n")
+    each = rows.join(sources.withColumn("factor", factor).withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source", "n")
     each = each.withColumn("base", F.floor("factor").cast("int")).withColumn("p", F.col("factor") - F.col("base"))
     open_rows = each.filter("p > 0 AND size > 0").select("source", "key", "row", F.col("size").cast("double").alias("w"), "p")
+    # copies of a row have keys of their own, so they spread over groups as other rows do
+    copies = number_rows(open_rows, ["source", "key"], ["row"], "copy")
+    open_rows = copies.withColumn("key", F.when(F.col("copy") == 1, F.col("key")).otherwise(F.xxhash64("key", "copy"))).drop("copy")
     extra = _rounded(open_rows, sources, seed)
     return each.join(extra, "row", "left").select(
         "row", "doc_id", "source", "size", "source_size", "target", (F.col("base") + F.coalesce("extra", F.lit(0))).alias("copies"))
@@ -121,8 +125,7 @@ def mixed_copies(
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with each row as often as ``mixed_copies`` says, all columns kept."""
-    packed = materialize(docs.select(
-        F.monotonically_increasing_id().alias("_row"), F.struct(*[col(c) for c in docs.columns]).alias("_doc")), "packed")
+    packed = numbered(docs)
     flat = packed.select("_row", "_doc.doc_id", "_doc.text", "_doc.source")
     copies = mixed_copies(flat, row="_row", **options).select(F.col("row").alias("_row"), "copies").filter("copies > 0")
     return packed.join(copies, "_row").select("_doc", F.explode(F.sequence(F.lit(1), "copies"))).select("_doc.*")

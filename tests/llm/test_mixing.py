@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from skyloom.llm import mixing
 from skyloom.llm.mixing import mixed, mixed_copies, targets
 
 
@@ -67,3 +68,18 @@ def test_odd_rows(spark):
     assert mixed(df).columns == df.columns
     words = lambda x: x.agg(F.sum(F.size(F.split("text", " ")))).first()[0]
     assert words(mixed(df)) > words(df)
+
+
+def test_copies_of_a_row_spread_over_groups(spark, monkeypatch):
+    largest, write = [], mixing.materialize
+
+    def watched(df, label):
+        out = write(df, label)
+        if label == "met":
+            largest.append(out.agg(F.max(F.expr("size(s.done)"))).first()[0])
+        return out
+
+    monkeypatch.setattr(mixing, "materialize", watched)
+    rows = [(7, "one and the same text", "a")] * 6000 + [(i, "w " * (1 + i % 9), "a") for i in range(100, 3000)]
+    check(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights=(1,), share=0.7)
+    assert len(largest) >= 2 and max(largest) < 4 * mixing.FAN_IN

@@ -1,6 +1,7 @@
 from collections import Counter
 
 import corpus_pipeline
+from skyloom.llm.common import numbered
 from skyloom.llm.decontamination import contaminated
 from skyloom.llm.mixing import mixed_copies
 from skyloom.llm.ngram_join import Likeness
@@ -66,3 +67,16 @@ def test_repeated_and_idless_rows(spark, sf_dir):
     rows = [(*tuple(all_rows[0])[:1], t, *tuple(all_rows[0])[2:]) for t in (item, item, long)]
     rows = spark.createDataFrame([(i, *r[1:]) for r, i in zip(rows, (None, 3, 3))], schema)
     assert texts(steps["decontamination"](spark, rows, sf_dir)) == [long]
+
+
+def test_numbers_of_rows(spark, sf_dir, tmp_path):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs.repartition(5).write.parquet(str(tmp_path / "parts"))
+    parts = spark.read.parquet(str(tmp_path / "parts"))
+    frames = [parts, docs, docs.limit(20), docs.filter("doc_id > 5"), docs.union(docs), docs.crossJoin(spark.range(2)), docs.limit(0), spark.createDataFrame([(1, "x")], "doc_id long, _metadata string")]
+    for df in frames:
+        rows = numbered(df)
+        once, again = ({r["_row"]: repr(r["_doc"]) for r in x.collect()} for x in (rows, rows.repartition(3)))
+        assert once == again and len(once) == rows.count() == df.count()
+        assert rows.select("_doc.*").columns == df.columns
+    assert sorted(map(repr, (r["_doc"] for r in numbered(parts).collect()))) == sorted(map(repr, docs.collect()))
