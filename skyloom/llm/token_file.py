@@ -7,10 +7,13 @@ slice of memory-mapped buffers. Only the last sequence of a part is filled up. A
 
 from __future__ import annotations
 
+import os
 import posixpath
+import re
 import uuid
 import zlib
-from itertools import chain
+from collections.abc import Iterable, Iterator
+from itertools import batched, chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,12 +27,15 @@ from skyloom.llm.common import text_bytes, text_rows
 from skyloom.plans.tables import materialize, new_path
 
 PART_BYTES = 32 << 20
+PIECE_BYTES = 1 << 19  # of text whose words are held at a time
 SEQUENCES = 64
+WHITE = re.compile(rb"[\t-\r ]")  # as bytes.split() has it
 _tokenizers: dict[str, object] = {}
 
 
 def _tokenizer(path: str):
     if path not in _tokenizers:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; threads of its own only hold more memory
         from tokenizers import Tokenizer
 
         _tokenizers[path] = Tokenizer.from_file(path)
@@ -40,11 +46,14 @@ class Encoder:
     """Ids of texts whose words, between ASCII white space, are encoded alone: each different word once.
 
     Right for a tokenizer that drops white space and never joins what it divides. Many words go through it as one
-    text, with a special token between them, at which it cuts before anything else.
+    text, with a special token between them, at which it cuts before anything else. Texts are taken in pieces of ``piece``
+    bytes, a long one in several, so memory does not grow with them; up to ``remembered`` words and those that came
+    before them stay known.
     """
 
-    def __init__(self, tokenizer: str, remembered: int = 400_000, together: int = 256):
-        self.tokenizer, self.remembered, self.together, self.known = _tokenizer(tokenizer), remembered, together, {}
+    def __init__(self, tokenizer: str, remembered: int = 100_000, together: int = 256, piece: int = PIECE_BYTES):
+        self.tokenizer, self.remembered, self.together, self.piece = _tokenizer(tokenizer), remembered, together, piece
+        self.known, self.older = {}, {}
         special = [(t.content.encode(), i) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.single_word)]
         self.between, self.cut = special[0] if special else (None, None)
 
@@ -62,21 +71,54 @@ class Encoder:
             data, at = ids.tobytes(), (4 * np.flatnonzero(ids == self.cut)).tolist()
             self.known.update(zip(group, [data[x:y] for x, y in zip([0, *[c + 4 for c in at]], [*at, len(data)])]))
 
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        words = [t.encode().split() for t in texts]
+    def _ids(self, runs: list[bytes]) -> list[np.ndarray]:
+        words = [r.split() for r in runs]
         every = set(chain.from_iterable(words))
-        if len(self.known) > self.remembered:  # words met again are the common ones
-            self.known = {w: self.known[w] for w in every & self.known.keys()}
+        if len(self.known) > self.remembered:
+            self.known, self.older = {}, self.known
+        self.known.update((w, self.older[w]) for w in every & self.older.keys())
         self._learn(list(every - self.known.keys()))
         find = self.known.__getitem__
         return [np.frombuffer(b"".join(map(find, ws)), "<u4") for ws in words]
 
+    def __call__(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
+        """The ids of each text, in order."""
+        parts = []
+        for piece in self._pieces(texts):
+            for ids, (_, last) in zip(self._ids([run for run, _ in piece]), piece):
+                parts.append(ids)
+                if last:
+                    yield parts[0] if len(parts) == 1 else np.concatenate(parts)
+                    parts = []
+
+    def _pieces(self, texts: Iterable[str]) -> Iterator[list[tuple[bytes, bool]]]:
+        """Lists of (run of a text, whether the text ends with it) of about ``piece`` bytes."""
+        piece, held = [], 0
+        for text in texts:
+            for run, last in _runs(text.encode(), self.piece):
+                piece.append((run, last))
+                held += len(run) + 1
+                if held >= self.piece:
+                    yield piece
+                    piece, held = [], 0
+        if piece:
+            yield piece
+
+
+def _runs(text: bytes, size: int) -> Iterator[tuple[bytes, bool]]:
+    """The text cut at white space after every ``size`` bytes, and whether it ends; a word is never cut."""
+    at = 0
+    while len(text) - at > size and (white := WHITE.search(text, at + size)):
+        yield text[at:white.start()], False
+        at = white.start()
+    yield text[at:], True
+
 
 def require_words(tokenizer: str) -> None:
     """Stops at a tokenizer whose ids for a text are not those of its words alone, as ``Encoder`` takes them."""
     encode = Encoder(tokenizer)
     for text in ("one two", " one\ttwo ", "One, two.\n\nThree's 4 5", "über  ça\r\n日本 語"):
-        if encode([text])[0].tolist() != _tokenizer(tokenizer).encode(text, add_special_tokens=False).ids:
+        if next(encode([text])).tolist() != _tokenizer(tokenizer).encode(text, add_special_tokens=False).ids:
             raise ValueError(f"{tokenizer} does not encode the words of a text each by itself")
 
 
@@ -137,8 +179,9 @@ def _write(folder: str, tokenizer: str, end_id: int, length: int, dtype: np.dtyp
         for batch in batches:
             writer = writer or PartWriter(folder, name, length, dtype)
             ends = np.array([end_id], "<u4")
-            tokens = [np.r_[ids, ends] for ids in encode([t or "" for t in batch.column("text").to_pylist()])]
-            writer.add(batch.column("doc_id").to_pylist(), tokens)
+            tokens = (np.r_[ids, ends] for ids in encode(t.as_py() or "" for t in batch.column("text")))
+            for some in batched(zip(batch.column("doc_id").to_pylist(), tokens), 256):
+                writer.add(*map(list, zip(*some)))
         if writer:
             writer.close()
             yield pa.record_batch({

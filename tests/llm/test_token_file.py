@@ -5,7 +5,7 @@ import pytest
 from public_tokenizers import path
 from tokenizers import Tokenizer
 
-from skyloom.llm.token_file import PartWriter, documents, read_tokens, sequence, write_tokens
+from skyloom.llm.token_file import Encoder, PartWriter, documents, read_tokens, sequence, write_tokens
 
 FILE = path("word_bpe_49k.json")
 
@@ -67,3 +67,31 @@ def test_any_sequence_after_uneven_adds(tmp_path):
 def test_a_tokenizer_that_joins_words_is_refused(spark):
     with pytest.raises(ValueError, match="each by itself"):
         write_tokens(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), path("byte_bpe_50k.json"))
+
+
+@pytest.mark.parametrize("piece", [1, 5, 64, 1 << 19])
+def test_pieces_cut_no_word_and_forgotten_words_are_learned_again(piece):
+    rng = np.random.default_rng(4)
+    words = ["".join(rng.choice(list("abcdeéß日"), rng.integers(1, 9))) for _ in range(300)]
+    texts = ["", " ", "x" * 200, *["".join(w + s for w, s in zip(rng.choice(words, n), rng.choice([" ", "\n", "\t ", "\u00a0", "\x0b"], n))) for n in rng.integers(1, 90, 80)]]
+    tokenizer, encode = Tokenizer.from_file(FILE), Encoder(FILE, remembered=20, piece=piece)
+    assert [x.tolist() for x in encode(texts)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert bool(encode.older) == (piece < 1 << 19)  # one piece holds all of them
+
+
+def test_memory_does_not_grow_with_a_text():
+    """The words of 16 MB of text, a third of them new, are never held together."""
+    encode, largest = Encoder(FILE), 0
+    learn = encode._learn
+    rng = np.random.default_rng(5)
+    text = " ".join(f"word {a:x} there" for a in rng.integers(0, 1 << 40, 400_000).tolist())
+
+    def watched(new):
+        nonlocal largest
+        largest = max(largest, sum(map(len, new)))
+        learn(new)
+
+    encode._learn = watched
+    (ids,) = encode([text])
+    assert len(ids) > 1_200_000 and largest <= 1 << 19
+    assert len(encode.known) + len(encode.older) < 300_000
