@@ -51,7 +51,7 @@ class Encoder:
     before them stay known.
     """
 
-    def __init__(self, tokenizer: str, remembered: int = 100_000, together: int = 256, piece: int = PIECE_BYTES):
+    def __init__(self, tokenizer: str, remembered: int = 250_000, together: int = 256, piece: int = PIECE_BYTES):
         self.tokenizer, self.remembered, self.together, self.piece = _tokenizer(tokenizer), remembered, together, piece
         self.known, self.older = {}, {}
         special = [(t.content.encode(), i) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.single_word)]
