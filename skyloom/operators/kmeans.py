@@ -6,20 +6,23 @@ task adds up its points per (model, cluster) with numpy, Spark sums the partial
 rows, and the driver gets one row per cluster. Its size depends on the sweep
 only, not on the points.
 
-Seeding is k-means++ (each next center drawn with probability proportional to
-the squared distance), the stopping rule a relative one: the centers of a model
-moved by no more than ``tolerance`` times the mean variance of the coordinates.
+Seeding is k-means|| (a few passes draw candidates in proportion to their squared
+distance, one more weighs them, and every model reduces them to its k centers), the
+stopping rule a relative one: the centers of a model moved by no more than
+``tolerance`` times the mean variance of the coordinates.
 """
 
 from __future__ import annotations
 
 import sys
 from dataclasses import dataclass, field
+from itertools import takewhile
 
 import numpy as np
 import pandas as pd
 from pyspark import StorageLevel, cloudpickle
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skyloom.params import KSweep
@@ -28,6 +31,7 @@ from skyloom.params import KSweep
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 CHUNK_ROWS = 1_024
+SEED_PASSES = 5
 Center = tuple[int, float, float]
 
 
@@ -84,7 +88,7 @@ def _stacks(models: list[_Model]) -> list[tuple[int, np.ndarray]]:
     stacks, start = [], 0
     while start < len(models):
         k = len(models[start].centers)
-        run = [m.centers for m in models[start:] if len(m.centers) == k]
+        run = [m.centers for m in takewhile(lambda m: len(m.centers) == k, models[start:])]
         stacks.append((start, np.stack(run)))
         start += len(run)
     return stacks
@@ -101,37 +105,80 @@ def _uniform(h: np.ndarray, seed: np.ndarray) -> np.ndarray:
 
 
 def _seed(frame: DataFrame, models: list[_Model]) -> None:
-    """Draw the centers one position at a time, for all models that still need one.
+    """Centers of all models from candidates that the restarts of one seed share, whatever their k.
 
-    The point with the smallest exponential variate of rate w wins a draw with
-    probability proportional to w, and a minimum can be taken in any order.
+    A pass draws twice the largest k. Copies of one place may fill a draw, so passes go on
+    while a restart has fewer different candidates than that k and still finds new ones.
     """
-    for position in range(max(m.k for m in models)):
-        open_models = [m for m in models if m.k > position]
-        chosen = np.stack([m.centers for m in open_models])
-        seeds = np.array([m.seed * 1_000 + m.k * 31 + position for m in open_models], dtype="int64")
-
-        def draw(batches, chosen=chosen, seeds=seeds):
-            n = len(seeds)
-            best, bx, by = np.full(n, np.inf), np.zeros(n), np.zeros(n)
-            for x, y, h in _chunks(batches):
-                weight = _squared(x, y, chosen).min(axis=2) if chosen.shape[1] else np.ones((len(x), n))
-                with np.errstate(divide="ignore"):
-                    race = -np.log(_uniform(h, seeds)) / weight
-                first = race.argmin(axis=0)
-                value = race[first, np.arange(n)]
-                better = value < best
-                best[better], bx[better], by[better] = value[better], x[first][better], y[first][better]
-            hit = np.flatnonzero(np.isfinite(best))
-            yield pd.DataFrame({"model": hit, "race": best[hit], "x": bx[hit], "y": by[hit]})
-
-        drawn = frame.mapInPandas(draw, "model int, race double, x double, y double")
-        winners = drawn.groupBy("model").agg(F.min(F.struct("race", "x", "y")).alias("w")).collect()
-        found = {r["model"]: (r["w"]["x"], r["w"]["y"]) for r in winners}
-        for i, m in enumerate(open_models):
-            # no winner: every point already is a center, so repeat one
-            point = found.get(i, tuple(m.centers[-1]) if len(m.centers) else None)
-            m.centers = np.vstack([m.centers, point])
+    most = max(m.k for m in models)
+    drawn = {m.seed: _Model(0, m.seed) for m in models}
+    restarts, number = list(drawn.values()), 0
+    while restarts and (number < SEED_PASSES or number < most):
+        found = _draw(frame, restarts, 2 * most, number)
+        for i, m in enumerate(restarts):
+            m.centers = np.unique(np.vstack([m.centers, found.get(i, m.centers[:0])]), axis=0)
+        number += 1
+        if number >= SEED_PASSES:
+            restarts = [m for i, m in enumerate(restarts) if i in found and len(m.centers) < most]
+    # each candidate becomes the mean of the points nearest to it, with their number as its weight
+    weighed = {}
+    for m, part in _per_model(list(drawn.values()), _sums(frame, list(drawn.values()))):
+        part = part[part[:, 0] > 0]
+        weighed[m.seed] = part[:, 1:3] / part[:, :1], part[:, 0]
+    for m in models:
+        m.centers = _reduced(*weighed[m.seed], m)
+
+
+def _draw(frame: DataFrame, restarts: list[_Model], each: int, number: int) -> dict[int, np.ndarray]:
+    """Up to ``each`` points per restart, drawn without replacement in proportion to their squared distance
+    from its candidates; evenly in the first pass.
+
+    The points with the smallest exponential variates of rate w win with probability
+    proportional to w. They can be taken in any order, and no sum of the weights is needed before.
+    """
+    seeds = np.array([m.seed * 1_000 + number for m in restarts], dtype="int64")
+    stacks, n = _stacks(restarts) if number else [], len(restarts)
+
+    def draw(batches):
+        best, bx, by = np.full((n, each), np.inf), np.zeros((n, each)), np.zeros((n, each))
+        for x, y, h in _chunks(batches):
+            race = -np.log(_uniform(h, seeds))
+            for start, centers in stacks:
+                with np.errstate(divide="ignore", invalid="ignore"):  # a point at a candidate is never drawn
+                    race[:, start:start + len(centers)] /= _squared(x, y, centers).min(axis=2)
+            race = np.concatenate([best, race.T], axis=1)
+            first = np.argpartition(race, each - 1, axis=1)[:, :each]
+            best = np.take_along_axis(race, first, axis=1)
+            bx, by = (np.take_along_axis(np.concatenate([old, np.broadcast_to(new, (n, len(new)))], axis=1), first, axis=1) for old, new in ((bx, x), (by, y)))
+        hit = np.isfinite(best)
+        yield pd.DataFrame({"model": np.nonzero(hit)[0], "race": best[hit], "x": bx[hit], "y": by[hit]})
+
+    rows = frame.mapInPandas(draw, "model int, race double, x double, y double")
+    place = F.row_number().over(W.partitionBy("model").orderBy("race", "x", "y"))
+    # the driver gets ``each`` rows per restart
+    got = rows.withColumn("place", place).filter(F.col("place") <= each).select("model", "x", "y").toPandas()
+    return {int(i): part[["x", "y"]].to_numpy(float) for i, part in got.groupby("model")}
+
+
+def _reduced(points: np.ndarray, weights: np.ndarray, model: _Model) -> np.ndarray:
+    """k centers for few weighted points: k-means++ and then K-Means among them."""
+    rng = np.random.default_rng([model.seed % 2 ** 32, model.k])
+    centers = points[[rng.choice(len(points), p=weights / weights.sum())]]
+    for _ in range(model.k - 1):
+        mass = weights * _squared(points[:, 0], points[:, 1], centers).min(axis=1)
+        # no mass: every point already is a center, so repeat one
+        at = rng.choice(len(points), p=mass / mass.sum()) if mass.sum() > 0 else 0
+        centers = np.vstack([centers, points[at]])
+    least = np.inf
+    while True:
+        apart = _squared(points[:, 0], points[:, 1], centers)
+        nearest, cost = apart.argmin(axis=1), float(weights @ apart.min(axis=1))
+        if cost >= least:
+            return centers
+        total, sx, sy = (np.bincount(nearest, w, model.k) for w in (weights, weights * points[:, 0], weights * points[:, 1]))
+        filled = total > 0
+        centers[filled] = np.stack([sx[filled], sy[filled]], axis=1) / total[filled, None]
+        least = cost
 
 
 def _sums(frame: DataFrame, models: list[_Model]) -> np.ndarray:

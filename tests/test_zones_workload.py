@@ -60,6 +60,34 @@ def test_too_few_points(spark, population):
         kmeans.fit_kmeans(population.limit(3), KSweep(3, 4, 1))
 
 
+def test_seeds_come_from_few_passes_and_are_near_the_end(spark, population, monkeypatch):
+    passes, frames = [], kmeans._draw
+    monkeypatch.setattr(kmeans, "_draw", lambda *a: passes.append(a[3]) or frames(*a))
+    frame = population.select(F.col("x_km").alias("x"), F.col("y_km").alias("y"), F.xxhash64("sensor_id").alias("h"))
+    models = [kmeans._Model(k, seed) for k in (3, 5, 12) for seed in (42, 43)]
+    kmeans._seed(frame, models)
+    assert passes == list(range(kmeans.SEED_PASSES))
+    assert [m.centers.shape for m in models] == [(m.k, 2) for m in models]
+    kmeans._cost(frame, models)
+    seeded = {m.k: min(o.cost for o in models if o.k == m.k) for m in models}
+    best = kmeans.fit_kmeans(population, KSweep(5, 5, 2))[5]
+    points = np.array(population.select("x_km", "y_km").collect())
+    assert seeded[5] <= 1.1 * ((points[:, None] - np.array([c[1:] for c in best])[None]) ** 2).sum(2).min(1).sum()
+
+
+def test_a_place_with_nearly_all_points_hides_no_other(spark):
+    """Copies fill whole draws; each different place still becomes a center."""
+    places = [(0.0, 0.0), *[(10.0 * 3 ** i, 1.0) for i in range(7)]]
+    rows = [(f"a{i}", 0.0, 0.0, 1, 1.0) for i in range(3_000)]
+    rows += [(f"b{p}-{i}", *places[p], 1, 1.0) for p in range(1, 8) for i in range(40)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    fitted = kmeans.fit_kmeans(df, KSweep(8, 8, 3))[8]
+    assert sorted(c[1:] for c in fitted) == sorted(places)
+    # fewer places than centers: some stand twice
+    few = kmeans.fit_kmeans(df, KSweep(9, 10, 1))
+    assert all({c[1:] for c in few[k]} == set(places) and len(few[k]) == k for k in few)
+
+
 def test_topology_has_stable_ids(spark, population):
     topology, centers = clustering.edge_topology(population, 5, restarts=4)
     assert [c[0] for c in centers] == list(range(5))
