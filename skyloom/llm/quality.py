@@ -1,9 +1,9 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-The model's symbols are UTF-8 bytes, so that it has no unknown words; its counts are those of all n-grams of a
-bounded sample of trusted documents. Count tables and weights are DataFrames. For scoring, each block of
-documents asks for the n-grams it holds, once each; the requests are joined with shards of the model, repeated for
-every few blocks, and the answers go back to the block. What is gathered grows with the corpus, a task's share doesn't.
+The model's symbols are UTF-8 bytes, so that it has no unknown words; its counts are those of all n-grams of every
+trusted document of one half. Count tables and weights are DataFrames. For scoring, each block of
+documents asks for the n-grams it holds, once each; the requests meet shards of the model, more of them the larger it is and
+the more blocks ask, and the answers go back to the block. What is gathered grows with the corpus, a task's share doesn't.
 """
 
 from __future__ import annotations
@@ -22,8 +22,9 @@ from skyloom.plans.tables import materialize
 
 ORDER = 5
 BLOCK_BYTES = 16 << 20
-BLOCKS_PER_TASK = 32
+BLOCKS_PER_TASK = 4  # a shard answers so many blocks' worth of requests
 TYPES_PER_SHARD = 500_000
+WORDS = 1 << 17  # of 64 bits, in the filter before the join with trusted ids
 PIECE_BYTES = 1 << 20  # of texts at once: a piece takes some 50 bytes of memory per byte
 CELLS = 16 << 20
 START = 2  # stands before a text, order - 1 times
@@ -133,7 +134,7 @@ def _loosened(packed: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(zlib.decompress(packed), np.uint64), dtype=np.uint64)
 
 
-def _requests(order: int, shards: int, salts: int):
+def _requests(order: int, shards: int):
     def rows(key, docs):
         column, keys = docs.column("text").combine_chunks(), np.zeros(0, np.uint64)
         for a, b in pieces(column, PIECE_BYTES):
@@ -144,8 +145,8 @@ def _requests(order: int, shards: int, salts: int):
         shard, block = (keys % np.uint64(shards)).astype(int), key[0].as_py()
         parts = [(s, _squeezed(keys[shard == s])) for s in range(shards)]
         return pa.table({
-            "shard": pa.array([s for s, _ in parts], pa.int32()), "salt": pa.array([block % salts] * len(parts), pa.int32()),
-            "block": pa.array([block] * len(parts), pa.int32()), "keys": pa.array([k for _, k in parts], pa.binary())})
+            "shard": pa.array([s for s, _ in parts], pa.int32()), "block": pa.array([block] * len(parts), pa.int32()),
+            "keys": pa.array([k for _, k in parts], pa.binary())})
 
     return rows
 
@@ -201,27 +202,26 @@ def perplexities(docs: DataFrame, model: DataFrame, order: int = ORDER, row: str
     """(doc_id, lang, n_bytes, perplexity) of every row, after its number if ``row`` names one; no perplexity for a text without a byte."""
     more = [row] if row else []
     blocks = text_bytes(docs) // BLOCK_BYTES + 1
-    shards, salts = model.count() // TYPES_PER_SHARD + 1, blocks // BLOCKS_PER_TASK + 1
+    shards = model.count() // TYPES_PER_SHARD + blocks // BLOCKS_PER_TASK + 1
     # without a row number the text tells rows apart whose ids are null or repeat
     block = F.pmod(F.xxhash64(row) if row else F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")
     by_block = docs.select(*more, "doc_id", "lang", "text", block.alias("block")).groupBy("block")
-    asked = by_block.applyInArrow(_requests(order, shards, salts), "shard int, salt int, block int, keys binary")
-    offered = model.withColumns({
-        "shard": F.pmod("key", F.lit(shards)).cast("int"), "salt": F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))})
-    answers = asked.groupBy("shard", "salt").cogroup(offered.groupBy("shard", "salt")).applyInArrow(
+    asked = by_block.applyInArrow(_requests(order, shards), "shard int, block int, keys binary")
+    offered = model.withColumn("shard", F.pmod("key", F.lit(shards)).cast("int"))
+    answers = asked.groupBy("shard").cogroup(offered.groupBy("shard")).applyInArrow(
         _answers, "block int, keys binary, alpha binary, gamma binary")
     return by_block.cogroup(answers.groupBy("block")).applyInArrow(
         _scores(order, more), "".join(f"{c} long, " for c in more) + "doc_id long, lang string, n_bytes long, perplexity double")
 
 
 def quality_scores(
-    docs: DataFrame, labels: DataFrame, quantile: float = 0.995, margin: float = 1.05, sample: int = 50_000, prior: int = 200, order: int = ORDER,
+    docs: DataFrame, labels: DataFrame, quantile: float = 0.995, margin: float = 1.05, prior: int = 200, order: int = ORDER,
     row: str | None = None,
 ) -> DataFrame:
     """Per row of ``docs``: doc_id, lang, n_bytes, perplexity, score, threshold, keep.
 
     Trusted rows are those with quality 1 in ``labels`` (doc_id, quality, toxic) and without a row there that is toxic; a hash of the id puts half of them aside. The
-    model learns from the others, from the ``sample`` first ones in order of that hash if there are more. The score is the
+    model learns from all others. The score is the
     perplexity of the text along with ``prior`` bytes of its language's mean, since a few bytes prove little. A language's
     threshold is ``margin`` times the ``quantile`` of the scores of its documents set aside, so it is not fitted
     to text the model has seen; a language without any, null too, takes mean and threshold of all of them. keep: the score is at most the
@@ -234,10 +234,9 @@ def quality_scores(
     spread = F.xxhash64("doc_id")
     known = labels.select(F.col("doc_id").cast("long"), "quality", "toxic").filter("doc_id IS NOT NULL").groupBy("doc_id")
     judged_good, judged_toxic = (F.coalesce(F.bool_or(F.col(c) == 1), F.lit(False)) for c in ("quality", "toxic"))
-    trusted = known.agg((judged_good & ~judged_toxic).alias("trusted")).filter("trusted").select("doc_id")
-    learned = trusted.filter(F.pmod(spread, F.lit(2)) == 0).orderBy(spread, "doc_id").limit(sample)
-    # at most `sample` ids
-    model = materialize(kneser_ney(rows.join(F.broadcast(learned), "doc_id", "left_semi").select("text"), order), "model")
+    trusted = materialize(known.agg((judged_good & ~judged_toxic).alias("trusted")).filter("trusted").select("doc_id"), "trusted")
+    learned = trusted.filter(F.pmod(spread, F.lit(2)) == 0)
+    model = materialize(kneser_ney(_perhaps(rows, learned).join(learned, "doc_id", "left_semi").select("text"), order), "model")
     scored = materialize(perplexities(rows, model, order, row), "perplexities")
     aside = materialize(
         scored.join(trusted.filter(F.pmod(spread, F.lit(2)) == 1), "doc_id", "left_semi").filter("perplexity IS NOT NULL"), "aside")
@@ -253,6 +252,16 @@ def quality_scores(
     return out.select(*more, "doc_id", "lang", "n_bytes", "perplexity", "score", "threshold", F.coalesce(F.expr("score <= threshold"), F.lit(False)).alias("keep"))
 
 
+def _perhaps(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows whose doc_id is one of ``ids``, and some others: a bitmap of bounded size, so that a join needs not shuffle all texts."""
+    place = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(WORDS * 64))
+    word, bit = F.shiftright(place, 6), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(64)).cast("int"))
+    empty = ids.sparkSession.range(WORDS).select(F.col("id").alias("word"), F.lit(0).cast("long").alias("bits"))
+    words = ids.select(word.alias("word"), bit.alias("bits")).unionByName(empty).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    bitmap = words.agg(F.transform(F.sort_array(F.collect_list(F.struct("word", "bits"))), lambda w: w["bits"])).scalar()
+    return rows.filter(F.get(bitmap, word.cast("int")).bitwiseAND(bit) != 0)
+
+
 def _by_language(rows: DataFrame, value: Column, name: str) -> DataFrame:
     """A row per language, and one for all with ``every``."""
     return rows.groupBy("lang").agg(value.alias(name)).withColumn("every", F.lit(False)).unionByName(

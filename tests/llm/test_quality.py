@@ -72,6 +72,26 @@ def test_given_labels(spark, sf_dir):
     assert kept[1] > 0.99 and kept[0] < 0.15
 
 
+def test_every_trusted_document_of_one_half_is_learned(spark, monkeypatch):
+    # more trusted documents than the 50 000 that the model was once cut to
+    n, texts = 110_000, []
+    docs = spark.range(n + 500).select(F.col("id").alias("doc_id"), F.lit("en").alias("lang"), F.concat(F.lit("word "), F.col("id").cast("string")).alias("text"))
+    labels = spark.range(n).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    monkeypatch.setattr(quality, "kneser_ney", lambda rows, order: texts.append(rows) or kneser_ney(rows, order))
+    quality_scores(docs, labels, order=2)
+    learned = docs.filter(F.col("doc_id") < n).filter(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0).select("text")
+    assert learned.count() > 50_000 and texts[0].exceptAll(learned).isEmpty() and learned.exceptAll(texts[0]).isEmpty()
+
+
+def test_filter_before_the_join_loses_no_id(spark, monkeypatch):
+    monkeypatch.setattr(quality, "WORDS", 8)
+    rows = spark.createDataFrame([(None, "a"), *[(i, "b") for i in range(-300, 300)], (7, "again")], "doc_id long, text string")
+    ids = spark.createDataFrame([(i,) for i in range(-20, 20)], "doc_id long")
+    passed = quality._perhaps(rows, ids)
+    assert rows.join(ids, "doc_id", "left_semi").exceptAll(passed).isEmpty() and 41 <= passed.count() < 300
+    assert quality._perhaps(rows, ids.limit(0)).isEmpty()
+
+
 def test_odd_rows(spark):
     prose = "the quick brown fox jumps over the lazy dog and the cat "
     docs = [(i, "en", prose * (1 + i % 5)) for i in range(60)] + [(90, None, prose), (91, "xx", prose), (92, "en", None), (93, None, ""), (None, "en", prose),
