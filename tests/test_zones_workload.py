@@ -1,5 +1,7 @@
 """Clustering, silhouettes, quotas, samples."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.ml.clustering import KMeans
@@ -134,6 +136,32 @@ def test_silhouette_matches_brute_force(spark, population, blocks):
         assert got[k] == pytest.approx(brute_silhouette(points, np.array([r["cluster"] for r in rows])), abs=1e-12)
 
 
+def test_distances_are_added_up_in_small_tiles():
+    rng = np.random.default_rng(1)
+    (ax, ay), (bx, by), own = rng.random((2, 3_000)), rng.random((2, 4_100)), np.stack([rng.integers(0, 5, 4_100), rng.integers(5, 11, 4_100)], axis=1)
+    tracemalloc.start()
+    got = pairwise._distance_sums(ax, ay, bx, by, own, 11)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    distance = np.hypot(ax[:, None] - bx, ay[:, None] - by)
+    assert peak < 12e6  # all distances are 98 MB
+    for slot in range(11):
+        assert np.allclose(got[:, slot], distance[:, (own == slot).any(axis=1)].sum(axis=1))
+
+
+def test_few_points_are_spread_over_tasks(spark):
+    rows = [(f"s{i}", float(i % 50), float(i // 50), 2, i % 2) for i in range(3_000)]
+    assigned = materialize(spark.createDataFrame(rows, "sensor_id string, x_km double, y_km double, k int, cluster int"), "assigned")
+    spark.sparkContext.setJobGroup("spread", "")
+    try:
+        pairwise.cluster_distance_sums(assigned).write.format("noop").mode("overwrite").save()
+        told = spark.sparkContext.statusTracker()
+        stages = [told.getStageInfo(s) for j in told.getJobIdsForGroup("spread") for s in told.getJobInfo(j).stageIds]
+        assert max(s.numTasks for s in stages if s) >= 6
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
 def test_singletons_and_copies_have_silhouette_zero(spark):
     rows = [("a", 0.0, 0.0, 2, 0), ("b", 5.0, 0.0, 2, 1), ("c", 5.0, 0.0, 2, 1)]
     df = spark.createDataFrame(rows, "sensor_id string, x_km double, y_km double, k int, cluster int")
