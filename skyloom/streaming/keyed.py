@@ -10,6 +10,9 @@ import sys
 import time
 from datetime import datetime, timezone
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +26,8 @@ from skyloom.params import MEASURES, SCHEMA_VERSION, Measure, WindowSizes
 from skyloom.plans.tables import new_path
 from skyloom.streaming.queries import state_settings
 
+ROWS = 10_000  # of a numbered batch
+
 # Processors travel with their code, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -32,36 +37,77 @@ def _in_order(rows, columns: list[str]) -> list[Row]:
     return sorted(rows, key=lambda row: [(row[c] is not None, row[c]) if row[c] is not None else (False,) for c in columns])
 
 
+def _to_bytes(rows: pa.RecordBatch) -> bytes:
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, rows.schema) as stream:
+        stream.write_batch(rows)
+    return out.getvalue().to_pybytes()
+
+
+def _by_bucket(batches):
+    """For each batch and bucket one row, which holds the bucket's rows as an Arrow stream."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        buckets = batch.column("_bucket").to_numpy()
+        order = np.argsort(buckets, kind="stable")
+        rows, buckets = batch.drop_columns(["_bucket"]).take(pa.array(order)), buckets[order]
+        cuts = [0, *(np.flatnonzero(np.diff(buckets)) + 1).tolist(), len(buckets)]
+        yield pa.record_batch({"_bucket": buckets[cuts[:-1]], "rows": pa.array([_to_bytes(rows.slice(x, y - x)) for x, y in zip(cuts, cuts[1:])], pa.binary())})
+
+
+def _from_bytes(batches):
+    for batch in batches:
+        for data in batch.column("rows"):
+            yield from pa.ipc.open_stream(data.as_buffer())
+
+
 class SequenceCounter(StatefulProcessor):
-    """Numbers the rows of a key from 1, on and on over micro-batches and restarts."""
+    """Numbers the rows of each sensor from 1, on and on over micro-batches and restarts.
 
-    def __init__(self, order: list[str], names: list[str]):
-        self.order, self.row = order, Row(*names, "sequence")
+    A key is a bucket of sensors: its rows come and go as Arrow streams, and one state has the last number of each of its sensors.
+    """
+
+    def __init__(self, order: list[str], names: list[str], sensor: str):
+        self.order, self.names, self.sensor = order, names, sensor
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "n BIGINT")
+        self.last = handle.getValueState("last", f"sensors ARRAY<{self.sensor}>, numbers ARRAY<BIGINT>")
 
     def handleInputRows(self, key, rows, timerValues):
-        last = self.last.get()
-        n = last[0] if last else 0
-        for row in _in_order(rows, self.order):
-            n += 1
-            yield self.row(*row, n)
-        self.last.update((n,))
+        held = self.last.get()
+        last = dict(zip(*held)) if held else {}
+        table = pa.Table.from_batches([batch for row in rows for batch in pa.ipc.open_stream(row["rows"])])
+        table = table.take(pc.sort_indices(table, [(c, "ascending") for c in self.order], null_placement="at_start"))
+        sensors = table["sensor_id"].combine_chunks().dictionary_encode(null_encoding="encode")
+        codes, sensors = sensors.indices.to_numpy(), sensors.dictionary.to_pylist()
+        counts, before = np.bincount(codes, minlength=len(sensors)), np.array([last.get(s, 0) for s in sensors])
+        together, numbers = np.argsort(codes, kind="stable"), np.empty(len(codes), np.int64)  # the rows of each sensor in order
+        numbers[together] = np.arange(1, len(codes) + 1) + np.repeat(before - np.cumsum(counts) + counts, counts)
+        for batch in table.select(self.names).append_column("sequence", pa.array(numbers)).to_batches(max_chunksize=ROWS):
+            yield Row(rows=_to_bytes(batch))
+        last.update(zip(sensors, (before + counts).tolist()))
+        self.last.update((list(last), list(last.values())))
 
     def close(self) -> None:
         pass
 
 
-def sensor_event_stream(routed: DataFrame, tie: list[str], emitted_at: Column | None = None) -> DataFrame:
+def sensor_event_stream(routed: DataFrame, tie: list[str], emitted_at: Column | None = None, buckets: int = 1024) -> DataFrame:
     """As ``replay.sensor_events`` on a stream: numbers go on where the last micro-batch ended.
 
     Rows of one micro-batch are numbered in (event_time, tie) order, micro-batches as they come; a row that comes late gets the next
-    number, not one between others. Rows need a sensor.
+    number, not one between others. Rows need a sensor. Sensors share ``buckets`` keys by hash. A task holds the rows that one bucket
+    gets in a micro-batch and the last numbers of its sensors, so many millions of sensors want more buckets. A
+    checkpoint belongs to its number of buckets.
     """
-    schema = StructType([*routed.schema.fields, StructField("sequence", LongType())])
-    counter = SequenceCounter(["event_time", *tie], routed.columns)
-    return numbered_events(routed.groupBy("sensor_id").transformWithState(counter, schema, "Append", "None"), emitted_at)
+    names = ["sensor_id", "location_id", "event_time", "measurements", "edge_id", "macroarea_id"]
+    needed = routed.select(*dict.fromkeys([*names, *tie])).withColumn("_bucket", F.pmod(F.xxhash64("sensor_id"), F.lit(buckets)))
+    packed = needed.repartition("_bucket").mapInArrow(_by_bucket, "_bucket BIGINT, rows BINARY")
+    counter = SequenceCounter(["event_time", *tie], names, needed.schema["sensor_id"].dataType.simpleString())
+    numbered = packed.groupBy("_bucket").transformWithState(counter, "rows BINARY", "Append", "None")
+    schema = StructType([*[needed.schema[c] for c in names], StructField("sequence", LongType())])
+    return numbered_events(numbered.mapInArrow(_from_bytes, schema), emitted_at)
 
 
 _CHANGE = "sensor_id STRING, home_edge STRING, edge_id STRING, event_id STRING, sequence BIGINT, observed_at TIMESTAMP"

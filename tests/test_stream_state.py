@@ -144,6 +144,33 @@ def test_numbers_go_on_over_runs(spark, topo, tmp_path):  # noqa: F811
     assert got.filter("sensor_id = '3' AND sequence = 7").select(F.unix_seconds("observed_at")).first()[0] == 20
 
 
+def test_many_sensors_share_a_state_and_their_rows_go_together(spark, tmp_path):
+    path, out, checkpoint = (str(tmp_path / n) for n in ("records", "out", "checkpoint"))
+    n = F.col("id")
+    records = spark.range(0, 900, 1, 3).select(
+        F.when(n % 41 > 0, F.concat(F.lit("s"), (n % 41).cast("string"))).alias("sensor_id"), F.lit("é 9").alias("location_id"),
+        F.when(n % 13 > 0, F.timestamp_micros(1_700_000_000_000_001 + n * 7919 % 450)).alias("event_time"),  # nulls and ties
+        F.when(n % 7 > 0, F.create_map(F.lit("t"), n.cast("string"), F.lit("h"), F.lit(None).cast("string"))).alias("measurements"),
+        F.when(n % 5 > 0, F.lit("edge-1")).alias("edge_id"), F.lit("m").alias("macroarea_id"), F.when(n % 900 > 13, (1 << 60) + n).alias("line"))
+    columns = ["event_id", "sensor_id", "location_id", "sequence", F.unix_micros("observed_at").alias("at"), F.to_json("measurements").alias("m"), "edge_id", "macroarea_id"]
+
+    def run(part):
+        part.write.mode("append").parquet(path)
+        stream = keyed.sensor_event_stream(spark.readStream.schema(part.schema).parquet(path), ["line"], F.lit("2024-01-01").cast("timestamp"), buckets=2)
+        with streams.state_settings(spark):
+            query = streams.start(stream, out, checkpoint)
+        query.awaitTermination()
+        assert query.exception() is None
+        assert max(s["numRowsTotal"] for p in query.recentProgress for s in p["stateOperators"]) <= 2
+        return rows(spark.read.schema(stream.schema).parquet(out).select(*columns))
+
+    early = records.filter("event_time IS NULL")  # nulls come first, so both orders agree
+    run(early)
+    got = run(records.filter("event_time IS NOT NULL"))
+    assert got == rows(replay.sensor_events(records, ["line"], F.lit("2024-01-01").cast("timestamp")).select(*columns))
+    assert len(got) == 900
+
+
 def test_first_event_on_another_edge(spark, tmp_path):
     path, out, checkpoint = (str(tmp_path / n) for n in ("events", "out", "checkpoint"))
     schema = "sensor_id string, edge_id string, event_id string, sequence long, observed_at timestamp, extra int"
