@@ -7,12 +7,14 @@ slice of memory-mapped buffers. Only the last sequence of a part is filled up. A
 
 from __future__ import annotations
 
+import json
 import os
 import posixpath
 import re
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
+from functools import cache
 from itertools import batched, chain
 
 import numpy as np
@@ -29,6 +31,7 @@ from skyloom.plans.tables import materialize, new_path
 PART_BYTES = 32 << 20
 PIECE_BYTES = 1 << 19  # of text whose words are held at a time
 SEQUENCES = 64
+DIGIT = b"7"  # between words that are encoded together
 WHITE = re.compile(rb"[\t-\r ]")  # as bytes.split() has it
 _tokenizers: dict[str, object] = {}
 
@@ -42,42 +45,86 @@ def _tokenizer(path: str):
     return _tokenizers[path]
 
 
+@cache
+def _letter_ends(path: str) -> np.ndarray | None:
+    """For each id whether it ends a run of letters; None unless every such run has an id that does.
+
+    That is known of byte-level BPE with a suffix at the end of words, if each byte is in the vocabulary with the suffix too.
+    """
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    with open(path, encoding="utf-8") as file:
+        parts = json.load(file)
+    model, suffix = parts["model"], parts["model"].get("end_of_word_suffix")
+    byte_level = '"ByteLevel"' in json.dumps(parts["pre_tokenizer"])
+    if model["type"] != "BPE" or not suffix or not byte_level or not all(c + suffix in model["vocab"] for c in ByteLevel.alphabet()):
+        return None
+    if any(t["content"].isalpha() for t in parts["added_tokens"]):
+        return None
+    ends = np.zeros(max([*model["vocab"].values(), *[t["id"] for t in parts["added_tokens"]]]) + 1, bool)
+    ends[[i for token, i in model["vocab"].items() if token.endswith(suffix)]] = True
+    return ends
+
+
 class Encoder:
     """Ids of texts whose words, between ASCII white space, are encoded alone: each different word once.
 
-    Right for a tokenizer that drops white space and never joins what it divides. Many words go through it as one
-    text, with a special token between them, at which it cuts before anything else. Texts are taken in pieces of ``piece``
+    Right for a tokenizer that drops white space and never joins what it divides. Many words go through it as one text. Words
+    of letters need nothing between them if the tokenizer marks where a run of letters ends; others are divided by a digit that is one id,
+    or by a special token, at which the tokenizer cuts before anything else. Where the number of ends or dividers isn't that
+    of the words, the words go the next, dearer way, and at last each alone. Texts are taken in pieces of ``piece``
     bytes, a long one in several, so memory does not grow with them; up to ``remembered`` words and those that came
     before them stay known.
     """
 
-    def __init__(self, tokenizer: str, remembered: int = 250_000, together: int = 256, piece: int = PIECE_BYTES):
+    def __init__(self, tokenizer: str, remembered: int = 250_000, together: int = 64, piece: int = PIECE_BYTES):
         self.tokenizer, self.remembered, self.together, self.piece = _tokenizer(tokenizer), remembered, together, piece
         self.known, self.older = {}, {}
+        self.ends = _letter_ends(tokenizer)
         special = [(t.content.encode(), i) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.single_word)]
-        self.between, self.cut = special[0] if special else (None, None)
+        digit = self.tokenizer.encode(DIGIT.decode(), add_special_tokens=False).ids
+        # (what must not be in a word, what comes between two, its id)
+        self.dividers = [*([(DIGIT, b" %b " % DIGIT, digit[0])] if len(digit) == 1 else []), *[(t, t, i) for t, i in special[:1]]]
 
     def _learn(self, new: list[bytes]) -> None:
-        alone = [w for w in new if self.between is None or self.between in w]
-        for w, e in zip(alone, self.tokenizer.encode_batch_fast([w.decode() for w in alone], add_special_tokens=False)):
+        if self.ends is not None:
+            letters, rest = [], []
+            for w in new:
+                (letters if w.decode().isalpha() else rest).append(w)
+            new = rest + self._learn_together(letters, b" ", None)
+        for without, between, cut in self.dividers:
+            apart = [w for w in new if without in w]
+            new = apart + self._learn_together([w for w in new if without not in w], between, cut)
+        for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)):
             self.known[w] = np.array(e.ids, "<u4").tobytes()
-        if self.between is None:
-            return
-        new = [w for w in new if self.between not in w]
-        groups = [new[a:a + self.together] for a in range(0, len(new), self.together)]
-        texts = [self.between.join(g).decode() for g in groups]
+
+    def _learn_together(self, words: list[bytes], between: bytes, cut: int | None) -> list[bytes]:
+        """Learns words by texts of several; gives those of texts that don't fall into as many parts as they have words."""
+        groups, left = [words[a:a + self.together] for a in range(0, len(words), self.together)], []
+        texts = [between.join(g).decode() for g in groups]
         for group, e in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
             ids = np.array(e.ids, "<u4")
-            data, at = ids.tobytes(), (4 * np.flatnonzero(ids == self.cut)).tolist()
-            self.known.update(zip(group, [data[x:y] for x, y in zip([0, *[c + 4 for c in at]], [*at, len(data)])]))
+            if cut is None:
+                stops = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
+                starts = [0, *stops[:-1]]
+            else:
+                at = (4 * np.flatnonzero(ids == cut)).tolist()
+                starts, stops = [0, *[c + 4 for c in at]], [*at, 4 * len(ids)]
+            if len(stops) == len(group) and stops[-1] == 4 * len(ids):
+                data = ids.tobytes()
+                self.known.update(zip(group, [data[x:y] for x, y in zip(starts, stops)]))
+            else:
+                left += group
+        return left
 
     def _ids(self, runs: list[bytes]) -> list[np.ndarray]:
         words = [r.split() for r in runs]
         every = set(chain.from_iterable(words))
         if len(self.known) > self.remembered:
             self.known, self.older = {}, self.known
-        self.known.update((w, self.older[w]) for w in every & self.older.keys())
-        self._learn(list(every - self.known.keys()))
+        new = [w for w in every if w not in self.known]  # a difference with the view of all known words would go over all of them
+        self.known.update((w, self.older[w]) for w in new if w in self.older)
+        self._learn([w for w in new if w not in self.known])
         find = self.known.__getitem__
         return [np.frombuffer(b"".join(map(find, ws)), "<u4") for ws in words]
 
@@ -114,6 +161,12 @@ def _runs(text: bytes, size: int) -> Iterator[tuple[bytes, bool]]:
     yield text[at:], True
 
 
+@cache
+def _encoder(tokenizer: str) -> Encoder:
+    """One for all tasks of a process: what one has learned, the next knows."""
+    return Encoder(tokenizer)
+
+
 def require_words(tokenizer: str) -> None:
     """Stops at a tokenizer whose ids for a text are not those of its words alone, as ``Encoder`` takes them."""
     encode = Encoder(tokenizer)
@@ -175,11 +228,11 @@ def _write(folder: str, tokenizer: str, end_id: int, length: int, dtype: np.dtyp
     def rows(batches):
         part = TaskContext.get().partitionId()
         name = f"part-{part:06d}-{uuid.uuid4().hex}"
-        encode, writer = Encoder(tokenizer), None
+        encode, writer = _encoder(tokenizer), None
         for batch in batches:
             writer = writer or PartWriter(folder, name, length, dtype)
             ends = np.array([end_id], "<u4")
-            tokens = (np.r_[ids, ends] for ids in encode(t.as_py() or "" for t in batch.column("text")))
+            tokens = (np.concatenate((ids, ends)) for ids in encode(t.as_py() or "" for t in batch.column("text")))
             for some in batched(zip(batch.column("doc_id").to_pylist(), tokens), 256):
                 writer.add(*map(list, zip(*some)))
         if writer:

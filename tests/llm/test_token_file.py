@@ -95,3 +95,26 @@ def test_memory_does_not_grow_with_a_text():
     (ids,) = encode([text])
     assert len(ids) > 1_200_000 and largest <= 1 << 19
     assert len(encode.known) + len(encode.older) < 600_000
+
+
+def test_words_learned_together_are_those_learned_alone(monkeypatch):
+    """Words of letters go through without dividers, and each way's words that don't fall apart as expected go the next one."""
+    from skyloom.llm import token_file
+
+    odd = ["Straße", "İstanbul", "ŉa", "ǰǰ", "ﬁn", "日本語", "नमस्ते", "e\u0301t", "ª", "ʰa", "x\u200dy", "it's", "'s", "7", "a7b", "٧٧", "７", "x<|endoftext|>y", "<|endoftext|>",
+           "don't.", "A.b,C", "&&&", "\u00a0", "a\u00a0b", "\ufeffa", "\x00", "\U0001d7d5", "ά", "ΑΣ", "0", "12", "é7è", "\u0345", "a\u0345"]
+    words = [o + x for o in odd for x in ("", "a", "Z", ".", "é")] + [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(500)]
+    text, tokenizer = " ".join(words), Tokenizer.from_file(FILE)
+    want = tokenizer.encode(text, add_special_tokens=False).ids
+    for together in (1, 2, 7, 64):
+        encode, ways = Encoder(FILE, together=together), []
+        learn = encode._learn_together
+        monkeypatch.setattr(encode, "_learn_together", lambda w, between, cut: ways.append((len(w), between)) or learn(w, between, cut))  # noqa: B023
+        assert np.concatenate([*encode([text])]).tolist() == want
+        assert ways[0][1] == b" " and ways[0][0] >= 500 and [b for _, b in ways[1:]] == [b" 7 ", b"<|startoftext|>"]
+        assert ways[2][0] < 100
+    # what one task has learned, the next one of its process knows
+    encode = token_file._encoder(FILE)
+    [*encode([text])]
+    monkeypatch.setattr(Encoder, "_learn_together", lambda self, w, *_: [] if not w else pytest.fail("learned again"))
+    assert token_file._encoder(FILE) is encode and np.concatenate([*encode([text])]).tolist() == want
