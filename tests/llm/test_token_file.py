@@ -1,3 +1,4 @@
+import json
 import zlib
 
 import numpy as np
@@ -118,3 +119,43 @@ def test_words_learned_together_are_those_learned_alone(monkeypatch):
     [*encode([text])]
     monkeypatch.setattr(Encoder, "_learn_together", lambda self, w, *_: [] if not w else pytest.fail("learned again"))
     assert token_file._encoder(FILE) is encode and np.concatenate([*encode([text])]).tolist() == want
+
+
+ODD_CASES = ["DON'T", "o'Neil's", "'tis", "x'S", "&'s", "&'S,", "'S", "a'", "'ll'LL", "(A-b)", "a1B2", "H\u0331", "h\u0331", "A\u030a.", "\u212b", "E\u0301,", "e\u0301,", "ΑΣ.", "ΑΣ.a", "aΣ", "İ.", "Iı",
+             "<|ENDOFTEXT|>", "a.<|endoftext|>B.c", "<|EndOfText|><|endoftext|>x", "<|<|endoftext|>|>", "x=\u0338y", "A\u0338", "k\u00a0'S", "a,\u00a0B", "\x1cA\x1c's", "ﬁN.", "a\x00B", "A", "日本.A"]
+
+
+@pytest.mark.parametrize("piece", [1, 1 << 19])
+def test_words_cut_and_in_lower_case_have_the_same_ids(piece):
+    rng, tokenizer = np.random.default_rng(6), Tokenizer.from_file(FILE)
+    marks = [*"aAsStTzZ'.,-<>|&7", "\u0301", "\u0331", "\u0338", "é", "É", "Σ", "\u00a0", "日", "<|endoftext|>", "<|ENDOFTEXT|>"]
+    drawn = ["".join(rng.choice(marks, rng.integers(1, 9))) for _ in range(4_000)]
+    texts = ["", *ODD_CASES, " ".join(ODD_CASES), "", *["\n".join(rng.choice(drawn, 9)) for _ in range(500)], *drawn, " "]
+    encode = Encoder(FILE, piece=piece)
+    assert [x.tolist() for x in encode(texts)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_signs_and_case_make_no_words_to_learn_again():
+    """Only what differs in letters, whatever its case and the signs around it, goes through the tokenizer."""
+    encode, learned = Encoder(FILE), []
+    learn = encode._learn
+    encode._learn = lambda new: learned.extend(new) or learn(new)
+    [*encode(["Word word, (WORD) word. 'word' \"Word\"; other-word: Wörd, wörd"])]
+    assert len(learned) == len(set(learned)) and {w for w in learned if w.isalpha()} == {b"word", b"other"}
+    assert {w for w in learned if not w.isascii()} == {"Wörd".encode(), "wörd".encode()}
+
+
+def test_words_are_left_whole_for_other_tokenizers(tmp_path):
+    """A tokenizer that keeps the case, or has another rule to divide by, isn't taken for one that folds and divides."""
+    parts = json.loads(open(FILE, encoding="utf-8").read())
+    kept = parts | {"normalizer": {"type": "Sequence", "normalizers": [n for n in parts["normalizer"]["normalizers"] if n["type"] != "Lowercase"]}}
+    other = json.loads(json.dumps(parts).replace(r"[\\p{N}]|", r"[\\p{N}]+|"))
+    for name, changed in (("kept", kept), ("other", other)):
+        assert changed != parts
+        file = tmp_path / f"{name}.json"
+        file.write_text(json.dumps(changed), encoding="utf-8")
+        texts = ["Word word, (WORD) 12 a1B2 DON'T &'s", *ODD_CASES]
+        encode, tokenizer = Encoder(str(file)), Tokenizer.from_file(str(file))
+        assert encode.folded is None
+        assert [x.tolist() for x in encode(texts)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert Encoder(FILE).folded == [b"<|startoftext|>", b"<|endoftext|>"]
