@@ -3,6 +3,7 @@
 A commit is one file, written by one task, that names what a batch has written: it is there or not. Lines carry the query's id, which a
 new checkpoint renews, and the batch id, so a repeated batch is known. Every ``every`` commits the log is folded into a snapshot;
 readers start at the newest one, so a batch reads a bounded number of files whatever came before. One query at a time writes to a log.
+The folder of the log, ``log/commit=<sequence>``, is a table that Spark reads as it is; logs of plain ``log/<sequence>`` go on.
 """
 
 from __future__ import annotations
@@ -34,15 +35,23 @@ class _Folder:
         self.files.delete(self.make(self.path, below), True)
 
 
+def _sequence(commit: str) -> str:
+    return commit.removeprefix("commit=")
+
+
 @dataclass(frozen=True)
 class CommitLog:
-    """``latest``: a name's newest path counts (a table of versions); else all its paths do (a table that grows)."""
+    """``latest``: a name's newest path counts (a table of versions); else all its paths do (a table that grows).
+
+    ``called``: a second column of the log's files with the names, called by what they are.
+    """
 
     spark: SparkSession
     folder: str
     latest: bool = True
     every: int = 20
     keep_seconds: float = 86_400
+    called: str | None = None
 
     def lines(self) -> DataFrame:
         """What counts now: the newest snapshot and the commits after it."""
@@ -57,7 +66,7 @@ class CommitLog:
         files = _Folder(self.spark, self.folder)
         whole = lambda at: "_SUCCESS" in files.names(at)
         snapshot = next((n for n in sorted(files.names("snapshot"), reverse=True) if whole(f"snapshot/{n}")), "")
-        return files, snapshot, [n for n in sorted(files.names("log")) if n > snapshot and whole(f"log/{n}")]
+        return files, snapshot, [n for n in sorted(files.names("log"), key=_sequence) if _sequence(n) > snapshot and whole(f"log/{n}")]
 
     def _counting(self, lines: DataFrame) -> DataFrame:
         """Lines that still count, and the last of every query, which tells its repeated batches."""
@@ -84,10 +93,11 @@ class CommitLog:
     def commit(self, query_id: str, batch_id: int, entries: list[tuple[str, str | None, int | None]], high: int | None = None) -> None:
         """One file with a line (name, path, rows) for each of ``entries``; ``high`` is the batch's own mark, such as its latest time."""
         _, snapshot, commits = self._open()
-        sequence = int(commits[-1] if commits else snapshot or 0) + 1
+        sequence = int(_sequence(commits[-1]) if commits else snapshot or 0) + 1
         lines = [(query_id, batch_id, sequence, *e, high) for e in entries or [(None, None, None)]]
         # left over from a commit that was killed: without _SUCCESS it does not count
-        self.spark.createDataFrame(lines, LINE).coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/log/{sequence:020d}")
+        written = self.spark.createDataFrame(lines, LINE).withColumns({self.called: F.col("name")} if self.called else {})
+        written.coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/log/commit={sequence:020d}")
         if sequence % self.every == 0:
             self.fold(f"{sequence:020d}")
 
@@ -102,7 +112,7 @@ class CommitLog:
         before = time.time() * 1000 - self.keep_seconds * 1000
         for below in ("log", "snapshot"):
             for name, modified in files.names(below).items():
-                if name < newest and modified < before:
+                if _sequence(name) < newest and modified < before:
                     files.remove(f"{below}/{name}")
         named = {p[len(self.folder):].split("/")[2] for p in self.paths()}
         for name, modified in files.names("data").items():

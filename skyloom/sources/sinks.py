@@ -220,7 +220,7 @@ def upsert_into(
     starts over with batch 0 goes on from what is there. The log is folded every ``every`` commits, and replaced versions of a day
     go ``keep_seconds`` later, which must be longer than any reader takes.
     """
-    own, log = uuid.uuid4().hex, CommitLog(spark, folder, every=every, keep_seconds=keep_seconds)
+    own, log = uuid.uuid4().hex, CommitLog(spark, folder, every=every, keep_seconds=keep_seconds, called="day")
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         query, lines = query_of(batch) or own, log.lines()

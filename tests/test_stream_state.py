@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from skyloom.operators import ingest, replay, windows
 from skyloom.params import MEASURES, WindowSizes
 from skyloom.sources import sinks
-from skyloom.sources.commits import CommitLog
+from skyloom.sources.commits import LINE, CommitLog
 from skyloom.sources.stream import message_files
 from skyloom.streaming import keyed, targets
 from skyloom.streaming import queries as streams
@@ -118,6 +118,24 @@ def test_the_work_of_a_commit_stays_constant(spark, tmp_path):
         assert all(spark.read.parquet(p).count() == 1 for p in log.paths())
 
 
+def test_a_log_of_plain_folders_goes_on(spark, tmp_path):
+    """Commits of the former layout count, are gone on from, and are folded with those of the present one."""
+    folder = str(tmp_path / "log")
+    log = CommitLog(spark, folder, latest=False, every=4, keep_seconds=0, called="day")
+    for batch in range(3):
+        path = log.new_data()
+        spark.range(1).write.parquet(f"{path}/x")
+        if batch < 2:
+            spark.createDataFrame([("q", batch, batch + 1, f"day{batch}", f"{path}/x", batch, batch)], LINE).write.parquet(f"{folder}/log/{batch + 1:020d}")
+        else:
+            log.commit("q", batch, [(f"day{batch}", f"{path}/x", batch)], batch)
+    assert log.last_batch(log.lines(), "q") == 2 and len(log.paths()) == 3
+    assert [r["day"] for r in spark.read.parquet(f"{folder}/log/commit={3:020d}").collect()] == ["day2"]
+    log.commit("q", 3, [], 3)
+    assert os.listdir(f"{folder}/log") == [f"commit={4:020d}"]
+    assert log.last_batch(log.lines(), "q") == 3 and sorted(r["rows"] for r in log.lines().filter("name IS NOT NULL").collect()) == [0, 1, 2]
+
+
 def test_numbers_go_on_over_runs(spark, topo, tmp_path):  # noqa: F811
     path, out, checkpoint = (str(tmp_path / n) for n in ("records", "out", "checkpoint"))
     records = replay.route(events(spark, topo, range(0, 60, 10)).select(
